@@ -1,6 +1,8 @@
 """Analyses built from the operators, registered by name."""
 
 from cohortloom.plans import (  # noqa: F401
+    evidence_plans,
+    interval_plans,
     selection_plans,
 )
 from cohortloom.plans.registry import ORACLES, QUERIES  # noqa: F401
