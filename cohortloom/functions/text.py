@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.fixed_values import NA_TOKENS
@@ -91,28 +91,65 @@ def joined_labels(c: Column | str, sep: str = ";") -> Column:
     return F.array_join(F.array_sort(F.collect_set(col(c))), sep)
 
 
-def three_digits(c: Column | str) -> Column:
-    """A double with three significant digits, short form; infinity as 'Inf'.
+def _exact_side(x: Column, places: Column, odd: Column) -> Column:
+    """Sign of x * 2 * 10**places - odd, exactly: the product's rounding error is recovered."""
+    factor = F.lit(2.0) * F.pow(F.lit(10.0), F.greatest(places, F.lit(0)))
+    goal = odd.cast("double") * F.pow(F.lit(10.0), F.greatest(-places, F.lit(0)))
 
-    Plain notation for exponents -4 to 2, else 'd.dde+XX'; trailing zeros are dropped.
+    def halves(value: Column) -> tuple[Column, Column]:
+        shifted = value * F.lit(134217729.0)
+        high = shifted - (shifted - value)
+        return high, value - high
+
+    product = x * factor
+    (xh, xl), (fh, fl) = halves(x), halves(factor)
+    error = ((xh * fh - product) + xh * fl + xl * fh) + xl * fl
+    return F.signum(F.when(product == goal, error).otherwise(product - goal))
+
+
+def add_three_digits(df: DataFrame, c: str, name: str) -> DataFrame:
+    """Add a double as text with three significant digits, short form; infinity as 'Inf'.
+
+    Correctly rounded (half to even only on exact ties). Plain notation for exponents -4 to 2, else
+    'd.dde+XX'; trailing zeros are dropped. Steps are columns of their own to keep the plan small.
     """
-    x = col(c)
-    scientific = F.format_string("%.2e", x)
-    exponent = F.regexp_extract(scientific, r"e([+-]\d+)$", 1).try_cast("int")
-    mantissa = F.regexp_extract(scientific, r"^(-?[0-9.]+)e", 1)
-    sign_and_power = F.regexp_extract(scientific, r"e([+-]\d+)$", 1)
-    decimals = F.lit(2) - exponent
-    plain = F.when(decimals <= 0, F.format_string("%.0f", x))
-    for d in range(1, 7):
-        plain = plain.when(decimals == d, F.format_string(f"%.{d}f", x))
-    trimmed = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
-    short_mantissa = F.regexp_replace(mantissa, r"\.?0+$", "")
-    return (
+    x = F.col(c)
+    shown = df.withColumn("_shown", F.format_string("%.17e", F.abs(x)))
+    split = shown.withColumns(
+        {
+            "_exp": F.regexp_extract("_shown", r"e([+-]\d+)$", 1).try_cast("int"),
+            "_digits": F.replace(F.regexp_extract("_shown", r"^([0-9.]+)e", 1), F.lit("."), F.lit("")),
+        }
+    ).withColumns({"_kept": F.substring("_digits", 1, 3).try_cast("int"), "_rest": F.substring("_digits", 4, 40)})
+    sided = split.withColumn("_side", _exact_side(F.abs(x), F.lit(2) - F.col("_exp"), F.col("_kept") * 2 + 1))
+    tie_up = (F.col("_side") > 0) | ((F.col("_side") == 0) & (F.col("_kept") % 2 == 1))
+    up = F.when(F.col("_rest").rlike("^50*$"), tie_up).otherwise(F.col("_rest") >= "5")
+    rounded = sided.withColumn("_int", F.col("_kept") + up.cast("int")).withColumns(
+        {
+            "_number": F.when(F.col("_int") == 1000, F.lit(100.0)).otherwise(F.col("_int").cast("double")),
+            "_power": F.when(F.col("_int") == 1000, F.col("_exp") + 1).otherwise(F.col("_exp")),
+        }
+    )
+    plain = F.when(F.col("_power") == 2, F.format_string("%.0f", "_number"))
+    for p in range(1, -5, -1):
+        value = F.col("_number") / F.lit(float(10 ** (2 - p)))
+        plain = plain.when(F.col("_power") == p, F.format_string(f"%.{2 - p}f", value))
+    mantissa = F.format_string("%.2f", F.col("_number") / 100.0)
+    tail = F.concat(F.when(F.col("_power") < 0, F.lit("e-")).otherwise(F.lit("e+")), F.format_string("%02d", F.abs("_power")))
+    written = rounded.withColumns(
+        {
+            "_body": F.when(F.col("_power").between(-4, 2), plain).otherwise(mantissa),
+            "_tail": F.when(F.col("_power").between(-4, 2), F.lit("")).otherwise(tail),
+        }
+    )
+    short = F.when(F.col("_body").contains("."), F.regexp_replace("_body", r"\.?0+$", "")).otherwise(F.col("_body"))
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    out = (
         F.when(x.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(x), F.lit("nan"))
         .when(x == float("inf"), F.lit("Inf"))
         .when(x == float("-inf"), F.lit("-Inf"))
         .when(x == 0.0, F.lit("0"))
-        .when(exponent.between(-4, 2), trimmed)
-        .otherwise(F.concat(short_mantissa, F.lit("e"), sign_and_power))
+        .otherwise(F.concat(sign, short, F.col("_tail")))
     )
+    return written.select(*df.columns, out.alias(name))

@@ -7,10 +7,12 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cohortloom import fixed_values as fv
 from cohortloom.functions.numeric import holds, log_factorial, ratio
 from cohortloom.operators.skew import skew_join
+from cohortloom.session import cut_lineage
 
 FISHER_REACH = 40.0
 
@@ -52,81 +54,74 @@ def signed_gap(first: str, second: str, second_expected: Column) -> Column:
     return F.when(second_expected, gap).otherwise(-gap)
 
 
-def _hypergeometric_tail(a: Column, b: Column, c: Column, d: Column, tolerance: float) -> Column:
-    """Sum of all table probabilities not above the observed one, margins fixed.
+def fisher_test(
+    df: DataFrame, cells: tuple[str, str, str, str], tolerance: float = fv.FISHER_TIE_TOLERANCE
+) -> DataFrame:
+    """Add ``fisher_p`` (two-sided exact) and ``odds_ratio`` (sample) of the table [[a, b], [c, d]].
 
-    Terms follow each other by their ratio. Terms further than 40 standard deviations from the mode
-    are below the smallest double and are left out, so the walk grows with the square root of the
-    margins and not with the margins.
+    p is the sum of all table probabilities not above the observed one, margins fixed. Terms follow
+    each other by their ratio; terms further than 40 standard deviations from the mode are below the
+    smallest double and are left out, so the walk grows with the square root of the margins. A zero
+    margin gives p = 1 and an undefined (NaN) odds ratio; otherwise a zero b*c gives infinity.
+    Intermediate values are columns of their own so that none is computed twice.
     """
-    r1, r2, c1 = a + b, c + d, a + c
-    n = r1 + r2
-    low, high = F.greatest(F.lit(0).cast("bigint"), c1 - r2), F.least(r1, c1)
-
-    def log_p(k: Column) -> Column:
-        return (
-            log_factorial(r1)
-            + log_factorial(r2)
-            + log_factorial(c1)
-            + log_factorial(n - c1)
-            - log_factorial(n)
-            - log_factorial(k)
-            - log_factorial(r1 - k)
-            - log_factorial(c1 - k)
-            - log_factorial(r2 - c1 + k)
+    a, b, c, d = (F.col(x).cast("bigint") for x in cells)
+    col = F.col
+    zero = F.lit(0).cast("bigint")
+    staged = df.withColumns({"_a": a, "_r1": a + b, "_r2": c + d, "_c1": a + c, "_n": a + b + c + d}).withColumns(
+        {
+            "_empty": (col("_r1") == 0) | (col("_r2") == 0) | (col("_c1") == 0) | (col("_c1") == col("_n")),
+            "_low": F.greatest(zero, col("_c1") - col("_r2")),
+            "_high": F.least("_r1", "_c1"),
+            "_mean": F.try_divide(col("_r1").cast("double") * col("_c1"), col("_n").cast("double")),
+        }
+    )
+    deviation = F.sqrt(
+        F.try_divide(
+            col("_mean") * col("_r2") * (col("_n") - col("_c1")),
+            col("_n").cast("double") * F.greatest(col("_n") - 1, F.lit(1)),
         )
-
-    nd = n.cast("double")
-    mean = F.try_divide(r1.cast("double") * c1.cast("double"), nd)
-    spread = F.sqrt(
-        F.try_divide(mean * r2.cast("double") * (n - c1).cast("double"), nd * F.greatest(nd - 1.0, F.lit(1.0)))
     )
-    reach = F.ceil(spread * FISHER_REACH) + 50
-    start = F.greatest(low, (F.floor(mean) - reach).cast("bigint"))
-    stop = F.least(high, (F.ceil(mean) + reach).cast("bigint"))
-    limit = log_p(a) + F.log1p(F.lit(tolerance))
+    staged = staged.withColumn("_reach", F.ceil(deviation * FISHER_REACH) + 50).withColumns(
+        {
+            "_from": F.greatest(col("_low"), F.floor("_mean") - col("_reach")),
+            "_to": F.least(col("_high"), F.ceil("_mean") + col("_reach")),
+            "_margins": log_factorial(col("_r1"))
+            + log_factorial(col("_r2"))
+            + log_factorial(col("_c1"))
+            + log_factorial(col("_n") - col("_c1"))
+            - log_factorial(col("_n")),
+        }
+    )
+
+    def log_p(k: str) -> Column:
+        return col("_margins") - (
+            log_factorial(col(k))
+            + log_factorial(col("_r1") - col(k))
+            + log_factorial(col("_c1") - col(k))
+            + log_factorial(col("_r2") - col("_c1") + col(k))
+        )
+
+    staged = staged.withColumns({"_first": log_p("_from"), "_limit": log_p("_a") + math.log1p(tolerance)})
+    r1, c1, rest, limit = col("_r1"), col("_c1"), col("_r2") - col("_c1"), col("_limit")
 
     def step(acc: Column, k: Column) -> Column:
         here = acc["next"]
-        ratio_next = (
-            (acc["r1"] - k).cast("double")
-            * (acc["c1"] - k).cast("double")
-            / ((k + 1).cast("double") * (acc["rest"] + k + 1).cast("double"))
-        )
+        onward = ((r1 - k).cast("double") * (c1 - k)) / ((k + 1).cast("double") * (rest + k + 1))
         return F.struct(
-            F.when(ratio_next > 0, here + F.ln(ratio_next)).otherwise(F.lit(float("-inf"))).alias("next"),
-            (acc["total"] + F.when(here <= acc["limit"], F.exp(here)).otherwise(F.lit(0.0))).alias("total"),
-            acc["limit"].alias("limit"),
-            acc["r1"].alias("r1"),
-            acc["c1"].alias("c1"),
-            acc["rest"].alias("rest"),
+            F.when(onward > 0, here + F.ln(onward)).otherwise(F.lit(float("-inf"))).alias("next"),
+            (acc["total"] + F.when(here <= limit, F.exp(here)).otherwise(F.lit(0.0))).alias("total"),
         )
 
-    begin = F.struct(
-        log_p(start).alias("next"),
-        F.lit(0.0).alias("total"),
-        limit.alias("limit"),
-        r1.alias("r1"),
-        c1.alias("c1"),
-        (r2 - c1).alias("rest"),
-    )
-    return F.least(F.lit(1.0), F.aggregate(F.sequence(start, stop), begin, step, lambda acc: acc["total"]))
-
-
-def fisher_columns(a: str, b: str, c: str, d: str, tolerance: float = fv.FISHER_TIE_TOLERANCE) -> tuple[Column, Column]:
-    """(two-sided exact p, sample odds ratio) of the table [[a, b], [c, d]].
-
-    A zero margin gives p = 1 and an undefined (NaN) odds ratio; otherwise a zero b*c gives infinity.
-    """
-    A, B, C, D = (F.col(x).cast("bigint") for x in (a, b, c, d))
-    empty = (A + B == 0) | (C + D == 0) | (A + C == 0) | (B + D == 0)
-    p = F.when(empty, F.lit(1.0)).otherwise(_hypergeometric_tail(A, B, C, D, tolerance))
+    begin = F.struct(col("_first").alias("next"), F.lit(0.0).alias("total"))
+    tail = F.aggregate(F.sequence("_from", "_to"), begin, step, lambda acc: acc["total"])
     odds = (
-        F.when(empty, F.lit(float("nan")))
-        .when((B == 0) | (C == 0), F.lit(float("inf")))
-        .otherwise(A.cast("double") * D.cast("double") / (B.cast("double") * C.cast("double")))
+        F.when(col("_empty"), F.lit(float("nan")))
+        .when((b == 0) | (c == 0), F.lit(float("inf")))
+        .otherwise(a.cast("double") * d.cast("double") / (b.cast("double") * c.cast("double")))
     )
-    return p, odds
+    p = F.when(col("_empty"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), tail))
+    return staged.select(*df.columns, p.alias("fisher_p"), odds.alias("odds_ratio"))
 
 
 def _p_bucket(p: Column) -> Column:
@@ -171,16 +166,20 @@ def bh_table(weighted: DataFrame, p: str, weight: str, q: str = "fdr") -> DataFr
 
 def bh_fdr(df: DataFrame, p: str, id_col: str, q: str = "fdr") -> DataFrame:
     """Add the Benjamini-Hochberg q of every row. A p shared by many rows is joined back map-side."""
-    table = bh_table(df.select(p, F.lit(1).cast("bigint").alias("_one")), p, "_one", q)
+    values = cut_lineage(df.groupBy(p).agg(F.count(F.lit(1)).alias("_rows")))
+    table = bh_table(values, p, "_rows", q)
     return skew_join(df, table, [p], "_weight", [id_col], how="inner")
 
 
 def fisher_fdr(df: DataFrame, cells: tuple[str, str, str, str], id_col: str) -> DataFrame:
-    """Exact test and FDR per row. Each distinct 2x2 table is tested once, then joined back."""
+    """Exact test and FDR per row. Each distinct 2x2 table is tested once, then joined back.
+
+    ``df`` is read twice (for its tables and for the join back): pass a stored or checkpointed frame.
+    The tested tables are checkpointed because ranking and joining both need them.
+    """
     keys = list(cells)
     tables = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    p, odds = fisher_columns(*keys)
-    tested = tables.withColumn("fisher_p", p).withColumn("odds_ratio", odds)
+    tested = cut_lineage(fisher_test(tables, cells))
     q = bh_table(tested, "fisher_p", "_rows", "fdr")
     adjusted = skew_join(tested, q, ["fisher_p"], "_weight", keys, how="inner")
     return skew_join(df, adjusted, keys, "_rows", [id_col], how="inner")
@@ -260,7 +259,7 @@ def stratum_gaps(counts: DataFrame, second_expected: Column) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi_square_tail(statistic: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom."""
     return statistic.map(lambda x: math.erfc(math.sqrt(x / 2.0)) if pd.notna(x) and x >= 0 else float("nan"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.numeric import overlap_length
 from cohortloom.operators.skew import bucket_of, carry_before
+from cohortloom.session import cut_lineage
 
 WIDTH = 1 << 16
 
@@ -90,10 +91,11 @@ def own_by_precedence(
 
     Intervals of one precedence are merged first; then every bucket is cut at its own borders, each
     elementary piece takes the lowest precedence that covers it, and touching pieces of one owner are
-    joined again. A piece meets at most one interval per precedence.
+    joined again. A piece meets at most one interval per precedence. The merged intervals and the owned
+    pieces are checkpointed, since each feeds more than one later pass.
     """
-    spans = in_buckets(merge_intervals(df, [*keys, precedence], start, end, width), "start", "end", width)
-    clipped = spans.select(
+    merged = cut_lineage(merge_intervals(df, [*keys, precedence], start, end, width))
+    clipped = in_buckets(merged, "start", "end", width).select(
         *keys,
         precedence,
         "_bucket",
@@ -113,7 +115,7 @@ def own_by_precedence(
         .groupBy(*keys, "_bucket", "cut", "cut_end")
         .agg(F.min(precedence).alias(precedence))
     )
-    return merge_intervals(owned, [*keys, precedence], "cut", "cut_end", width)
+    return merge_intervals(cut_lineage(owned), [*keys, precedence], "cut", "cut_end", width)
 
 
 def subtract_intervals(

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.operators.skew import carry_before, skew_join
-
-LEVELS = 4096
+STEPS = 1 << 16
 
 
 def value_histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -19,40 +17,38 @@ def value_histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def ranked_values(histogram: DataFrame, keys: list[str], levels: int = LEVELS) -> DataFrame:
+def value_bucket(value: Column, steps: int = STEPS) -> Column:
+    """Monotone bucket of a number: ``steps`` equal parts of every power-of-two range."""
+    size = F.abs(value.cast("double"))
+    power = F.floor(F.log2(F.greatest(size, F.lit(1e-300))))
+    part = F.floor(size / F.pow(F.lit(2.0), power.cast("double")) * steps)
+    bucket = (power + 1100).cast("bigint") * steps + part.cast("bigint") - steps
+    return F.when(size < 1e-300, F.lit(0).cast("bigint")).when(value < 0, -bucket).otherwise(bucket)
+
+
+def _upto(keys: list[str], order: Column) -> Window:
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def ranked_values(histogram: DataFrame, keys: list[str]) -> DataFrame:
     """Values at the lower and upper middle ranks of each group, as (keys, n, low, high).
 
-    Level one: distinct values fall into ``levels`` equal-width buckets between the group's ends, and
-    only bucket totals are cumulated. Level two: only the bucket that holds the wanted rank is sorted.
+    Level one: distinct values fall into fine value buckets and only bucket totals are cumulated.
+    Level two: only the one or two buckets that hold the middle ranks are sorted.
     """
-    ends = histogram.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"),
-        F.max("_v").alias("_hi"),
-        F.sum("_n").alias("_total"),
-        F.count(F.lit(1)).alias("_weight"),
-    )
-    spanned = skew_join(histogram, ends, keys, "_weight", ["_v"], how="inner")
-    width = (F.col("_hi") - F.col("_lo")).cast("double")
-    bucket = F.when(width <= 0, F.lit(0)).otherwise(
-        F.least(
-            F.lit(levels - 1), F.floor((F.col("_v") - F.col("_lo")).cast("double") / width * F.lit(levels)).cast("int")
-        )
-    )
-    tagged = spanned.withColumn("_bucket", bucket).select(*keys, "_bucket", "_v", "_n", "_total")
-    totals = tagged.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"), F.max("_total").alias("_total"))
-    upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tagged = histogram.withColumn("_bucket", value_bucket(F.col("_v")))
+    totals = tagged.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
     low_rank = F.floor((F.col("_total") + 1) / 2).cast("bigint")
     high_rank = F.floor((F.col("_total") + 2) / 2).cast("bigint")
     wanted = (
-        totals.withColumn("_before", F.sum("_bn").over(upto) - F.col("_bn"))
+        totals.withColumn("_before", F.sum("_bn").over(_upto(keys, F.asc("_bucket"))) - F.col("_bn"))
+        .withColumn("_total", F.sum("_bn").over(Window.partitionBy(*keys)))
         .filter((F.col("_before") < high_rank) & (F.col("_before") + F.col("_bn") >= low_rank))
-        .select(*keys, "_bucket", "_before")
+        .drop("_bn")
     )
-    inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    cumulated = tagged.join(wanted, [*keys, "_bucket"]).withColumn("_run", F.sum("_n").over(inside) + F.col("_before"))
-    return cumulated.groupBy(*keys).agg(
+    inside = _upto([*keys, "_bucket"], F.asc("_v"))
+    ranked = tagged.join(wanted, [*keys, "_bucket"]).withColumn("_run", F.sum("_n").over(inside) + F.col("_before"))
+    return ranked.groupBy(*keys).agg(
         F.max("_total").alias("n"),
         F.min(F.when(F.col("_run") >= low_rank, F.col("_v"))).alias("low"),
         F.min(F.when(F.col("_run") >= high_rank, F.col("_v"))).alias("high"),
@@ -73,28 +69,20 @@ def middle_median(df: DataFrame, keys: list[str], value: str, name: str = "media
 def half_mass_length(df: DataFrame, keys: list[str], length: str, name: str = "n50") -> DataFrame:
     """N50: the largest length at which the descending running sum reaches half the total.
 
-    Works on distinct lengths with counts; lengths are bucketed so that a hot group is never one task.
+    Works on distinct lengths with counts; only the value bucket that crosses the half is sorted.
     """
-    histogram = value_histogram(df, keys, length)
     mass = F.col("_v") * F.col("_n")
-    tagged = histogram.withColumn("_bucket", F.floor(F.col("_v") / F.lit(LEVELS)).cast("bigint"))
+    tagged = value_histogram(df, keys, length).withColumn("_bucket", value_bucket(F.col("_v")))
     totals = tagged.groupBy(*keys, "_bucket").agg(F.sum(mass).alias("_mass"))
-    above = carry_before(totals, keys, "_bucket", {"_above": F.sum("_mass")}, descending=True)
-    whole = totals.groupBy(*keys).agg(F.sum("_mass").alias("_whole"))
-    cut = (
-        totals.join(above, [*keys, "_bucket"])
-        .join(whole, keys)
-        .withColumn("_above", F.coalesce("_above", F.lit(0).cast("bigint")))
-        .filter(
-            (F.col("_above") * 2 < F.col("_whole")) & ((F.col("_above") + F.col("_mass")) * 2 >= F.col("_whole"))
-        )
-        .select(*keys, "_bucket", "_above", "_whole")
-    )
-    down = (
-        Window.partitionBy(*keys, "_bucket").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    crossing = (
+        totals.withColumn("_above", F.sum("_mass").over(_upto(keys, F.desc("_bucket"))) - F.col("_mass"))
+        .withColumn("_whole", F.sum("_mass").over(Window.partitionBy(*keys)))
+        .filter((F.col("_above") * 2 < F.col("_whole")) & ((F.col("_above") + F.col("_mass")) * 2 >= F.col("_whole")))
+        .drop("_mass")
     )
+    down = _upto([*keys, "_bucket"], F.desc("_v"))
     return (
-        tagged.join(cut, [*keys, "_bucket"])
+        tagged.join(crossing, [*keys, "_bucket"])
         .withColumn("_run", F.sum(mass).over(down) + F.col("_above"))
         .filter(F.col("_run") * 2 >= F.col("_whole"))
         .groupBy(*keys)

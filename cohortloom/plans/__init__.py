@@ -1,6 +1,7 @@
 """Analyses built from the operators, registered by name."""
 
 from cohortloom.plans import (  # noqa: F401
+    association_plans,
     evidence_plans,
     interval_plans,
     selection_plans,
