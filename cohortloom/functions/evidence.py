@@ -2,42 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.text import col
+from cohortloom.functions.text import col, count_of
 
 BASES = ("A", "C", "G", "T")
-_MARK = "\u0001"
+LONGEST_DIRECT_INDEL = 50
 
 
-def _count_of(value: Column, characters: str) -> Column:
-    return (F.length(value) - F.length(F.translate(value, characters, ""))).cast("bigint")
+def _skip_pattern() -> str:
+    """Everything that is not a counted symbol but owns following characters, as one pattern.
 
+    A read start takes the next character; an indel takes as many characters as its number says (or
+    what is left of the string). Matching runs left to right, so a skipped character never opens a token.
+    """
+    lengths = "|".join(f"0*{n}(?![0-9]).{{0,{n}}}" for n in range(1, LONGEST_DIRECT_INDEL + 1))
+    return rf"(?s)\^.?|[+-](?:{lengths}|0*(?![0-9]))"
 
-def _plain_symbols(pile: Column) -> tuple[Column, Column]:
-    """(symbols left after skipping read starts and indels, was every skip self-contained)."""
-    marked = F.regexp_replace(pile, r"(?s)\^(.|$)", _MARK)
-    pieces = F.split(marked, r"[+-]", -1)
-    head = F.get(pieces, F.lit(0))
-    parsed = F.transform(
-        F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda piece: F.struct(
-            F.length(F.regexp_extract(piece, r"^[0-9]*", 0)).alias("digits"),
-            F.coalesce(F.regexp_extract(piece, r"^[0-9]*", 0).try_cast("int"), F.lit(0)).alias("skip"),
-            piece.alias("piece"),
-        ),
-    )
-    tail = F.array_join(
-        F.transform(parsed, lambda p: F.substring(p["piece"], p["digits"] + p["skip"] + 1, F.length(p["piece"]))), ""
-    )
-    contained = F.forall(
-        parsed,
-        lambda p: (p["digits"] <= 9)
-        & (p["digits"] + p["skip"] <= F.length(p["piece"]))
-        & ~F.substring(p["piece"], p["digits"] + 1, p["skip"]).contains(_MARK),
-    )
-    return F.concat(head, tail), contained & ~pile.contains(_MARK)
+
+def _long_indel_pattern() -> str:
+    """Could there be an indel longer than the direct pattern covers?"""
+    return r"[+-]0*(?:5[1-9]|[6-9][0-9]|[1-9][0-9]{2,})"
 
 
 def _walk_symbols(pile: Column) -> Column:
@@ -74,22 +60,29 @@ def _walk_symbols(pile: Column) -> Column:
     return F.aggregate(characters, state, step, lambda acc: acc["kept"])
 
 
-def base_counts(ref: Column | str, pile: Column | str) -> Column:
-    """Struct (A, C, G, T, other) of counted bases; '.' and ',' count as the reference base.
+def counted_symbols(pile: Column | str) -> Column:
+    """The evidence string without read starts, indels and the characters they own."""
+    raw = col(pile)
+    return F.when(raw.rlike(_long_indel_pattern()), _walk_symbols(raw)).otherwise(
+        F.regexp_replace(raw, _skip_pattern(), "")
+    )
+
 
-    A reference base outside ACGT is counted under ``other``.
+def base_counts(df: DataFrame, ref: str, symbols: str) -> DataFrame:
+    """Add n_A, n_C, n_G, n_T, n_other: counted bases; '.' and ',' count as the reference base.
+
+    A reference base outside ACGT is counted under ``n_other``.
     """
-    reference, raw = F.upper(col(ref)), col(pile)
-    symbols, contained = _plain_symbols(raw)
-    kept = F.when(contained, symbols).otherwise(_walk_symbols(raw))
-    as_reference = _count_of(kept, ".,")
+    shared = df.withColumns({"_upper": F.upper(symbols), "_ref": F.upper(ref)}).withColumn(
+        "_as_ref", count_of(F.col("_upper"), ".,")
+    )
     zero = F.lit(0).cast("bigint")
-    fields = [
-        (_count_of(kept, base + base.lower()) + F.when(reference == base, as_reference).otherwise(zero)).alias(base)
+    counts = {
+        f"n_{base}": count_of(F.col("_upper"), base) + F.when(F.col("_ref") == base, F.col("_as_ref")).otherwise(zero)
         for base in BASES
-    ]
-    other = F.when(reference.isin(*BASES), zero).otherwise(as_reference).alias("other")
-    return F.struct(*fields, other)
+    }
+    counts["n_other"] = F.when(F.col("_ref").isin(*BASES), zero).otherwise(F.col("_as_ref"))
+    return shared.withColumns(counts).drop("_upper", "_ref", "_as_ref")
 
 
 def second_largest(*counts: Column) -> Column:

@@ -71,6 +71,14 @@ def split_numeric_suffix(c: Column | str, pattern: str = r"_(\d+)$") -> tuple[Co
     return container, index
 
 
+def count_of(value: Column, characters: str) -> Column:
+    """How many of the given characters the text holds (plain replacement is the fastest way)."""
+    left = value
+    for ch in characters:
+        left = F.replace(left, F.lit(ch), F.lit(""))
+    return (F.length(value) - F.length(left)).cast("bigint")
+
+
 def first_token(c: Column | str) -> Column:
     return F.regexp_extract(col(c), r"^\s*(\S*)", 1)
 

@@ -17,7 +17,8 @@ from cohortloom.fixed_values import (
     PROPER_PAIR_BIT,
     WIDE_SHARE,
 )
-from cohortloom.functions.evidence import base_counts, second_largest
+from cohortloom.functions.evidence import base_counts, counted_symbols, second_largest
+from cohortloom.functions.text import count_of
 from cohortloom.functions.numeric import per_million, ratio, ratio_or_zero
 from cohortloom.operators.intervals import merge_intervals
 from cohortloom.operators.quantiles import half_mass_length
@@ -58,8 +59,7 @@ def quality_rows(
 
 def decode_rows(df: DataFrame, ref: str = "ref", pile: str = "pile") -> DataFrame:
     """Add the counts of A, C, G, T and other reference bases as columns n_A .. n_other."""
-    decoded = df.withColumn("_counts", base_counts(ref, pile))
-    return decoded.select(*df.columns, *[F.col(f"_counts.{b}").alias(f"n_{b}") for b in BASE_NAMES])
+    return base_counts(df.withColumn("_symbols", counted_symbols(pile)), ref, "_symbols").drop("_symbols")
 
 
 def base_count_columns(df: DataFrame, position_keys: list[str], base: str, weight: Column | None = None) -> DataFrame:
@@ -132,8 +132,7 @@ def mixture_burden(counted: DataFrame, keys: list[str], **screen: object) -> Dat
 
 
 def gc_count(sequence: Column) -> Column:
-    upper = F.upper(sequence)
-    return (F.length(upper) - F.length(F.translate(upper, "GC", ""))).cast("bigint")
+    return count_of(F.upper(sequence), "GC")
 
 
 def sequence_stats(

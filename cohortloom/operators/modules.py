@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortloom.fixed_values import MAX_INTERVENING, MIN_ADJACENCY, MIN_JACCARD, MIN_PAIR_ENTITIES
 from cohortloom.functions.numeric import ratio_or_zero
 from cohortloom.operators.skew import bucket_of, carry_before, key_weights, skew_join
+from cohortloom.session import cut_lineage
 
 SPAN_WIDTH = 1 << 12
 
@@ -40,14 +41,16 @@ def identical_set_groups(
         .agg(F.count(F.lit(1)).alias("_weight"), F.min(feature).alias("leader"))
         .filter(F.col("_weight") >= min_features)
     )
-    members = skew_join(signatures, groups, keys, "_weight", [feature], how="inner").select(
-        direction, "leader", feature, "set_size"
+    members = cut_lineage(
+        skew_join(signatures, groups, keys, "_weight", [feature], how="inner").select(
+            direction, "leader", feature, "set_size"
+        )
     )
     rows = presence.select(direction, feature, entity)
     leader_rows = rows.join(
         members.select(direction, F.col("leader").alias(feature)).distinct(), [direction, feature], "left_semi"
     ).select(direction, F.col(feature).alias("leader"), entity, F.lit(True).alias("_same"))
-    confirmed = (
+    confirmed = cut_lineage(
         rows.join(members, [direction, feature])
         .join(leader_rows, [direction, "leader", entity], "left")
         .groupBy(direction, "leader", feature)
@@ -119,18 +122,19 @@ def covering_spans(
     For each point the window ending there starts at the earliest of the last-seen positions of the
     required features. Points are folded inside position buckets (at most ``width`` positions times
     the block's features); last-seen positions enter a bucket from one row per (bucket, feature).
-    Containers that lack a feature give no row.
+    Containers that lack a feature give no row. The block's own points are checkpointed: several
+    passes read them, and they are a small part of all hits.
     """
     place = [block, entity, container]
     ranked = members.select(block, feature).distinct().withColumn(
         "_slot", F.row_number().over(Window.partitionBy(block).orderBy(feature)) - 1
     )
     slots = ranked.groupBy(block).agg(F.count(F.lit(1)).alias("_need"))
-    points = (
-        hits.select(feature, entity, container, F.col(position).alias("_pos"))
+    points = cut_lineage(
+        hits.select(feature, entity, container, F.col(position).cast("bigint").alias("_pos"))
         .join(ranked, feature)
-        .groupBy(*place, "_pos", "_slot")
-        .agg(F.lit(1).alias("_one"))
+        .select(*place, "_pos", "_slot")
+        .distinct()
         .withColumn("_bucket", bucket_of(F.col("_pos"), width))
     )
     complete = (

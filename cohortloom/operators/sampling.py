@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.hashing import label_of, stable_number
 from cohortloom.operators import checks
 from cohortloom.operators.skew import skew_join
+from cohortloom.session import cut_lineage
 
 HASH_BITS = 60
 CUT_BITS = 20
@@ -90,7 +91,8 @@ def exact_sample(
     """Exactly ``size`` rows per group without replacement: those with the smallest label hash.
 
     ``sizes`` has one row per group. Hashes are cut into 2**20 ranges; range counts give the range in
-    which the n-th smallest hash lies, so only that thin range is sorted. Nothing is gathered.
+    which the n-th smallest hash lies, so only that thin range is sorted. Nothing is gathered. The
+    limits (one row per group) are checkpointed; ``df`` itself is read twice.
     Asking for more rows than a group has is an error.
     """
     hashed = df.withColumn("_h", stable_number(label)).withColumn(
@@ -112,7 +114,7 @@ def exact_sample(
     )
     # The edge range is the first whose running count reaches the wanted size.
     edge_row = F.struct("_cut", (F.col("_want") - (F.col("_upto") - F.col("_n"))).alias("rest"))
-    limits = (
+    limits = cut_lineage(
         placed.groupBy(group)
         .agg(
             F.max("_total").alias("_weight"),

@@ -45,6 +45,17 @@ def skew_join(
     return joined.select(*left.columns, *[F.col(f"_payload.{c}").alias(c) for c in payload])
 
 
+def fill_cores(scan: DataFrame, columns: list[str]) -> DataFrame:
+    """Spread a table scan over all cores when it arrives in fewer partitions than there are cores.
+
+    For heavy per-row work on a few files or row groups. A scan that already has a partition per core,
+    as any large table does, is returned as it is, so no shuffle is added at scale. ``columns`` should
+    identify rows. Only for scans and narrow steps on them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *columns)
+
+
 def key_weights(df: DataFrame, keys: list[str], name: str = "_weight") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.text import count_of
 from cohortloom.operators.skew import skew_join
 from cohortloom.session import cut_lineage
 
@@ -153,8 +154,7 @@ def reference_labels_inside(closure: DataFrame, ancestors: DataFrame, reference_
 
 def alignment_shape(sequences: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """Per key: records, width, whether all records share it, and missing or gap cells."""
-    upper = F.upper(F.col(sequence))
-    missing = (F.length(upper) - F.length(F.translate(upper, "N-", ""))).cast("bigint")
+    missing = count_of(F.upper(sequence), "N-")
     width = F.length(sequence).cast("bigint")
     return sequences.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("records"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.hashing import label_of, stable_number
 from cohortloom.functions.text import add_three_digits
 from cohortloom.operators import association, joins
+from cohortloom.operators.skew import fill_cores
 from cohortloom.plans.registry import Tables, query
 from cohortloom.session import cut_lineage
 
@@ -22,7 +23,8 @@ def _second() -> Column:
 
 def _words(t: Tables, documents: DataFrame) -> DataFrame:
     """Distinct (word, document) presence from whole texts."""
-    return documents.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    texts = fill_cores(documents.select("doc_id", "text"), ["doc_id"])
+    return texts.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
 
 
 def _panel(t: Tables) -> DataFrame:
@@ -207,9 +209,9 @@ calls as (select block_id, starts_with(block_id, 'second_') as second_expected,
 def _calls(t: Tables) -> DataFrame:
     """One row per (signal, document of either group), absences included. The signal list is a literal."""
     listed = F.array(*[F.struct(F.lit(b).alias("block_id"), F.lit(w).alias("word")) for b, w in _SIGNALS.items()])
+    texts = fill_cores(t.documents.filter(_first() | _second()).select("doc_id", "lang", "source", "text"), ["doc_id"])
     return (
-        t.documents.filter(_first() | _second())
-        .select("doc_id", "lang", "source", F.split("text", r"\s+").alias("words"))
+        texts.select("doc_id", "lang", "source", F.split("text", r"\s+").alias("words"))
         .withColumn("_s", F.explode(listed))
         .select(
             F.col("_s.block_id").alias("block_id"),

@@ -9,6 +9,7 @@ from cohortloom import fixed_values as fv
 from cohortloom.functions.numeric import per_million, ratio
 from cohortloom.functions.text import truth
 from cohortloom.operators import checks, classify, evidence, joins, quantiles, selection, sweep
+from cohortloom.operators.skew import fill_cores
 from cohortloom.plans.registry import Tables, query
 
 
@@ -24,7 +25,8 @@ from cohortloom.plans.registry import Tables, query
     from d join n using (source) group by d.source, n.n50""",
 )
 def n50_by_source(t: Tables) -> DataFrame:
-    return evidence.sequence_stats(t.documents.select("source", "text"), ["source"], "text", min_length=20).withColumn(
+    texts = fill_cores(t.documents.select("doc_id", "source", "text"), ["doc_id"])
+    return evidence.sequence_stats(texts, ["source"], "text", min_length=20).withColumn(
         "gc_percent", F.round("gc_percent", 6)
     )
 
@@ -52,7 +54,8 @@ def _pile_rows(t: Tables) -> DataFrame:
         F.when(n == 7, F.lit("+2^Ag")).otherwise(F.lit("^^")),
     )
     ref = F.when(F.col("l_linestatus") == "F", F.lit("g")).otherwise(F.lit("N"))
-    return t.lineitem.select(
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "l_quantity", "l_returnflag")
+    return fill_cores(lines, ["l_orderkey", "l_partkey"]).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", q.alias("q"), letter.alias("letter"),
         ref.alias("ref"), pile.alias("pile"),
     )

@@ -9,6 +9,7 @@ from cohortloom.functions.text import joined_labels, split_numeric_suffix
 from cohortloom.operators import graph, modules, reshape
 from cohortloom.plans.interval_plans import minute_of
 from cohortloom.plans.registry import Tables, query
+from cohortloom.session import cut_lineage
 
 _EVENT_SQL = """
 with ev as (select event_id, user_id, event_type, floor(date_diff('second', timestamp '2024-01-01', date_trunc('second', ts)) / 60)::bigint as minute from events),
@@ -199,10 +200,11 @@ edges as (select sim.direction, sim.feature_a, sim.feature_b, shared, jaccard, c
 
 
 def _edges(t: Tables) -> DataFrame:
-    return modules.near_edges(
+    edges = modules.near_edges(
         _hour_features(t), "feature", "user_id", "direction", "position", max_distance=60, min_shared=10, min_jaccard=0.28,
         min_adjacency=0.30,
     )
+    return cut_lineage(edges)
 
 
 @query(

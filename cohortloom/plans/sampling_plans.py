@@ -10,6 +10,7 @@ from cohortloom.functions import text as tx
 from cohortloom.functions.hashing import label_of
 from cohortloom.operators import intervals, joins, sampling, skew, sweep
 from cohortloom.plans.registry import Tables, query
+from cohortloom.session import cut_lineage
 
 _SEEDS = [101, 202, 303]
 _HASH = "('0x' || substr(sha256({0}), 1, 15))::bigint"
@@ -85,7 +86,7 @@ def union_pool(t: Tables) -> DataFrame:
     """Half of the unique rows under all windows of a source, each owned by its earliest seed."""
     spans = _manifest(t).select("source", "seed", F.col("window_start").alias("start"), (F.col("window_start") + F.col("window_rows")).alias("end"))
     owners = intervals.own_by_precedence(spans, ["source"], "seed").withColumnRenamed("seed", "owner")
-    held = intervals.locate_points(_positions(t), owners, ["source"], "position", ["owner"])
+    held = cut_lineage(intervals.locate_points(_positions(t), owners, ["source"], "position", ["owner"]))
     sizes = sampling.source_totals(held, "source").select("source", F.floor(F.col("total_source_rows") / 2).alias("sample_rows"))
     return sampling.exact_sample(held, sizes, "source", "doc_id", label_of(F.col("source"), "union_pool", fv.POOL_SEED, F.col("doc_id")))
 
