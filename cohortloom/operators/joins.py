@@ -70,16 +70,21 @@ def remaining_work(manifest: DataFrame, results: DataFrame, key: str) -> DataFra
     return manifest.join(results.select(key), key, "left_anti")
 
 
+def mate_verdict(first_key: Column, second_key: Column) -> Column:
+    return (
+        F.when(first_key.isNull() | second_key.isNull(), F.lit("missing_mate"))
+        .when(first_key != second_key, F.lit("key_mismatch"))
+        .otherwise(F.lit("paired"))
+    )
+
+
 def pair_mates(first: DataFrame, second: DataFrame, keys: list[str], name_key: str) -> DataFrame:
     """Full join of two record lists on position, with the verdict for every position."""
     a = first.select(*keys, F.col(name_key).alias("first_key"))
     b = second.select(*keys, F.col(name_key).alias("second_key"))
-    problem = (
-        F.when(F.col("first_key").isNull() | F.col("second_key").isNull(), F.lit("missing_mate"))
-        .when(F.col("first_key") != F.col("second_key"), F.lit("key_mismatch"))
-        .otherwise(F.lit("paired"))
+    return a.join(b, keys, "full_outer").withColumn(
+        "pair_status", mate_verdict(F.col("first_key"), F.col("second_key"))
     )
-    return a.join(b, keys, "full_outer").withColumn("pair_status", problem)
 
 
 def evidence_rows(long: DataFrame, key: str, route: str, routes: list[str], metrics: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.functions.text import first_token, mate_key
-from cohortloom.operators.joins import pair_mates
+from cohortloom.operators.joins import mate_verdict
 from cohortloom.operators.skew import carry_before
 from cohortloom.session import cut_lineage
 from cohortloom.sources.tables import with_path
@@ -79,17 +79,15 @@ def paired_reads(first: DataFrame, second: DataFrame, sample: str) -> DataFrame:
     """(sample, position, key, mates): mates of one position must share a key; otherwise an error."""
     a = first.withColumn("key", mate_key(F.regexp_replace("header", "^@", "")))
     b = second.withColumn("key", mate_key(F.regexp_replace("header", "^@", "")))
-    keys = [sample, "position"]
-    verdict = pair_mates(a, b, keys, "key")
-    checked = F.when(F.col("pair_status") == "paired", F.col("first_key")).otherwise(
-        F.raise_error(F.concat(F.col("pair_status"), F.lit(" at record "), F.col("position")))
+    keys, fields = [sample, "position"], ["key", "header", "seq", "qual"]
+    joined = a.select(*keys, *[F.col(f).alias(f"{f}_1") for f in fields]).join(
+        b.select(*keys, *[F.col(f).alias(f"{f}_2") for f in fields]), keys, "full_outer"
     )
-    fields = ["header", "seq", "qual"]
-    return (
-        verdict.select(*keys, checked.alias("key"))
-        .join(a.select(*keys, *[F.col(f).alias(f"{f}_1") for f in fields]), keys)
-        .join(b.select(*keys, *[F.col(f).alias(f"{f}_2") for f in fields]), keys)
+    verdict = mate_verdict(F.col("key_1"), F.col("key_2"))
+    checked = F.when(verdict == "paired", F.col("key_1")).otherwise(
+        F.raise_error(F.concat(verdict, F.lit(" at record "), F.col("position")))
     )
+    return joined.select(*keys, checked.alias("key"), *[f"{f}_{i}" for f in fields[1:] for i in (1, 2)])
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
