@@ -140,3 +140,122 @@ NA_TOKENS = (
 
 # Counted letters of one position; the last one holds reference bases outside ACGT.
 BASE_NAMES = ("A", "C", "G", "T", "other")
+
+# Analysis-label rules, first match wins. A test is (kind, column, value); kinds are
+# "is" (equal), "has" (contains, case as written), "has_any_case" and "below".
+LABEL_COLUMNS = (
+    "broad_analysis_panel",
+    "provisional_genomic_lineage",
+    "figure_label",
+    "manuscript_wording",
+    "wording_tier",
+    "boundary_note",
+    "phylogeny_panel",
+)
+LABEL_RULES = (
+    (
+        (
+            ("is", "best_public_reporting_species", "Mycobacterium colombiense"),
+            ("is", "best_type_broad_group", "Mycobacterium colombiense"),
+        ),
+        (
+            "M_colombiense",
+            "M_colombiense",
+            "M. colombiense",
+            "Mycobacterium colombiense",
+            "species_supported_public_and_type_anchor",
+            "public and type-anchor evidence concordant",
+            "colombiense_context",
+        ),
+    ),
+    (
+        (
+            ("is", "best_public_reporting_species", "Mycobacterium avium"),
+            ("has", "best_public_fine_label", "hominissuis"),
+        ),
+        (
+            "M_avium_timonense_boundary",
+            "M_avium_hominissuis_adjacent_public_context",
+            "M. avium context",
+            "Mycobacterium avium public-context group",
+            "public_context_supported_anchor_boundary",
+            "avium",
+            "avium_timonense_context",
+        ),
+    ),
+    (
+        (("is", "best_public_reporting_species", "Mycobacterium avium"),),
+        (
+            "M_avium_timonense_boundary",
+            "M_avium_public_group",
+            "M. avium context",
+            "Mycobacterium avium public-context group",
+            "public_context_supported_anchor_boundary",
+            "avium",
+            "avium_timonense_context",
+        ),
+    ),
+    (
+        (("is", "best_type_broad_group", "Mycobacterium paraintracellulare"),),
+        (
+            "M_intracellulare_complex",
+            "MI_MP_MIP_lineage",
+            "MI: MP-MIP",
+            "Mycobacterium intracellulare MP-MIP genomic lineage",
+            "lineage_wording_required",
+            "mp_mip",
+            "intracellulare_complex_context",
+        ),
+    ),
+    (
+        (("has_any_case", "best_public_fine_label", "chimaera"),),
+        (
+            "M_intracellulare_complex",
+            "MI_chimaera_adjacent_lineage",
+            "MI: chimaera-adjacent",
+            "Mycobacterium intracellulare chimaera-adjacent public-context lineage",
+            "legacy_subgroup_context_only",
+            "public chimaera-adjacent placement with yongonense/typical-MI anchor proximity",
+            "intracellulare_complex_context",
+        ),
+    ),
+    (
+        (
+            ("has_any_case", "best_type_fine_label", "yongonense"),
+            ("below", "type_distinct_fine_label_ani_margin", 0.15),
+        ),
+        (
+            "M_intracellulare_complex",
+            "MI_yongonense_chimaera_boundary",
+            "MI: yongonense/chimaera boundary",
+            "Mycobacterium intracellulare yongonense/chimaera boundary lineage",
+            "legacy_subgroup_boundary_wording_required",
+            "fine-anchor margin below 0.15 percentage points",
+            "intracellulare_complex_context",
+        ),
+    ),
+    (
+        (("is", "best_type_broad_group", "Mycobacterium intracellulare"),),
+        (
+            "M_intracellulare_complex",
+            "MI_TMI_lineage",
+            "MI: TMI",
+            "typical Mycobacterium intracellulare (TMI) genomic lineage",
+            "lineage_wording_preferred",
+            "typical-MI public/type context; tree confirmation required",
+            "intracellulare_complex_context",
+        ),
+    ),
+)
+# The two long boundary notes.
+LABEL_NOTES = {
+    "avium": (
+        "nearest public genomes are M. avium; hominissuis-adjacent context is descriptive rather than a "
+        "strict subspecies assignment, and timonense-anchor proximity is retained because the anchor panel "
+        "does not represent all M. avium subspecies diversity"
+    ),
+    "mp_mip": (
+        "M. paraintracellulare/M. indicus pranii-associated genomic group; M. paraintracellulare is retained "
+        "only as a historical boundary label"
+    ),
+}

@@ -26,26 +26,33 @@ def group_totals(panel: DataFrame, groups: dict[str, Column]) -> DataFrame:
     return panel.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"{g}_total") for g, c in groups.items()])
 
 
+def flag_entities(panel: DataFrame, groups: dict[str, Column], keep: list[str]) -> DataFrame:
+    """One boolean column per group, with the kept columns."""
+    return panel.select(*keep, *[F.coalesce(c, F.lit(False)).alias(f"_{g}") for g, c in groups.items()])
+
+
+def counts_of_flagged(presence: DataFrame, totals: DataFrame, feature: str, groups: list[str]) -> DataFrame:
+    """Counts, totals and prevalences per feature from distinct presence rows that carry group flags.
+
+    Counts are merged map-side; totals are one-row scalar subqueries.
+    """
+    counted = presence.groupBy(feature).agg(
+        F.count(F.lit(1)).alias("entities_present"), *[F.count_if(f"_{g}").alias(f"{g}_present") for g in groups]
+    )
+    counted = counted.withColumns({f"{g}_total": totals.select(f"{g}_total").scalar() for g in groups})
+    return counted.withColumns({f"{g}_prevalence": ratio(f"{g}_present", f"{g}_total") for g in groups})
+
+
 def presence_counts(
     presence: DataFrame, panel: DataFrame, feature: str, entity: str, groups: dict[str, Column]
 ) -> DataFrame:
     """Per feature: entities present in all and in each group, with group totals and prevalences.
 
-    The panel has one row per entity, so the join keeps presence rows as they are; counts are merged
-    map-side. Group totals come from the panel alone, as one-row scalar subqueries.
+    The panel has one row per entity, so the join keeps presence rows as they are. Group totals come
+    from the panel alone.
     """
-    flags = panel.select(entity, *[F.coalesce(c, F.lit(False)).alias(f"_{g}") for g, c in groups.items()])
-    counted = (
-        presence.join(flags, entity, "inner")
-        .groupBy(feature)
-        .agg(
-            F.count(F.lit(1)).alias("entities_present"),
-            *[F.count_if(f"_{g}").alias(f"{g}_present") for g in groups],
-        )
-    )
-    totals = group_totals(panel, groups)
-    counted = counted.withColumns({f"{g}_total": totals.select(f"{g}_total").scalar() for g in groups})
-    return counted.withColumns({f"{g}_prevalence": ratio(f"{g}_present", f"{g}_total") for g in groups})
+    joined = presence.join(flag_entities(panel, groups, [entity]), entity, "inner")
+    return counts_of_flagged(joined, group_totals(panel, groups), feature, list(groups))
 
 
 def signed_gap(first: str, second: str, second_expected: Column) -> Column:

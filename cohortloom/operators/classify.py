@@ -113,3 +113,26 @@ def strict_quality(source: Column, public: str, completeness: Column, contaminat
         within(contigs, None, limits["contigs"]),
         within(n50, limits["n50"], None),
     )
+
+
+def table_rules(table, columns: tuple[str, ...], notes: dict[str, str]) -> list[tuple[Column, dict[str, str]]]:
+    """Rules for ``rule_cascade`` from a plain table of (tests, output values)."""
+    kinds = {
+        "is": lambda c, v: c == v,
+        "has": lambda c, v: c.contains(v),
+        "has_any_case": lambda c, v: F.lower(c).contains(v),
+        "below": lambda c, v: c.try_cast("double") < v,
+    }
+    return [
+        (
+            all_true(*[kinds[kind](F.col(column), value) for kind, column, value in tests]),
+            {name: notes.get(value, value) for name, value in zip(columns, values, strict=True)},
+        )
+        for tests, values in table
+    ]
+
+
+def analysis_labels(evidence: DataFrame) -> DataFrame:
+    """Seven label columns per sample by the fixed rule table; a sample without a rule is an error."""
+    rules = table_rules(fv.LABEL_RULES, fv.LABEL_COLUMNS, fv.LABEL_NOTES)
+    return rule_cascade(evidence, rules, F.col("sample_id"))

@@ -156,23 +156,32 @@ def overlapping_pairs(
 ) -> DataFrame:
     """Unordered pairs of intervals of one key that share at least one point.
 
-    Pairs meet inside position buckets, and only in the first bucket they share, so pairs that do not
-    overlap are never formed and none is formed twice.
+    Copies (equal start and end) are folded to one interval with its lowest id, so a row stands for
+    ``pairs`` pairs; a folded interval of n copies also gives one row with itself for its n(n-1)/2
+    inner pairs. Pairs meet inside position buckets, and only in the first bucket they share, so pairs
+    that do not overlap are never formed and none is formed twice.
     """
-    spans = in_buckets(df.select(*keys, id_col, F.col(start).alias("start"), F.col(end).alias("end")), "start", "end", width)
-    a = spans.select(*keys, "_bucket", F.col(id_col).alias("id_a"), F.col("start").alias("start_a"), F.col("end").alias("end_a"))
-    b = spans.select(*keys, "_bucket", F.col(id_col).alias("id_b"), F.col("start").alias("start_b"), F.col("end").alias("end_b"))
-    shared = overlap_length(F.col("start_a"), F.col("end_a"), F.col("start_b"), F.col("end_b"))
-    first_shared = bucket_of(F.greatest("start_a", "start_b"), width)
+    folded = df.groupBy(*keys, F.col(start).alias("start"), F.col(end).alias("end")).agg(
+        F.min(id_col).alias("_id"), F.count(F.lit(1)).alias("_n")
+    )
+    spans = in_buckets(folded, "start", "end", width)
+
+    def side(letter: str) -> DataFrame:
+        names = {"_id": "id", "start": "start", "end": "end", "_n": "_n"}
+        return spans.select(*keys, "_bucket", *[F.col(c).alias(f"{n}_{letter}") for c, n in names.items()])
+
+    n_a, n_b = F.col("_n_a"), F.col("_n_b")
+    inner = F.col("id_a") == F.col("id_b")
     return (
-        a.join(b, [*keys, "_bucket"])
+        side("a")
+        .join(side("b"), [*keys, "_bucket"])
         .filter(
-            (F.col("id_a") < F.col("id_b"))
+            ((F.col("id_a") < F.col("id_b")) | (inner & (n_a > 1)))
             & (F.col("start_a") < F.col("end_b"))
             & (F.col("start_b") < F.col("end_a"))
-            & (F.col("_bucket") == first_shared)
+            & (F.col("_bucket") == bucket_of(F.greatest("start_a", "start_b"), width))
         )
-        .withColumn("overlap", shared)
+        .withColumn("overlap", overlap_length(F.col("start_a"), F.col("end_a"), F.col("start_b"), F.col("end_b")))
         .withColumn(
             "overlap_fraction",
             F.try_divide(
@@ -180,7 +189,8 @@ def overlapping_pairs(
                 F.least(F.col("end_a") - F.col("start_a"), F.col("end_b") - F.col("start_b")).cast("double"),
             ),
         )
-        .drop("_bucket")
+        .withColumn("pairs", F.when(inner, F.floor(n_a * (n_a - 1) / 2)).otherwise(n_a * n_b).cast("bigint"))
+        .drop("_bucket", "_n_a", "_n_b")
     )
 
 
@@ -191,8 +201,8 @@ def overlap_summary(df: DataFrame, keys: list[str], pairs: DataFrame) -> DataFra
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("intervals"))
     found = pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("overlapping_pairs"),
-        F.sum("overlap_fraction").alias("_sum"),
+        F.sum("pairs").alias("overlapping_pairs"),
+        F.sum(F.col("overlap_fraction") * F.col("pairs")).alias("_sum"),
         F.min("overlap_fraction").alias("_min"),
         F.max("overlap_fraction").alias("_max"),
     )

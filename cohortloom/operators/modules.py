@@ -233,8 +233,14 @@ def similar_pairs(
     overlap must share an entity among the first ``size - needed + 1`` of each, so only those few rare
     entities propose pairs; a size test drops pairs that cannot qualify; proposals are then counted
     exactly. Common entities, which would propose most pairs, lie outside the prefixes.
+
+    Features with one and the same entity set are represented by their leader: the result holds the
+    pairs between distinct sets, and one row (leader, copy) with ``identical`` true per further copy,
+    never all pairs of copies. A copy's other pairs are those of its leader.
     """
-    rows = presence.select(direction, feature, entity)
+    everything = presence.select(direction, feature, entity)
+    copies = identical_set_groups(everything, feature, entity, direction).filter(F.col(feature) != F.col("leader"))
+    rows = everything.join(copies.select(direction, feature), [direction, feature], "left_anti")
     sizes = rows.groupBy(direction, feature).agg(F.count(F.lit(1)).alias("_size"))
     commonness = key_weights(rows, [direction, entity])
     common = commonness.withColumn("_common", F.col("_weight"))
@@ -257,9 +263,16 @@ def similar_pairs(
         .select(direction, "feature_a", "feature_b", "size_a", "size_b")
         .distinct()
     )
-    return shared_counts(proposed, rows, feature, entity, direction).filter(
-        (F.col("shared") >= min_shared) & (F.col("jaccard") >= min_jaccard)
+    distinct_sets = (
+        shared_counts(proposed, rows, feature, entity, direction)
+        .filter((F.col("shared") >= min_shared) & (F.col("jaccard") >= min_jaccard))
+        .withColumn("identical", F.lit(False))
+    )
+    same = copies.filter(F.col("set_size") >= min_shared).select(
+        direction, F.col("leader").alias("feature_a"), F.col(feature).alias("feature_b"), F.col("set_size").alias("size_a"),
+        F.col("set_size").alias("size_b"), F.col("set_size").alias("shared"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("identical"),
     )
+    return distinct_sets.unionByName(same)
 
 
 def shared_counts(pairs: DataFrame, rows: DataFrame, feature: str, entity: str, direction: str) -> DataFrame:

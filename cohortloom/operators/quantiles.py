@@ -8,13 +8,10 @@ from pyspark.sql import functions as F
 STEPS = 1 << 16
 
 
-def value_histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows per (keys, value); nulls are left out. The only pass over the data, merged map-side."""
-    return (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+def value_histogram(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """Rows (or summed weight) per (keys, value); nulls are left out. Merged map-side."""
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(size.alias("_n"))
 
 
 def value_bucket(value: Column, steps: int = STEPS) -> Column:
@@ -60,10 +57,12 @@ def lower_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     return ranked_values(value_histogram(df, keys, value), keys).select(*keys, F.col("low").alias(name))
 
 
-def middle_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
-    """Exact median; the mean of the two middle values when n is even."""
+def middle_median(
+    df: DataFrame, keys: list[str], value: str, name: str = "median", weight: str | None = None
+) -> DataFrame:
+    """Exact median; the mean of the two middle values when n is even. A row may count ``weight`` times."""
     middle = (F.col("low").cast("double") + F.col("high").cast("double")) / 2.0
-    return ranked_values(value_histogram(df, keys, value), keys).select(*keys, middle.alias(name))
+    return ranked_values(value_histogram(df, keys, value, weight), keys).select(*keys, middle.alias(name))
 
 
 def half_mass_length(df: DataFrame, keys: list[str], length: str, name: str = "n50") -> DataFrame:

@@ -34,7 +34,7 @@ def ancestor_closure(nodes: DataFrame, tips: DataFrame, max_rounds: int = 40) ->
             "panel", "tip", F.col("_to").alias("ancestor"),
             (F.col("distance") + F.col("_len")).alias("distance"), (F.col("hops") + F.col("_hops")).alias("hops"),
         )
-        closure = cut_lineage(closure.unionByName(grown))
+        closure = closure.unionByName(cut_lineage(grown))
         arrivals = jump.groupBy("panel", F.col("_to").alias("ancestor")).agg(F.count(F.lit(1)).alias("_weight"))
         onward = jump.select(
             "panel", "ancestor", F.col("_to").alias("_next"), F.col("_len").alias("_nlen"), F.col("_hops").alias("_nhops")

@@ -21,28 +21,29 @@ def _second() -> Column:
     return F.col("lang") == "fr"
 
 
-def _words(t: Tables, documents: DataFrame) -> DataFrame:
-    """Distinct (word, document) presence from whole texts."""
-    texts = fill_cores(documents.select("doc_id", "text"), ["doc_id"])
-    return texts.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-
-
-def _panel(t: Tables) -> DataFrame:
+def _panel(t: Tables, documents: DataFrame) -> DataFrame:
     """Documents with cohort (labelled or not) and sub-route (parity of the source number)."""
-    labelled = t.labels.select("doc_id").distinct().withColumn("_l", F.lit(True))
-    return (
-        t.documents.select("doc_id", "lang", "source")
-        .join(labelled, "doc_id", "left")
-        .select(
-            "doc_id",
-            "lang",
-            "source",
-            F.col("_l").isNotNull().alias("public"),
-            (F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 2 == 0).alias("direct"),
-        )
+    labelled = t.labels.select("doc_id").distinct().withColumn("public", F.lit(True))
+    return documents.join(labelled, "doc_id", "left").withColumns(
+        {
+            "public": F.col("public").isNotNull(),
+            "direct": F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 2 == 0,
+        }
     )
 
 
+def _word_counts(t: Tables, groups: dict[str, Column]) -> DataFrame:
+    """Presence counts of every word over whole texts.
+
+    A document's groups are settled before its words are unfolded, so exploded rows are never joined.
+    """
+    texts = fill_cores(t.documents.select("doc_id", "lang", "source", "text"), ["doc_id"])
+    flagged = association.flag_entities(_panel(t, texts), groups, ["text"])
+    words = flagged.withColumn("word", F.explode(F.array_distinct(F.split("text", r"\s+")))).drop("text")
+    totals = association.group_totals(_panel(t, t.documents.select("doc_id", "lang", "source")), groups)
+    return association.counts_of_flagged(words, totals, "word", list(groups))
+
+
 def _groups() -> dict[str, Column]:
     return {
         "public_first": F.col("public") & _first(),
@@ -106,7 +107,7 @@ adj as (select p, least(1.0, min(raw) over (order by p desc rows unbounded prece
 )
 def presence_counts(t: Tables) -> DataFrame:
     groups = {g: c for g, c in _groups().items() if g in ("public_first", "public_second", "local_first", "local_second")}
-    counts = association.presence_counts(_words(t, t.documents), _panel(t), "word", "doc_id", groups)
+    counts = _word_counts(t, groups)
     return counts.select(
         "word", "entities_present", *[f"{g}_present" for g in groups], "public_first_total", "public_second_total",
         F.round("public_first_prevalence", 6).alias("public_first_prevalence"),
@@ -115,8 +116,26 @@ def presence_counts(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "panel_presence",
+    """with p as (select distinct l_partkey, l_suppkey from lineitem),
+    tot as (select count(*) filter (where s_acctbal < 3000) as low_total, count(*) filter (where s_acctbal >= 6000) as high_total from supplier)
+    select l_partkey, count(*) as entities_present, count(*) filter (where s_acctbal < 3000) as low_present, count(*) filter (where s_acctbal >= 6000) as high_present,
+      any_value(low_total) as low_total, any_value(high_total) as high_total, round(count(*) filter (where s_acctbal < 3000) / any_value(low_total), 6) as low_prevalence,
+      round(count(*) filter (where s_acctbal >= 6000) / any_value(high_total), 6) as high_prevalence
+    from p join supplier on s_suppkey = l_suppkey, tot group by l_partkey""",
+)
+def panel_presence(t: Tables) -> DataFrame:
+    """Presence counts from a stored (feature, entity) table joined to an entity panel."""
+    presence = association.distinct_presence(t.lineitem, "l_partkey", "l_suppkey")
+    panel = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
+    groups = {"low": F.col("s_acctbal") < 3000, "high": F.col("s_acctbal") >= 6000}
+    out = association.presence_counts(presence, panel, "l_partkey", "l_suppkey", groups)
+    return out.withColumns({f"{g}_prevalence": F.round(f"{g}_prevalence", 6) for g in groups})
+
+
 def _tested(t: Tables) -> DataFrame:
-    counts = cut_lineage(association.presence_counts(_words(t, t.documents), _panel(t), "word", "doc_id", _groups()))
+    counts = cut_lineage(_word_counts(t, _groups()))
     cells = counts.withColumns(
         {
             "second_absent": F.col("public_second_total") - F.col("public_second_present"),
@@ -320,7 +339,7 @@ def stratum_gaps(t: Tables) -> DataFrame:
  w as (select *, 1.959963984540054 * sqrt(pr/(2*r*r) + ps/(2*r*t) + qs/(2*t*t)) as half, df*df/va as x, sqrt(df*df/va/2) as y from s),
  e as (select block_id, sum(exp((k*ln(2.0) + (2*k+1)*ln(y) - y*y) - (lgamma(2*k+2) - k*ln(2.0) - lgamma(k+1)))) as series from (select block_id, y, unnest(range(0, 400)) as k from w) group by block_id)
  select block_id, strata, informative_strata, concordant_strata, round(r/t, 6) as pooled_odds_ratio, round(exp(ln(r/t) - half), 6) as ci_lower, round(exp(ln(r/t) + half), 6) as ci_upper,
-   round(x, 6) as statistic, round(greatest(0.0, 1 - 2/sqrt(pi()) * series), 6) as p_value from w join e using (block_id)""",
+   round(x, 6) as statistic, case when x > 100 then 0.0::double else round(greatest(0.0, 1 - 2/sqrt(pi()) * series), 6) end as p_value from w join e using (block_id)""",
 )
 def mh_strata(t: Tables) -> DataFrame:
     gaps = association.stratum_gaps(association.complete_strata(_strata(t), "source"), F.col("second_expected"))

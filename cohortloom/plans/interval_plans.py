@@ -142,7 +142,13 @@ def _pairs(t: Tables) -> DataFrame:
 @query(
     "pairwise_overlap",
     _PAIRS_SQL
-    + "select user_id, event_type, id_a, id_b, start_a, end_a, start_b, end_b, overlap, round(overlap_fraction, 6) as overlap_fraction from p",
+    + """select user_id, event_type, least(la.id, lb.id) as id_a, greatest(la.id, lb.id) as id_b,
+   case when la.id <= lb.id then start_a else start_b end as start_a, case when la.id <= lb.id then end_a else end_b end as end_a,
+   case when la.id <= lb.id then start_b else start_a end as start_b, case when la.id <= lb.id then end_b else end_a end as end_b,
+   overlap, round(overlap_fraction, 6) as overlap_fraction, count(*) as pairs from p
+   join (select user_id, event_type, s, e, min(event_id) as id from v group by 1, 2, 3, 4) la using (user_id, event_type)
+   join (select user_id, event_type, s, e, min(event_id) as id from v group by 1, 2, 3, 4) lb using (user_id, event_type)
+   where la.s = start_a and la.e = end_a and lb.s = start_b and lb.e = end_b group by all""",
 )
 def pairwise_overlap(t: Tables) -> DataFrame:
     return _pairs(t).withColumn("overlap_fraction", F.round("overlap_fraction", 6))
@@ -171,12 +177,12 @@ def overlap_summary(t: Tables) -> DataFrame:
       round(min(overlap_fraction), 6) as minimum, round(max(overlap_fraction), 6) as maximum from p group by event_type""",
 )
 def overlap_report(t: Tables) -> DataFrame:
-    pairs = _pairs(t).select("event_type", "overlap_fraction")
+    pairs = _pairs(t).select("event_type", "overlap_fraction", "pairs")
     stats = pairs.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("overlap_fraction").alias("mean"),
+        F.sum("pairs").alias("n"),
+        F.try_divide(F.sum(F.col("overlap_fraction") * F.col("pairs")), F.sum("pairs")).alias("mean"),
         F.min("overlap_fraction").alias("minimum"),
         F.max("overlap_fraction").alias("maximum"),
     )
-    out = stats.join(quantiles.middle_median(pairs, ["event_type"], "overlap_fraction"), "event_type")
+    out = stats.join(quantiles.middle_median(pairs, ["event_type"], "overlap_fraction", weight="pairs"), "event_type")
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "median", "minimum", "maximum")})

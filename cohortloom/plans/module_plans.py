@@ -180,7 +180,12 @@ def _hour_features(t: Tables) -> DataFrame:
 
 @query(
     "similar_pairs",
-    _HOURS_SQL + "select direction, feature_a, feature_b, size_a, size_b, shared, round(jaccard, 6) as jaccard from sim where shared >= 10 and jaccard >= 0.30",
+    _HOURS_SQL
+    + """, st as (select direction, feature, list(user_id order by user_id) as us from pr group by 1, 2),
+ld as (select direction, feature, min(feature) over (partition by direction, us) as leader from st)
+select sim.direction, feature_a, feature_b, size_a, size_b, shared, round(jaccard, 6) as jaccard, shared = size_a and size_a = size_b as identical from sim
+  join ld la on la.feature = feature_a join ld lb on lb.feature = feature_b
+where shared >= 10 and jaccard >= 0.30 and la.leader = feature_a and (lb.leader = feature_b or lb.leader = feature_a)""",
 )
 def similar_pairs(t: Tables) -> DataFrame:
     presence = _hour_features(t).select("direction", "feature", "user_id").distinct()

@@ -321,3 +321,23 @@ def test_components_do_not_depend_on_order(spark):
         want = want or got
         assert got == want
     assert dict(want) == {"a": "a", "b": "a", "c": "a", "g": "a", "h": "a", "d": "d", "e": "d", "f": "d"}
+
+
+def test_analysis_labels(spark):
+    names = ["sample_id", "best_public_reporting_species", "best_public_fine_label", "best_type_broad_group", "best_type_fine_label", "type_distinct_fine_label_ani_margin"]
+    m = "Mycobacterium "
+    data = [
+        ("1", m + "colombiense", "", m + "colombiense", "", "1.0", "M_colombiense"),
+        ("2", m + "avium", m + "avium subsp. hominissuis", m + "timonense", "", "1.0", "M_avium_hominissuis_adjacent_public_context"),
+        ("3", m + "avium", "x", m + "paraintracellulare", "", "1.0", "M_avium_public_group"),
+        ("4", "x", "Chimaera", m + "paraintracellulare", "", "1.0", "MI_MP_MIP_lineage"),
+        ("5", "x", "a Chimaera group", m + "intracellulare", "Yongonense", "0.1", "MI_chimaera_adjacent_lineage"),
+        ("6", "x", "", m + "intracellulare", "Yongonense", "0.149", "MI_yongonense_chimaera_boundary"),
+        ("7", "x", "", m + "intracellulare", "Yongonense", "0.15", "MI_TMI_lineage"),
+    ]
+    df = spark.createDataFrame([d[:6] for d in data], names)
+    got = {r.sample_id: r for r in classify.analysis_labels(df).collect()}
+    assert {k: v.provisional_genomic_lineage for k, v in got.items()} == {d[0]: d[6] for d in data}
+    assert got["2"].boundary_note.startswith("nearest public genomes") and got["4"].figure_label == "MI: MP-MIP"
+    with pytest.raises(Exception, match="no rule for 9"):
+        classify.analysis_labels(spark.createDataFrame([("9", "x", "", "y", "", "1")], names)).collect()

@@ -73,9 +73,17 @@ def test_overlap_pairs_brute_force(spark):
     rng = random.Random(11)
     data = [(i, "hot" if i % 3 else "b", s, s + rng.randrange(0, 25)) for i, s in ((i, rng.randrange(400)) for i in range(150))]
     df = spark.createDataFrame(data, "id bigint, k string, start bigint, end bigint")
-    want = {(a[0], b[0], min(a[3], b[3]) - max(a[2], b[2])) for a in data for b in data if a[0] < b[0] and a[1] == b[1] and max(a[2], b[2]) < min(a[3], b[3])}
+    df = df.unionByName(spark.createDataFrame([(200 + i, "hot", 3, 9) for i in range(5)], df.schema))
+    data += [(200 + i, "hot", 3, 9) for i in range(5)]
+    want = {}
+    for a in data:
+        for b in data:
+            if a[0] < b[0] and a[1] == b[1] and max(a[2], b[2]) < min(a[3], b[3]):
+                key = (a[1], *sorted([a[2:], b[2:]]))
+                want[key] = want.get(key, 0) + 1
     got = intervals.overlapping_pairs(df, ["k"], "id", width=16).collect()
-    assert {(r.id_a, r.id_b, r.overlap) for r in got} == want and len(got) == len(want)
+    found = {(r.k, *sorted([(r.start_a, r.end_a), (r.start_b, r.end_b)])): r.pairs for r in got}
+    assert found == want and len(got) == len(want)
 
 
 def test_quantiles_brute_force(spark):
@@ -114,15 +122,18 @@ def test_exact_sample_brute_force(spark):
 def test_similar_pairs_brute_force(spark, jaccard, shared):
     rng = random.Random(2)
     sets = {f"f{i:02d}": {e for e in range(20) if rng.random() < (0.95 if e < 3 else 0.25)} for i in range(40)}
-    sets["f00"] = sets["f01"] = set(range(10))
+    sets["f00"] = sets["f02"] = sets["f06"] = set(range(10))
     data = [("d" if int(f[1:]) % 2 else "e", f, e) for f, s in sets.items() for e in s]
     df = spark.createDataFrame(data, "d string, f string, e bigint")
     want = {
         (a, b) for a in sets for b in sets
         if a < b and int(a[1:]) % 2 == int(b[1:]) % 2 and len(sets[a] & sets[b]) >= shared and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= jaccard
     }
-    got = {(r.feature_a, r.feature_b) for r in mod.similar_pairs(df, "f", "e", "d", shared, jaccard).collect()}
-    assert got == want
+    leader = {f: min(g for g in sets if sets[g] == sets[f] and int(g[1:]) % 2 == int(f[1:]) % 2) for f in sets}
+    want = {(a, b) for a, b in want if leader[a] == a and leader[b] in (a, b)}
+    got = mod.similar_pairs(df, "f", "e", "d", shared, jaccard).collect()
+    assert {(r.feature_a, r.feature_b) for r in got} == want and len(got) == len(want)
+    assert {(r.feature_a, r.feature_b) for r in got if r.identical} == {(leader[f], f) for f in sets if leader[f] != f and len(sets[f]) >= shared}
 
 
 def test_near_edges_brute_force(spark):
