@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from cohortloom.fixed_values import MAX_INTERVENING, MIN_ADJACENCY, MIN_JACCARD, MIN_PAIR_ENTITIES
 from cohortloom.functions.numeric import ratio_or_zero
-from cohortloom.operators.skew import bucket_of, carry_before, key_weights, skew_join
+from cohortloom.operators.skew import bucket_of, carry_before, key_weights, range_rank, skew_join
 from cohortloom.session import cut_lineage
 
 SPAN_WIDTH = 1 << 12
+PREFIX_PARTS = 4096
 
 
 def set_signatures(presence: DataFrame, feature: str, entity: str, direction: str) -> DataFrame:
@@ -51,7 +52,7 @@ def identical_set_groups(
         members.select(direction, F.col("leader").alias(feature)).distinct(), [direction, feature], "left_semi"
     ).select(direction, F.col(feature).alias("leader"), entity, F.lit(True).alias("_same"))
     confirmed = cut_lineage(
-        rows.join(members, [direction, feature])
+        skew_join(rows, members.withColumn("_weight", F.col("set_size")), [direction, feature], "_weight", [entity], how="inner")
         .join(leader_rows, [direction, "leader", entity], "left")
         .groupBy(direction, "leader", feature)
         .agg(F.max("set_size").alias("set_size"), F.count("_same").alias("_shared"))
@@ -63,9 +64,9 @@ def identical_set_groups(
 
 
 def numbered_names(groups: DataFrame, direction: str, size: str, first: str, name: str, pattern: str) -> DataFrame:
-    """Number groups inside a direction by (size descending, first id). One row per group is ranked."""
-    ranked = Window.partitionBy(direction).orderBy(F.desc(size), F.asc(first))
-    return groups.withColumn(name, F.format_string(pattern, F.col(direction), F.row_number().over(ranked)))
+    """Name groups by their number inside a direction, in order of (size descending, first id)."""
+    ranked = range_rank(groups, [direction], [F.desc(size), F.asc(first)], "_rank")
+    return ranked.withColumn(name, F.format_string(pattern, F.col(direction), F.col("_rank"))).drop("_rank")
 
 
 def module_compactness(
@@ -232,7 +233,9 @@ def similar_pairs(
     Exact, by prefix filtering: with entities ordered from rare to common, two sets of sufficient
     overlap must share an entity among the first ``size - needed + 1`` of each, so only those few rare
     entities propose pairs; a size test drops pairs that cannot qualify; proposals are then counted
-    exactly. Common entities, which would propose most pairs, lie outside the prefixes.
+    exactly. Common entities, which would propose most pairs, lie outside the prefixes. The order is
+    kept in steps and a prefix ends with a whole step, which only adds proposals, so no feature's
+    entities are ever sorted in one task.
 
     Features with one and the same entity set are represented by their leader: the result holds the
     pairs between distinct sets, and one row (leader, copy) with ``identical`` true per further copy,
@@ -241,17 +244,22 @@ def similar_pairs(
     everything = presence.select(direction, feature, entity)
     copies = identical_set_groups(everything, feature, entity, direction).filter(F.col(feature) != F.col("leader"))
     rows = everything.join(copies.select(direction, feature), [direction, feature], "left_anti")
-    sizes = rows.groupBy(direction, feature).agg(F.count(F.lit(1)).alias("_size"))
-    commonness = key_weights(rows, [direction, entity])
-    common = commonness.withColumn("_common", F.col("_weight"))
-    tagged = skew_join(rows.join(sizes, [direction, feature]), common, [direction, entity], "_weight", [feature], how="inner")
+    common = key_weights(rows, [direction, entity]).withColumn(
+        "_order",
+        F.floor(F.log2(F.col("_weight").cast("double")) * 8).cast("bigint") * PREFIX_PARTS
+        + F.pmod(F.xxhash64(entity), F.lit(PREFIX_PARTS)),
+    )
+    tagged = cut_lineage(skew_join(rows, common, [direction, entity], "_weight", [feature], how="inner"))
+    steps = tagged.groupBy(direction, feature, "_order").agg(F.count(F.lit(1)).alias("_n"))
+    rare_first = Window.partitionBy(direction, feature).orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     needed = F.greatest(F.lit(min_shared).cast("bigint"), F.ceil(F.col("_size") * F.lit(min_jaccard) - F.lit(1e-9)))
-    rare_first = Window.partitionBy(direction, feature).orderBy("_common", entity)
-    prefix = (
-        tagged.filter(F.col("_size") >= needed)
-        .withColumn("_r", F.row_number().over(rare_first))
-        .filter(F.col("_r") <= F.col("_size") - needed + 1)
+    leading = (
+        steps.withColumn("_size", F.sum("_n").over(Window.partitionBy(direction, feature)))
+        .withColumn("_before", F.sum("_n").over(rare_first) - F.col("_n"))
+        .filter((F.col("_size") >= needed) & (F.col("_before") <= F.col("_size") - needed))
+        .select(direction, feature, "_order", "_size")
     )
+    prefix = tagged.join(leading, [direction, feature, "_order"])
     a = prefix.select(direction, entity, F.col(feature).alias("feature_a"), F.col("_size").alias("size_a"))
     b = prefix.select(direction, entity, F.col(feature).alias("feature_b"), F.col("_size").alias("size_b"))
     proposed = (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.hashing import spread
+from cohortloom.session import cut_lineage
 
 HOT_KEYS = 1000
 SALTS = 1024
@@ -76,6 +77,26 @@ def carry_before(
     return buckets.select(*keys, bucket, *[c.over(earlier).alias(name) for name, c in carries.items()])
 
 
+def range_rank(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """1-based rank of every row inside its keys by any order, without one task per key.
+
+    Rows are range-partitioned on (keys, order), so a key with most rows spans many partitions. The
+    partition number is stored with a checkpoint (range bounds are sampled and must not move between
+    passes); rows are numbered inside partitions and partition sizes are cumulated.
+    """
+    ranged = cut_lineage(
+        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
+    )
+    sizes = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = carry_before(sizes, keys, "_part", {"_offset": F.sum("_n")})
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    return (
+        ranged.join(offsets, [*keys, "_part"])
+        .withColumn(name, F.row_number().over(inside) + F.coalesce("_offset", F.lit(0).cast("bigint")))
+        .drop("_part", "_offset")
+    )
+
+
 def dense_position(
     df: DataFrame, keys: list[str], order: str, name: str = "position", width: int = 1 << 16
 ) -> DataFrame:

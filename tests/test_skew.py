@@ -48,6 +48,16 @@ def test_dense_position(spark):
     assert all(v == list(range(len(v))) for v in want.values()) and len(got) == 3000
 
 
+def test_range_rank(spark):
+    df = frame(spark)
+    got = skew.range_rank(df, ["k"], [F.desc("v"), F.asc("id")], "r").collect()
+    want = {}
+    for i, k, v in sorted(hot_rows(), key=lambda r: (r[1], -r[2], r[0])):
+        want[i] = want.get(k, 0) + 1
+        want[k] = want[i]
+    assert len(got) == 3000 and all(want[r.id] == r.r for r in got)
+
+
 @pytest.mark.parametrize("width", [7, 64, 4096])
 def test_intervals_brute_force(spark, width):
     rng = random.Random(width)
