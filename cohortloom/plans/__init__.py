@@ -3,6 +3,7 @@
 from cohortloom.plans import (  # noqa: F401
     association_plans,
     evidence_plans,
+    file_plans,
     interval_plans,
     module_plans,
     sampling_plans,

@@ -14,10 +14,10 @@ class Tables:
     """Lazy parquet tables of one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self._spark, self._dir = spark, sf_dir
+        self.session, self.folder = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return self.session.read.parquet(f"{self.folder}/{name}.parquet")
 
 
 def query(name: str, oracle: str | None = None):
