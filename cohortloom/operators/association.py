@@ -186,7 +186,9 @@ def fisher_fdr(df: DataFrame, cells: tuple[str, str, str, str], id_col: str) ->
     """
     keys = list(cells)
     tables = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    tested = cut_lineage(fisher_test(tables, cells))
+    # A fixed number of partitions: the tables are few bytes but much work, and must not be coalesced.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tested = cut_lineage(fisher_test(tables.repartition(partitions, *keys), cells))
     q = bh_table(tested, "fisher_p", "_rows", "fdr")
     adjusted = skew_join(tested, q, ["fisher_p"], "_weight", keys, how="inner")
     return skew_join(df, adjusted, keys, "_rows", [id_col], how="inner")
