@@ -268,10 +268,16 @@ def stratum_gaps(counts: DataFrame, second_expected: Column) -> DataFrame:
     )
 
 
-@F.pandas_udf(DoubleType())
-def _chi_square_tail(statistic: pd.Series) -> pd.Series:
-    """Upper tail of chi-square with one degree of freedom."""
-    return statistic.map(lambda x: math.erfc(math.sqrt(x / 2.0)) if pd.notna(x) and x >= 0 else float("nan"))
+def chi_square_tail(statistic: Column) -> Column:
+    """Upper tail of chi-square with one degree of freedom (no built-in function gives it).
+
+    The inner function travels with the job by value, so executors need no copy of this package.
+    """
+
+    def tail(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: math.erfc(math.sqrt(x / 2.0)) if pd.notna(x) and x >= 0 else float("nan"))
+
+    return F.pandas_udf(tail, DoubleType())(statistic)
 
 
 def mantel_haenszel(gaps: DataFrame, block: list[str], second_expected: Column) -> DataFrame:
@@ -332,7 +338,7 @@ def mantel_haenszel(gaps: DataFrame, block: list[str], second_expected: Column)
         F.exp(log_or - half).alias("ci_lower"),
         F.exp(log_or + half).alias("ci_upper"),
         statistic.alias("statistic"),
-    ).withColumn("p_value", _chi_square_tail(F.col("statistic")))
+    ).withColumn("p_value", chi_square_tail(F.col("statistic")))
 
 
 def leave_one_out(counts: DataFrame, block: list[str], stratum: str, second_expected: Column) -> DataFrame:
