@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom import fixed_values as fv
-from cohortloom.functions.numeric import per_million, ratio
-from cohortloom.functions.text import truth
-from cohortloom.operators import checks, classify, evidence, joins, quantiles, selection, sweep
+from cohortloom.operators import classify, evidence, joins, quantiles, sweep
 from cohortloom.operators.skew import fill_cores
 from cohortloom.plans.registry import Tables, query
 
