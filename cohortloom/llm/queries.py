@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import decontaminate, license_scan, line_dedup, ngram_join, quality, topk, url_filter
+from cohortloom.llm import decontaminate, license_scan, line_dedup, lm_score, mixing, ngram_join, quality, suffix_dedup, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,18 @@ def op9(table) -> DataFrame:
 @query("op10_exact_top_k", topk.ORACLE)
 def op10(table) -> DataFrame:
     return topk.exact_top_k(table("embeddings"))
+
+
+@query("op2_suffix_dedup")
+def op2(table) -> DataFrame:
+    return suffix_dedup.drop_repeated_strings(table("documents")).drop("kept")
+
+
+@query("op3_lm_score")
+def op3(table) -> DataFrame:
+    return lm_score.score_texts(table("documents"))
+
+
+@query("op4_mixing")
+def op4(table) -> DataFrame:
+    return mixing.mix_documents(table("documents"), table("labels"), keep=["doc_id", "source"])
