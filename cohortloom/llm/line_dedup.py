@@ -93,15 +93,19 @@ def drop_repeated_lines(
     """
     gone = repeated_lines(documents, id_col, text_col, min_words)
     kept_cols = [c for c in documents.columns if c not in ("lines_total", "lines_removed")]
-    left = documents.select(*kept_cols, F.col(id_col).cast("bigint").alias("_doc"), F.xxhash64(F.col(text_col)).alias("_mark"))
-    joined = left.join(
-        gone, F.col("_doc").eqNullSafe(gone["doc"]) & (F.col("_mark") == gone["mark"]), "left"
-    ).withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    kept = F.array_join(F.filter("_lines", lambda line, i: ~F.array_contains("gone", i.cast("int"))), "\n")
+    left = documents.select(
+        F.struct(*kept_cols).alias("_row"), F.col(id_col).cast("bigint").alias("_doc"), F.xxhash64(F.col(text_col)).alias("_mark"), F.col(text_col).alias("_text")
+    )
+    marks = gone.select(F.col("doc").alias("_gone_doc"), F.col("mark").alias("_mark"), F.col("gone").alias("_gone"))
+    joined = (
+        left.join(marks, F.col("_doc").eqNullSafe(F.col("_gone_doc")) & (left["_mark"] == marks["_mark"]), "left")
+        .withColumn("_lines", F.split(F.coalesce(F.col("_text"), F.lit("")), "\n"))
+    )
+    kept = F.array_join(F.filter("_lines", lambda line, i: ~F.array_contains("_gone", i.cast("int"))), "\n")
     return joined.select(
-        *[F.when(F.col("gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in kept_cols],
+        *[F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(kept).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in kept_cols],
         F.size("_lines").cast("bigint").alias("lines_total"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("lines_removed"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("lines_removed"),
     )
 
 

@@ -2,10 +2,10 @@
 
 Domains come from the labelled table: ``toxic``, ``low`` (quality 0) and ``high`` (quality 1). A softmax classifier on hashed words and
 punctuation runs, trained on a bounded sample of labelled rows, gives every document a posterior over them. A document of n tokens
-adds n * posterior to the domains' expected tokens when its rate is one. Rates are the nonnegative numbers closest (in
-least squares) to the target totals, found from rate one by projected gradient descent. A step needs the domain totals only
-(one sum over documents per domain); the rate of a document follows from the steps' residuals, so no rate is stored
-or shuffled and no document reaches the driver.
+adds n * posterior to the domains' expected tokens when its rate is one. Rates are nonnegative and bring the expected
+totals as near (in least squares) to the targets as they can, found from rate one by projected gradient descent. A step needs
+the domain totals only (one sum over documents per domain); the rate of a document follows from the steps' residuals, so
+no rate is stored or shuffled and no document reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm import textops as tx
@@ -22,7 +22,7 @@ from cohortloom.session import cut_lineage
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.9, "low": 0.1, "toxic": 0.0}
-SAMPLE_ROWS, SAMPLE_CHARS, BUCKETS, FEATURES, EPOCHS, STEPS = 4000, 20_000, 1 << 18, 600, 300, 40
+SAMPLE_ROWS, SAMPLE_CHARS, BUCKETS, FEATURES, EPOCHS, STEPS, TOLERANCE = 4000, 20_000, 1 << 18, 600, 300, 20, 1e-4
 _MARKS = tx.TOKEN_BYTE & ~tx.WORD_BYTE
 
 
@@ -120,46 +120,77 @@ def domain_posteriors(documents: DataFrame, model: dict[str, np.ndarray], keep:
     return chosen.mapInArrow(_masses(model), f"{fields}, n_tokens bigint, " + ", ".join(f"p_{d} double" for d in DOMAINS))
 
 
-def solve_rates(masses: DataFrame, columns: list[str], targets: list[float], steps: int = STEPS, tolerance: float = 1e-9) -> tuple[list[list[float]], float]:
-    """Residual weights of the steps, and the scale of the columns, for ``rate_column``.
+def solve_rates(rows: DataFrame, columns: list[str], weight: str, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
+    """Residual weights of the steps, for ``walk``, from rows of posteriors ``columns`` and token counts ``weight``.
 
-    The totals are whitened by their Gram matrix, so the step length one is safe and, while no rate meets zero, one step is
-    exact. Stops when the residual is below ``tolerance`` of the target or after ``steps``.
+    Steps are taken in the metric that weighs a document by its tokens, so rates follow the posteriors and not the lengths.
+    Residuals are whitened by the domains' Gram matrix, which makes step length one safe and, while no rate meets zero,
+    one step exact. From the second step on, steps carry momentum (the accelerated form of projected gradient descent). Stops when no domain is off by more than ``tolerance`` of all tokens, or after ``steps``.
     """
     k = len(columns)
-    sums = [F.sum(F.col(c)).alias(f"s{i}") for i, c in enumerate(columns)]
-    crossed = [F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    first = masses.agg(*sums, *crossed).first()
+    sums = [F.sum(F.col(weight) * F.col(c)).alias(f"s{i}") for i, c in enumerate(columns)]
+    crossed = [F.sum(F.col(weight) * F.col(columns[i]) * F.col(columns[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
+    first = rows.agg(*sums, *crossed).first()
     total = sum(first[f"s{i}"] or 0.0 for i in range(k))
     if not total:
-        return [], 1.0
-    gram = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total**2
+        return []
+    gram = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
     values, vectors = np.linalg.eigh(gram)
     inverse = vectors @ np.diag(np.where(values > values.max() * 1e-9, 1 / np.maximum(values, 1e-300), 0)) @ vectors.T
     aim = np.array(targets)
-    now = np.array([first[f"s{i}"] for i in range(k)]) / total
+    shares = np.array([first[f"s{i}"] for i in range(k)]) / total
+    now = ahead = shares
     history: list[list[float]] = []
+    pace = 1.0
     for _ in range(steps):
-        gap = now - aim
-        if np.abs(gap).max() <= tolerance:
+        if np.abs(now - aim).max() <= tolerance:
             break
-        history.append((inverse @ gap).tolist())
-        rate = rate_column(history, columns, total)
-        got = masses.agg(*[F.sum(F.col(c) * rate).alias(f"s{i}") for i, c in enumerate(columns)]).first()
-        now = np.array([got[f"s{i}"] for i in range(k)]) / total
-    return history, total
+        onward = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        history.append([*(inverse @ (ahead - aim)).tolist(), (pace - 1) / onward])
+        pace = onward
+        sums_of = rows.select(weight, *columns).mapInArrow(_totals(history, weight, columns), "slot int, value double")
+        got = {r["slot"]: r["value"] for r in sums_of.groupBy("slot").agg(F.sum("value").alias("value")).collect()}
+        now, ahead = (np.array([got[base + i] for i in range(k)]) / total for base in (0, k))
+    return history
 
 
-def rate_column(history: list[list[float]], columns: list[str], total: float) -> Column:
-    """Rate after the recorded steps: rate one, then max(0, rate - share . residual) step by step."""
-    if not history:
-        return F.lit(1.0)
-    own = [F.col(c) / F.lit(total) for c in columns]
-    steps = F.array(*[F.array(*[F.lit(float(v)) for v in h]) for h in history])
-    return F.aggregate(
-        steps, F.lit(1.0),
-        lambda rate, h: F.greatest(F.lit(0.0), rate - sum((own[i] * F.get(h, F.lit(i)) for i in range(1, len(own))), own[0] * F.get(h, F.lit(0)))),
-    )
+def walk(p: np.ndarray, history: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, points with momentum) of rows of posteriors after the recorded steps, from rate one."""
+    rate = point = np.ones(len(p))
+    for *h, momentum in history:
+        before, rate = rate, np.maximum(0.0, point - p @ np.array(h))
+        point = rate + momentum * (rate - before)
+    return rate, point
+
+
+def _posteriors(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+
+
+def _totals(history: list[list[float]], weight: str, columns: list[str]):
+    """Domain totals of a partition at the rates and at the points with momentum, one row per slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(2 * len(columns))
+        for batch in batches:
+            p = _posteriors(batch, columns)
+            mass = p * batch.column(weight).to_numpy(zero_copy_only=False)[:, None]
+            out += np.concatenate([mass.T @ x for x in walk(p, history)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], ["slot", "value"])
+
+    return run
+
+
+def with_rates(rows: DataFrame, columns: list[str], history: list[list[float]]) -> DataFrame:
+    """Rows with their ``rate``: max(0, point - posterior . residual), step by step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rate = walk(_posteriors(batch, columns), history)[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{fields}, rate double")
 
 
 def mix_documents(
@@ -168,15 +199,14 @@ def mix_documents(
     """The kept columns (the id by default), n_tokens, the posteriors p_high, p_low, p_toxic, and ``rate`` of every row.
 
     ``rate`` is how often the document should be drawn; sum(rate * n_tokens * posterior) over all rows meets
-    each target's share of all tokens as nearly as nonnegative rates can. Texts without words (null, empty) keep rate one. A domain without
+    each target's share of all tokens as nearly as nonnegative rates can; documents of one posterior have one rate. Texts without words (null, empty) are rated by their posterior too and add no tokens. A domain without
     labelled rows has posterior near zero. Without labels all domains are alike and rates stay near one. Repeated rows count
     as often as they occur; null ids are rated like others. Of kept columns named like an added one, the added one is returned.
     """
     added = {"n_tokens", "rate", *[f"p_{d}" for d in DOMAINS]}
     kept = [c for c in (keep or [id_col]) if c not in added]
     model = fit(documents, labels, id_col, text_col)
-    columns = [f"_m_{d}" for d in DOMAINS]
-    rated = domain_posteriors(documents, model, kept, text_col).withColumns({f"_m_{d}": F.col("n_tokens") * F.col(f"p_{d}") for d in DOMAINS})
-    rated = cut_lineage(rated)
-    history, total = solve_rates(rated, columns, [targets[d] for d in DOMAINS])
-    return rated.withColumn("rate", rate_column(history, columns, total)).drop(*columns)
+    columns = [f"p_{d}" for d in DOMAINS]
+    rated = cut_lineage(domain_posteriors(documents, model, kept, text_col))
+    history = solve_rates(rated, columns, "n_tokens", [targets[d] for d in DOMAINS])
+    return with_rates(rated, columns, history)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cohortloom.llm import decontaminate, license_scan, line_dedup, lm_score, mixing, ngram_join, quality, suffix_dedup, topk, url_filter
+from cohortloom.session import share_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +17,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            share_code(spark)
+            return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
@@ -77,3 +83,8 @@ def op3(table) -> DataFrame:
 @query("op4_mixing")
 def op4(table) -> DataFrame:
     return mixing.mix_documents(table("documents"), table("labels"), keep=["doc_id", "source"])
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

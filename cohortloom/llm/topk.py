@@ -54,9 +54,11 @@ def best_of_shard(query: np.ndarray, query_id: int, columns: np.ndarray, ids: np
             floor = np.partition(sums - reach, len(alive) - k)[len(alive) - k]
             keep = sums + reach >= floor - 1e-6 * abs(floor) - 1
             alive, total = alive[keep], total[keep]
-    order = np.lexsort((ids[alive], -total))[:k] if total.dtype != object else np.array(
-        sorted(range(len(alive)), key=lambda i: (-total[i], ids[alive][i]))[:k], dtype=np.int64
-    )
+    if total.dtype == object:
+        total = np.array([min(max(int(s), -(1 << 63)), (1 << 63) - 1) for s in total], dtype=object)
+        order = np.array(sorted(range(len(alive)), key=lambda i: (-total[i], ids[alive][i]))[:k], dtype=np.int64)
+    else:
+        order = np.lexsort((ids[alive], -total))[:k]
     return ids[alive][order], total[order]
 
 
@@ -66,7 +68,7 @@ def _shard_search(k: int):
         if len(queries) and len(rows):
             matrix = np.array(rows["vec"].tolist(), dtype=np.int64).reshape(len(rows), -1)
             asked = np.array(queries["vec"].tolist(), dtype=np.int64).reshape(len(queries), -1)
-            most = max(int(np.abs(matrix).max(initial=0)), int(np.abs(asked).max(initial=0)))
+            most = max(max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in (matrix, asked))
             kind = np.float64 if most <= SAFE and matrix.shape[1] <= 128 else object
             columns = np.ascontiguousarray(matrix.T).astype(kind)
             squares = np.square(matrix.T.astype(np.float64))
@@ -89,7 +91,7 @@ def exact_top_k(
     Queries are the rows whose id is divisible by ``every``; candidates are all rows with another id, of the same number
     of dimensions. Fewer than k candidates are all returned; a query without any has no row. Equal rows count once; rows
     sharing an id with different vectors are all candidates and (divisible ids) all ask, the best k over them are returned.
-    Null ids, null vectors and vectors with a null or non-finite component take no part. Work is queries x rows by
+    Parts and scores beyond BIGINT are taken as its largest or smallest value. Null ids, null vectors and vectors with a null or non-finite component take no part. Work is queries x rows by
     definition: each shard of about ``shard_rows`` rows meets each block of queries in one task, on a key that both
     sides carry, and only k rows leave it.
     """

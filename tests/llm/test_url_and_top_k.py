@@ -92,6 +92,7 @@ def test_exact_top_k_large_components(spark):
     got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), scale=1)
     want = []
     for q in (0, 50):
-        scored = sorted((-sum(math.floor(x) * math.floor(y) for x, y in zip(rows[q][1], v, strict=True)), i) for i, v in rows if i != q)
+        exact = [(sum(math.floor(x) * math.floor(y) for x, y in zip(rows[q][1], v, strict=True)), i) for i, v in rows if i != q]
+        scored = sorted((-min(max(s, -(1 << 63)), (1 << 63) - 1), i) for s, i in exact)
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])]
     assert sorted(map(tuple, got.collect())) == want
