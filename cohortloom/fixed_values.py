@@ -40,6 +40,15 @@ FINE_LABEL_TOKENS = (
     ("silvaticum", "Mycobacterium avium subsp. silvaticum"),
 )
 
+# Outcomes of the quality-first selection.
+SELECTION_DECISIONS = {
+    "qc": "excluded_qc",
+    "pair": "excluded_paired_accession_dedup",
+    "entity": "excluded_biosample_dedup",
+    "selected": "selected_qc_first",
+}
+SELECTION_REASONS = {"pair": "pair_winner=", "entity": "biosample_winner="}
+
 # Minority-evidence screen.
 MIN_DEPTH = 20
 MIN_MINOR_COUNT = 5
@@ -47,13 +56,10 @@ WIDE_SHARE = (0.10, 0.90)
 NARROW_SHARE = (0.20, 0.80)
 MIN_MAPPING_QUALITY = 20
 MIN_BASE_QUALITY = 20
-DEPTH_CAP = 100_000
 PROPER_PAIR_BIT = 2
 DROP_BITS = 2304
 
 # Thresholds in sites per million callable positions.
-PRIMARY_THRESHOLD = 161.8
-AUXILIARY_THRESHOLD = 952.42
 CONTROL_MULTIPLIER = 5.0
 SWEEP_MULTIPLIERS = (2.0, 3.0, 4.0, 5.0, 7.5, 10.0)
 MEMBERSHIP_FLOORS = (98.0, 98.5, 98.6, 99.0)
@@ -103,12 +109,9 @@ SYNTENIC_MIN_FEATURES = 3
 
 # Alignment filters.
 MIN_ALIGN_IDENTITY = 0.90
-MIN_ALIGN_FRACTION = 0.25
-MIN_CONTIG_LENGTH = 500
 FASTA_WIDTH = 80
 
 # Benchmark design.
-WINDOW_PAIRS = 2_000_000
 POOL_SEED = 404
 DESIGN_SEED = 202
 DESIGN_PAIRS = (
@@ -130,7 +133,6 @@ CONDITION_NAME = "%s__%s_major__%s_minor__p%02d__n%d__s%d"
 CONDITION_PATTERN = r"(pair[A-D])__(.+)_major__(.+)_minor__p([0-9]+)__s([0-9]+)"
 ALIGNMENT_RATE_PATTERN = r"([0-9.]+)% overall alignment rate"
 NESTED_WINDOW_LABEL = "nested-depth-window"
-CONTROLS_PER_PAIR = 6
 
 # Tokens a table reader may treat as missing.
 NA_TOKENS = (
@@ -141,8 +143,7 @@ NA_TOKENS = (
 # Counted letters of one position; the last one holds reference bases outside ACGT.
 BASE_NAMES = ("A", "C", "G", "T", "other")
 
-# Analysis-label rules, first match wins. A test is (kind, column, value); kinds are
-# "is" (equal), "has" (contains, case as written), "has_any_case" and "below".
+# Analysis-label texts by rule; the rules are in operators/classify.py.
 LABEL_COLUMNS = (
     "broad_analysis_panel",
     "provisional_genomic_lineage",
@@ -152,110 +153,80 @@ LABEL_COLUMNS = (
     "boundary_note",
     "phylogeny_panel",
 )
-LABEL_RULES = (
-    (
-        (
-            ("is", "best_public_reporting_species", "Mycobacterium colombiense"),
-            ("is", "best_type_broad_group", "Mycobacterium colombiense"),
-        ),
-        (
-            "M_colombiense",
-            "M_colombiense",
-            "M. colombiense",
-            "Mycobacterium colombiense",
-            "species_supported_public_and_type_anchor",
-            "public and type-anchor evidence concordant",
-            "colombiense_context",
-        ),
+LABEL_TEXTS = {
+    "colombiense": (
+        "M_colombiense",
+        "M_colombiense",
+        "M. colombiense",
+        "Mycobacterium colombiense",
+        "species_supported_public_and_type_anchor",
+        "public and type-anchor evidence concordant",
+        "colombiense_context",
     ),
-    (
+    "avium_hominissuis": (
+        "M_avium_timonense_boundary",
+        "M_avium_hominissuis_adjacent_public_context",
+        "M. avium context",
+        "Mycobacterium avium public-context group",
+        "public_context_supported_anchor_boundary",
         (
-            ("is", "best_public_reporting_species", "Mycobacterium avium"),
-            ("has", "best_public_fine_label", "hominissuis"),
-        ),
-        (
-            "M_avium_timonense_boundary",
-            "M_avium_hominissuis_adjacent_public_context",
-            "M. avium context",
-            "Mycobacterium avium public-context group",
-            "public_context_supported_anchor_boundary",
-            "avium",
-            "avium_timonense_context",
-        ),
-    ),
-    (
-        (("is", "best_public_reporting_species", "Mycobacterium avium"),),
-        (
-            "M_avium_timonense_boundary",
-            "M_avium_public_group",
-            "M. avium context",
-            "Mycobacterium avium public-context group",
-            "public_context_supported_anchor_boundary",
-            "avium",
-            "avium_timonense_context",
+            "nearest public genomes are M. avium; hominissuis-adjacent context is descriptive rather than a "
+            "strict subspecies assignment, and timonense-anchor proximity is retained because the anchor panel "
+            "does not represent all M. avium subspecies diversity"
         ),
+        "avium_timonense_context",
     ),
-    (
-        (("is", "best_type_broad_group", "Mycobacterium paraintracellulare"),),
-        (
-            "M_intracellulare_complex",
-            "MI_MP_MIP_lineage",
-            "MI: MP-MIP",
-            "Mycobacterium intracellulare MP-MIP genomic lineage",
-            "lineage_wording_required",
-            "mp_mip",
-            "intracellulare_complex_context",
-        ),
-    ),
-    (
-        (("has_any_case", "best_public_fine_label", "chimaera"),),
+    "avium": (
+        "M_avium_timonense_boundary",
+        "M_avium_public_group",
+        "M. avium context",
+        "Mycobacterium avium public-context group",
+        "public_context_supported_anchor_boundary",
         (
-            "M_intracellulare_complex",
-            "MI_chimaera_adjacent_lineage",
-            "MI: chimaera-adjacent",
-            "Mycobacterium intracellulare chimaera-adjacent public-context lineage",
-            "legacy_subgroup_context_only",
-            "public chimaera-adjacent placement with yongonense/typical-MI anchor proximity",
-            "intracellulare_complex_context",
+            "nearest public genomes are M. avium; hominissuis-adjacent context is descriptive rather than a "
+            "strict subspecies assignment, and timonense-anchor proximity is retained because the anchor panel "
+            "does not represent all M. avium subspecies diversity"
         ),
+        "avium_timonense_context",
     ),
-    (
-        (
-            ("has_any_case", "best_type_fine_label", "yongonense"),
-            ("below", "type_distinct_fine_label_ani_margin", 0.15),
-        ),
+    "mp_mip": (
+        "M_intracellulare_complex",
+        "MI_MP_MIP_lineage",
+        "MI: MP-MIP",
+        "Mycobacterium intracellulare MP-MIP genomic lineage",
+        "lineage_wording_required",
         (
-            "M_intracellulare_complex",
-            "MI_yongonense_chimaera_boundary",
-            "MI: yongonense/chimaera boundary",
-            "Mycobacterium intracellulare yongonense/chimaera boundary lineage",
-            "legacy_subgroup_boundary_wording_required",
-            "fine-anchor margin below 0.15 percentage points",
-            "intracellulare_complex_context",
+            "M. paraintracellulare/M. indicus pranii-associated genomic group; M. paraintracellulare is retained "
+            "only as a historical boundary label"
         ),
+        "intracellulare_complex_context",
     ),
-    (
-        (("is", "best_type_broad_group", "Mycobacterium intracellulare"),),
-        (
-            "M_intracellulare_complex",
-            "MI_TMI_lineage",
-            "MI: TMI",
-            "typical Mycobacterium intracellulare (TMI) genomic lineage",
-            "lineage_wording_preferred",
-            "typical-MI public/type context; tree confirmation required",
-            "intracellulare_complex_context",
-        ),
+    "chimaera": (
+        "M_intracellulare_complex",
+        "MI_chimaera_adjacent_lineage",
+        "MI: chimaera-adjacent",
+        "Mycobacterium intracellulare chimaera-adjacent public-context lineage",
+        "legacy_subgroup_context_only",
+        "public chimaera-adjacent placement with yongonense/typical-MI anchor proximity",
+        "intracellulare_complex_context",
     ),
-)
-# The two long boundary notes.
-LABEL_NOTES = {
-    "avium": (
-        "nearest public genomes are M. avium; hominissuis-adjacent context is descriptive rather than a "
-        "strict subspecies assignment, and timonense-anchor proximity is retained because the anchor panel "
-        "does not represent all M. avium subspecies diversity"
+    "yongonense": (
+        "M_intracellulare_complex",
+        "MI_yongonense_chimaera_boundary",
+        "MI: yongonense/chimaera boundary",
+        "Mycobacterium intracellulare yongonense/chimaera boundary lineage",
+        "legacy_subgroup_boundary_wording_required",
+        "fine-anchor margin below 0.15 percentage points",
+        "intracellulare_complex_context",
     ),
-    "mp_mip": (
-        "M. paraintracellulare/M. indicus pranii-associated genomic group; M. paraintracellulare is retained "
-        "only as a historical boundary label"
+    "tmi": (
+        "M_intracellulare_complex",
+        "MI_TMI_lineage",
+        "MI: TMI",
+        "typical Mycobacterium intracellulare (TMI) genomic lineage",
+        "lineage_wording_preferred",
+        "typical-MI public/type context; tree confirmation required",
+        "intracellulare_complex_context",
     ),
 }
+LABEL_MARGIN = 0.15

@@ -8,64 +8,38 @@ from pyspark.sql import functions as F
 from cohortloom.functions.text import col, count_of
 
 BASES = ("A", "C", "G", "T")
-LONGEST_DIRECT_INDEL = 50
 
 
-def _skip_pattern() -> str:
-    """Everything that is not a counted symbol but owns following characters, as one pattern.
+def counted_symbols(pile: Column | str) -> Column:
+    """The evidence string without read starts, indels and the characters they own, whatever their length.
 
-    A read start takes the next character; an indel takes as many characters as its number says (or
-    what is left of the string). Matching runs left to right, so a skipped character never opens a token.
+    The string is cut before every mark (``^``, ``+``, ``-``) and the pieces are folded from left to right. A read start
+    owns the next character, an indel as many as its number says (or what is left); owned characters may
+    reach over later pieces, whose marks then open nothing.
     """
-    lengths = "|".join(f"0*{n}(?![0-9]).{{0,{n}}}" for n in range(1, LONGEST_DIRECT_INDEL + 1))
-    return rf"(?s)\^.?|[+-](?:{lengths}|0*(?![0-9]))"
-
-
-def _long_indel_pattern() -> str:
-    """Could there be an indel longer than the direct pattern covers?"""
-    return r"[+-]0*(?:5[1-9]|[6-9][0-9]|[1-9][0-9]{2,})"
-
-
-def _walk_symbols(pile: Column) -> Column:
-    """Character walk for strings whose skips run into other tokens."""
-    state = F.struct(
-        F.lit("").alias("kept"),
-        F.lit("").alias("digits"),
-        F.lit(False).alias("reading"),
-        F.lit(0).cast("bigint").alias("skip"),
-    )
+    raw = col(pile)
 
-    def step(acc: Column, ch: Column) -> Column:
-        is_digit = ch.rlike("^[0-9]$")
-        more_digits = acc["reading"] & is_digit
-        ended = F.when(
-            acc["reading"] & ~is_digit, F.coalesce(acc["digits"].try_cast("bigint"), F.lit(0).cast("bigint"))
-        ).otherwise(acc["skip"])
-        skipping = ended > 0
-        opens_indel = ~more_digits & ~skipping & ch.isin("+", "-")
-        opens_read = ~more_digits & ~skipping & (ch == "^")
-        keep = ~more_digits & ~skipping & ~opens_indel & ~opens_read
+    def rest(piece: Column, skip: Column) -> Column:
         return F.struct(
-            F.when(keep, F.concat(acc["kept"], ch)).otherwise(acc["kept"]).alias("kept"),
-            F.when(more_digits, F.concat(acc["digits"], ch)).otherwise(F.lit("")).alias("digits"),
-            (more_digits | opens_indel).alias("reading"),
-            F.when(more_digits, F.lit(0).cast("bigint"))
-            .when(skipping, ended - 1)
-            .when(opens_read, F.lit(1).cast("bigint"))
-            .otherwise(F.lit(0).cast("bigint"))
-            .alias("skip"),
+            F.substring(piece, skip.cast("int") + 1, F.length(piece)).alias("kept"),
+            F.greatest(skip - F.length(piece), F.lit(0)).cast("bigint").alias("skip"),
         )
 
-    characters = F.filter(F.split(pile, "", -1), lambda ch: ch != "")
-    return F.aggregate(characters, state, step, lambda acc: acc["kept"])
-
+    def step(acc: Column, piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "^[+-]([0-9]*)", 1)
+        length = F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
+        opens = acc["skip"] == 0
+        owned = (
+            F.when(~opens, acc["skip"])
+            .when(F.startswith(piece, F.lit("^")), F.lit(2).cast("bigint"))
+            .when(F.startswith(piece, F.lit("+")) | F.startswith(piece, F.lit("-")), length + F.length(digits) + 1)
+            .otherwise(F.lit(0).cast("bigint"))
+        )
+        after = rest(piece, F.least(owned, F.lit((1 << 31) - 2).cast("bigint")))
+        return F.struct(F.concat(acc["kept"], after["kept"]).alias("kept"), after["skip"].alias("skip"))
 
-def counted_symbols(pile: Column | str) -> Column:
-    """The evidence string without read starts, indels and the characters they own."""
-    raw = col(pile)
-    return F.when(raw.rlike(_long_indel_pattern()), _walk_symbols(raw)).otherwise(
-        F.regexp_replace(raw, _skip_pattern(), "")
-    )
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("bigint").alias("skip"))
+    return F.aggregate(F.split(raw, r"(?=[\^+-])"), start, step, lambda acc: acc["kept"])
 
 
 def base_counts(df: DataFrame, ref: str, symbols: str) -> DataFrame:

@@ -54,10 +54,6 @@ def all_true(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def any_true(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def overlap_length(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
     """Shared length of two half-open intervals."""
     return F.greatest(F.lit(0).cast("bigint"), F.least(end_a, end_b) - F.greatest(start_a, start_b))

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from cohortloom import fixed_values as fv
-from cohortloom.functions.numeric import holds, log_factorial, ratio
-from cohortloom.operators.skew import skew_join
+from cohortloom.functions.numeric import holds, ratio
+from cohortloom.operators.skew import join_unique
 from cohortloom.session import cut_lineage
 
-FISHER_REACH = 40.0
-
-
 def distinct_presence(df: DataFrame, feature: str, entity: str) -> DataFrame:
     return df.select(feature, entity).distinct()
 
@@ -61,74 +59,93 @@ def signed_gap(first: str, second: str, second_expected: Column) -> Column:
     return F.when(second_expected, gap).otherwise(-gap)
 
 
+def _log_factorials(n: np.ndarray) -> np.ndarray:
+    """ln(n!) of whole numbers: summed logarithms up to 255, Stirling's series above."""
+    small = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 256)))])
+    x = np.maximum(n, 1).astype(np.float64)
+    series = x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + (1 / 12 - (1 / 360 - 1 / (1260 * x * x)) / (x * x)) / x
+    return np.where(n < 256, small[np.minimum(n, 255)], series)
+
+
+def log_fisher_p(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, tolerance: float) -> np.ndarray:
+    """Natural logarithm of the two-sided exact p of every table [[a, b], [c, d]].
+
+    Terms are taken relative to the observed one, so nothing underflows. The observed tail is walked outward from the observed
+    table; the other tail from its first term that is not above the observed one, found by bisection (terms
+    fall away from the mode). A walk follows the ratio of neighbouring terms, 64 at a time, until
+    the last term cannot change the sum any more. No array grows with the margins.
+    """
+    a, b, c, d = (x.astype(np.int64) for x in (a, b, c, d))
+    r1, r2, c1 = a + b, c + d, a + c
+    low, high = np.maximum(0, c1 - r2), np.minimum(r1, c1)
+    mode = np.clip(((r1 + 1.0) * (c1 + 1.0) // (r1 + r2 + 2.0)).astype(np.int64), low, high)
+
+    def height(k: np.ndarray) -> np.ndarray:
+        return -(_log_factorials(k) + _log_factorials(r1 - k) + _log_factorials(c1 - k) + _log_factorials(r2 - c1 + k))
+
+    def tail(start: np.ndarray, up: np.ndarray) -> np.ndarray:
+        """Sum of the terms from ``start`` outward, the first taken as one."""
+        total, term, k = np.ones(len(start)), np.ones(len(start)), start.astype(np.float64)
+        live = np.arange(len(start))
+        while len(live):
+            at = k[live, None] + np.where(up[live], 1.0, -1.0)[:, None] * np.arange(64)
+            rows, cols, rest = r1[live, None], c1[live, None], (r2 - c1)[live, None]
+            onward = np.where(
+                up[live, None], (rows - at) * (cols - at) / np.maximum((at + 1) * (rest + at + 1), 1.0),
+                at * (rest + at) / np.maximum((rows - at + 1) * (cols - at + 1), 1.0),
+            )
+            terms = term[live, None] * np.cumprod(np.maximum(onward, 0.0), axis=1)
+            total[live] += terms.sum(1)
+            term[live] = terms[:, -1]
+            k[live] += np.where(up[live], 64.0, -64.0)
+            live = live[term[live] > total[live] * 1e-18]
+        return total
+
+    upper = a >= mode
+    seen = height(a)
+    limit = seen + math.log1p(tolerance)
+    # the other side's nearest term not above the observed one lies between `out` (not above) and `into` (above)
+    out, into = np.where(upper, low, high), mode.copy()
+    other = (out != mode) & (height(out) <= limit)
+    while True:
+        open_ = other & (np.abs(into - out) > 1)
+        if not open_.any():
+            break
+        middle = (out + into) // 2
+        fits = height(middle) <= limit
+        out = np.where(open_ & fits, middle, out)
+        into = np.where(open_ & ~fits, middle, into)
+    total = tail(a, upper) + np.where(other, np.exp(np.minimum(height(out) - seen, 1.0)) * tail(out, ~upper), 0.0)
+    margins = _log_factorials(r1) + _log_factorials(r2) + _log_factorials(c1) + _log_factorials(r1 + r2 - c1) - _log_factorials(r1 + r2)
+    every = height(mode) <= limit  # the observed term is as high as the mode: no term is above it
+    return np.where(every, 0.0, np.minimum(margins + seen + np.log(total), 0.0))
+
+
 def fisher_test(
     df: DataFrame, cells: tuple[str, str, str, str], tolerance: float = fv.FISHER_TIE_TOLERANCE
 ) -> DataFrame:
-    """Add ``fisher_p`` (two-sided exact) and ``odds_ratio`` (sample) of the table [[a, b], [c, d]].
+    """Add ``fisher_p`` (two-sided exact), ``fisher_log10_p`` and ``odds_ratio`` (sample) of the table [[a, b], [c, d]].
 
-    p is the sum of all table probabilities not above the observed one, margins fixed. Terms follow
-    each other by their ratio; terms further than 40 standard deviations from the mode are below the
-    smallest double and are left out, so the walk grows with the square root of the margins. A zero
-    margin gives p = 1 and an undefined (NaN) odds ratio; otherwise a zero b*c gives infinity.
-    Intermediate values are columns of their own so that none is computed twice.
+    p is the sum of all table probabilities not above the observed one, margins fixed; every such term counts. A p below
+    the smallest double is 0 in ``fisher_p`` and kept in ``fisher_log10_p``. A zero margin gives p = 1 and an undefined (NaN)
+    odds ratio; otherwise a zero b*c gives infinity.
     """
     a, b, c, d = (F.col(x).cast("bigint") for x in cells)
-    col = F.col
-    zero = F.lit(0).cast("bigint")
-    staged = df.withColumns({"_a": a, "_r1": a + b, "_r2": c + d, "_c1": a + c, "_n": a + b + c + d}).withColumns(
-        {
-            "_empty": (col("_r1") == 0) | (col("_r2") == 0) | (col("_c1") == 0) | (col("_c1") == col("_n")),
-            "_low": F.greatest(zero, col("_c1") - col("_r2")),
-            "_high": F.least("_r1", "_c1"),
-            "_mean": F.try_divide(col("_r1").cast("double") * col("_c1"), col("_n").cast("double")),
-        }
-    )
-    deviation = F.sqrt(
-        F.try_divide(
-            col("_mean") * col("_r2") * (col("_n") - col("_c1")),
-            col("_n").cast("double") * F.greatest(col("_n") - 1, F.lit(1)),
-        )
-    )
-    staged = staged.withColumn("_reach", F.ceil(deviation * FISHER_REACH) + 50).withColumns(
-        {
-            "_from": F.greatest(col("_low"), F.floor("_mean") - col("_reach")),
-            "_to": F.least(col("_high"), F.ceil("_mean") + col("_reach")),
-            "_margins": log_factorial(col("_r1"))
-            + log_factorial(col("_r2"))
-            + log_factorial(col("_c1"))
-            + log_factorial(col("_n") - col("_c1"))
-            - log_factorial(col("_n")),
-        }
-    )
 
-    def log_p(k: str) -> Column:
-        return col("_margins") - (
-            log_factorial(col(k))
-            + log_factorial(col("_r1") - col(k))
-            + log_factorial(col("_c1") - col(k))
-            + log_factorial(col("_r2") - col("_c1") + col(k))
-        )
+    def log10_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(log_fisher_p(*(x.to_numpy() for x in (a, b, c, d)), tolerance) / math.log(10))
 
-    staged = staged.withColumns({"_first": log_p("_from"), "_limit": log_p("_a") + math.log1p(tolerance)})
-    r1, c1, rest, limit = col("_r1"), col("_c1"), col("_r2") - col("_c1"), col("_limit")
-
-    def step(acc: Column, k: Column) -> Column:
-        here = acc["next"]
-        onward = ((r1 - k).cast("double") * (c1 - k)) / ((k + 1).cast("double") * (rest + k + 1))
-        return F.struct(
-            F.when(onward > 0, here + F.ln(onward)).otherwise(F.lit(float("-inf"))).alias("next"),
-            (acc["total"] + F.when(here <= limit, F.exp(here)).otherwise(F.lit(0.0))).alias("total"),
-        )
-
-    begin = F.struct(col("_first").alias("next"), F.lit(0.0).alias("total"))
-    tail = F.aggregate(F.sequence("_from", "_to"), begin, step, lambda acc: acc["total"])
+    empty = (a + b == 0) | (c + d == 0) | (a + c == 0) | (b + d == 0)
     odds = (
-        F.when(col("_empty"), F.lit(float("nan")))
+        F.when(empty, F.lit(float("nan")))
         .when((b == 0) | (c == 0), F.lit(float("inf")))
         .otherwise(a.cast("double") * d.cast("double") / (b.cast("double") * c.cast("double")))
     )
-    p = F.when(col("_empty"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), tail))
-    return staged.select(*df.columns, p.alias("fisher_p"), odds.alias("odds_ratio"))
+    tested = df.withColumn("fisher_log10_p", F.pandas_udf(log10_p, DoubleType())(a, b, c, d))
+    logged = F.when(empty, F.lit(0.0)).otherwise(F.col("fisher_log10_p"))
+    return tested.withColumn("fisher_log10_p", logged).select(
+        *df.columns, F.pow(F.lit(10.0), F.col("fisher_log10_p")).alias("fisher_p"), "fisher_log10_p", odds.alias("odds_ratio")
+    )
 
 
 def _p_bucket(p: Column) -> Column:
@@ -138,18 +155,20 @@ def _p_bucket(p: Column) -> Column:
 
 
 def bh_table(weighted: DataFrame, p: str, weight: str, q: str = "fdr") -> DataFrame:
-    """(p, q, weight) for every distinct p: Benjamini-Hochberg over all tests, ties sharing one q.
+    """(p, q) for every distinct p: Benjamini-Hochberg over all tests, ties sharing one q.
 
-    Ranks and running minima are taken inside p-ranges; what crosses a range is carried by one row per
-    range (at most 73,000 of them, whatever the number of tests).
+    The distinct values are stored once; ranks and running minima are taken inside p-ranges, and what crosses a range is carried by
+    one row per range (at most 73,000 of them, whatever the number of tests).
     """
-    distinct = (
+    distinct = cut_lineage(
         weighted.groupBy(F.col(p).alias("_p"))
         .agg(F.sum(weight).cast("bigint").alias("_w"))
         .withColumn("_bucket", _p_bucket(F.col("_p")))
-        .withColumn("_all", F.lit(0))
     )
-    ranges = distinct.groupBy("_all", "_bucket").agg(F.sum("_w").alias("_bw"))
+    by_p = Window.partitionBy("_bucket").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = distinct.withColumn("_rank", F.sum("_w").over(by_p))
+    # within a range the least p * n / (before + rank) is needed for each count `before`; the counts come from the ranges
+    ranges = distinct.groupBy("_bucket").agg(F.sum("_w").alias("_bw")).withColumn("_all", F.lit(0))
     upto = Window.partitionBy("_all").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("_all")
     offsets = ranges.select(
@@ -157,25 +176,24 @@ def bh_table(weighted: DataFrame, p: str, weight: str, q: str = "fdr") -> DataFr
         F.coalesce(F.sum("_bw").over(upto), F.lit(0).cast("bigint")).alias("_before"),
         F.sum("_bw").over(every).alias("_n"),
     )
-    inside = Window.partitionBy("_bucket").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = distinct.join(offsets, "_bucket").withColumn("_rank", F.sum("_w").over(inside) + F.col("_before"))
-    raw = ranked.withColumn("_raw", F.col("_p") * F.col("_n").cast("double") / F.col("_rank").cast("double"))
-    lows = raw.groupBy("_all", "_bucket").agg(F.min("_raw").alias("_low"))
+    raw = cut_lineage(
+        ranked.join(F.broadcast(offsets), "_bucket").select(
+            "_p", "_bucket", (F.col("_p") * F.col("_n").cast("double") / (F.col("_rank") + F.col("_before")).cast("double")).alias("_raw")
+        )
+    )
     after = Window.partitionBy("_all").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    lows = raw.groupBy("_bucket").agg(F.min("_raw").alias("_low")).withColumn("_all", F.lit(0))
     later = lows.select("_bucket", F.min("_low").over(after).alias("_later"))
     down = Window.partitionBy("_bucket").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return raw.join(later, "_bucket").select(
-        F.col("_p").alias(p),
-        F.least(F.lit(1.0), F.min("_raw").over(down), F.col("_later")).alias(q),
-        F.col("_w").alias("_weight"),
+    return raw.join(F.broadcast(later), "_bucket").select(
+        F.col("_p").alias(p), F.least(F.lit(1.0), F.min("_raw").over(down), F.col("_later")).alias(q)
     )
 
 
 def bh_fdr(df: DataFrame, p: str, id_col: str, q: str = "fdr") -> DataFrame:
-    """Add the Benjamini-Hochberg q of every row. A p shared by many rows is joined back map-side."""
-    values = cut_lineage(df.groupBy(p).agg(F.count(F.lit(1)).alias("_rows")))
-    table = bh_table(values, p, "_rows", q)
-    return skew_join(df, table, [p], "_weight", [id_col], how="inner")
+    """Add the Benjamini-Hochberg q of every row."""
+    values = df.groupBy(p).agg(F.count(F.lit(1)).alias("_rows"))
+    return join_unique(df, bh_table(values, p, "_rows", q), [p], how="inner")
 
 
 def fisher_fdr(df: DataFrame, cells: tuple[str, str, str, str], id_col: str) -> DataFrame:
@@ -186,12 +204,9 @@ def fisher_fdr(df: DataFrame, cells: tuple[str, str, str, str], id_col: str) ->
     """
     keys = list(cells)
     tables = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    # A fixed number of partitions: the tables are few bytes but much work, and must not be coalesced.
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tested = cut_lineage(fisher_test(tables.repartition(partitions, *keys), cells))
-    q = bh_table(tested, "fisher_p", "_rows", "fdr")
-    adjusted = skew_join(tested, q, ["fisher_p"], "_weight", keys, how="inner")
-    return skew_join(df, adjusted, keys, "_rows", [id_col], how="inner")
+    tested = cut_lineage(fisher_test(tables, cells))
+    adjusted = cut_lineage(join_unique(tested.drop("_rows"), bh_table(tested, "fisher_p", "_rows", "fdr"), ["fisher_p"], how="inner"))
+    return join_unique(df, adjusted, keys, how="inner")
 
 
 def direction_label(gap: Column, second: str, first: str, none: str, limit: float = fv.DIRECTION_GAP) -> Column:
@@ -350,7 +365,7 @@ def leave_one_out(counts: DataFrame, block: list[str], stratum: str, second_expe
     totals = counts.groupBy(*block).agg(
         F.count(F.lit(1)).alias("_weight"), *[F.sum(n).alias(f"_{n}") for n in names]
     )
-    joined = skew_join(counts.filter(F.col(stratum) != ""), totals, block, "_weight", [stratum], how="inner")
+    joined = join_unique(counts.filter(F.col(stratum) != ""), totals.drop("_weight"), block, how="inner")
     rest = joined.select(*block, stratum, *[(F.col(f"_{n}") - F.col(n)).alias(n) for n in names])
     return stratum_gaps(rest, second_expected).select(
         *block,
@@ -370,3 +385,24 @@ def robustness(left_out: DataFrame, block: list[str]) -> DataFrame:
         F.min("expected_gap").alias("minimum_gap"),
         F.max("expected_gap").alias("maximum_gap"),
     )
+
+
+def attach_statistics(summary: DataFrame, keys: list[str], *statistics: DataFrame) -> DataFrame:
+    """The summary with every statistics table joined on the keys; a block without statistics keeps nulls."""
+    out = summary
+    for table in statistics:
+        out = out.join(table, keys, "left")
+    return out
+
+
+def two_panel_counts(
+    calls: DataFrame, block: str, second: Column, first: Column, present: Column, strict: Column
+) -> DataFrame:
+    """Present and absent counts of both groups per block, on all entities and (``strict_``) on the strict panel."""
+    cells = {
+        "second_present": second & present, "second_absent": second & ~present,
+        "first_present": first & present, "first_absent": first & ~present,
+    }
+    return calls.groupBy(block).agg(
+        *[F.count_if(c).alias(n) for n, c in cells.items()], *[F.count_if(holds(strict) & c).alias(f"strict_{n}") for n, c in cells.items()]
+    )

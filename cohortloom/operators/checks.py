@@ -69,7 +69,7 @@ def combine(*frames: DataFrame) -> DataFrame:
 
 def require(checks: DataFrame) -> None:
     """Raise when a check fails. One row per check reaches the driver, never data rows."""
-    failed = checks.filter(~F.col("ok")).take(20)
+    failed = checks.filter(~F.col("ok")).collect()
     if failed:
         raise CheckFailed("; ".join(f"{r.check_name}: expected {r.expected}, observed {r.observed}" for r in failed))
 

@@ -115,24 +115,20 @@ def strict_quality(source: Column, public: str, completeness: Column, contaminat
     )
 
 
-def table_rules(table, columns: tuple[str, ...], notes: dict[str, str]) -> list[tuple[Column, dict[str, str]]]:
-    """Rules for ``rule_cascade`` from a plain table of (tests, output values)."""
-    kinds = {
-        "is": lambda c, v: c == v,
-        "has": lambda c, v: c.contains(v),
-        "has_any_case": lambda c, v: F.lower(c).contains(v),
-        "below": lambda c, v: c.try_cast("double") < v,
-    }
-    return [
-        (
-            all_true(*[kinds[kind](F.col(column), value) for kind, column, value in tests]),
-            {name: notes.get(value, value) for name, value in zip(columns, values, strict=True)},
-        )
-        for tests, values in table
-    ]
-
-
 def analysis_labels(evidence: DataFrame) -> DataFrame:
-    """Seven label columns per sample by the fixed rule table; a sample without a rule is an error."""
-    rules = table_rules(fv.LABEL_RULES, fv.LABEL_COLUMNS, fv.LABEL_NOTES)
+    """Seven label columns per sample, first rule that holds; a sample without a rule, or a margin that is no number, is an error."""
+    species, fine = F.col("best_public_reporting_species"), F.col("best_public_fine_label")
+    group, anchor = F.col("best_type_broad_group"), F.lower("best_type_fine_label")
+    close = F.col("type_distinct_fine_label_ani_margin").cast("double") < fv.LABEL_MARGIN
+    genus = "Mycobacterium "
+    conditions = {
+        "colombiense": (species == genus + "colombiense") & (group == genus + "colombiense"),
+        "avium_hominissuis": (species == genus + "avium") & fine.contains("hominissuis"),
+        "avium": species == genus + "avium",
+        "mp_mip": group == genus + "paraintracellulare",
+        "chimaera": F.lower(fine).contains("chimaera"),
+        "yongonense": anchor.contains("yongonense") & close,
+        "tmi": group == genus + "intracellulare",
+    }
+    rules = [(holds(c), dict(zip(fv.LABEL_COLUMNS, fv.LABEL_TEXTS[name], strict=True))) for name, c in conditions.items()]
     return rule_cascade(evidence, rules, F.col("sample_id"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cohortloom.fixed_values import (
     BASE_NAMES,
-    DEPTH_CAP,
     DROP_BITS,
     MIN_BASE_QUALITY,
     MIN_DEPTH,
@@ -31,30 +30,10 @@ def keep_proper(df: DataFrame, flag: str) -> DataFrame:
 
 
 def quality_rows(
-    df: DataFrame,
-    position_keys: list[str],
-    mapq: str,
-    baseq: str,
-    order: str,
-    min_mapq: int = MIN_MAPPING_QUALITY,
-    min_baseq: int = MIN_BASE_QUALITY,
-    cap: int = DEPTH_CAP,
+    df: DataFrame, mapq: str, baseq: str, min_mapq: int = MIN_MAPPING_QUALITY, min_baseq: int = MIN_BASE_QUALITY
 ) -> DataFrame:
-    """Evidence rows of sufficient quality, at most ``cap`` per position (the depth cap of the screen).
-
-    Positions under the cap never enter the ranking; only the rare deeper ones are sorted.
-    """
-    kept = df.filter((F.col(mapq) >= min_mapq) & (F.col(baseq) >= min_baseq))
-    deep = kept.groupBy(*position_keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cap).drop("_n")
-    shallow = kept.join(deep, position_keys, "left_anti")
-    ranked = Window.partitionBy(*position_keys).orderBy(order)
-    capped = (
-        kept.join(deep, position_keys, "left_semi")
-        .withColumn("_r", F.row_number().over(ranked))
-        .filter(F.col("_r") <= cap)
-        .drop("_r")
-    )
-    return shallow.unionByName(capped)
+    """Evidence rows of sufficient quality, whatever the depth of their position."""
+    return df.filter((F.col(mapq) >= min_mapq) & (F.col(baseq) >= min_baseq))
 
 
 def decode_rows(df: DataFrame, ref: str = "ref", pile: str = "pile") -> DataFrame:

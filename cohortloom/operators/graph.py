@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators.modules import numbered_names
-from cohortloom.operators.skew import skew_join
+from cohortloom.operators.skew import join_unique
 from cohortloom.session import cut_lineage
 
 
@@ -27,7 +27,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         rows = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     lowest = rows.groupBy("a").agg(F.count(F.lit(1)).alias("_weight"), F.least(F.min("b"), F.col("a")).alias("_m"))
-    joined = skew_join(rows, lowest, ["a"], "_weight", ["b"], how="inner")
+    joined = join_unique(rows, lowest.drop("_weight"), ["a"], how="inner")
     if large:
         moved = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
     else:
@@ -104,3 +104,8 @@ def component_summary(
         "complete_entities", F.coalesce("complete_entities", F.lit(0).cast("bigint"))
     )
     return numbered_names(table, direction, "features", "component", "component_name", name_pattern)
+
+
+def component_members(labels: DataFrame, about: DataFrame, feature: str) -> DataFrame:
+    """One row per member with what is known about it (one row of ``about`` per feature)."""
+    return labels.select(F.col("node").alias(feature), "component").join(about, feature)

@@ -27,7 +27,7 @@ def _reach(df: DataFrame, keys: list[str], start: str, end: str, width: int) ->
         .withColumn("_bucket", bucket_of(F.col("start"), width))
     )
     tops = starts.groupBy(*keys, "_bucket").agg(F.max("end").alias("_top"))
-    carried = carry_before(tops, keys, "_bucket", {"_carry": F.max("_top")})
+    carried = carry_before(tops, keys, "_bucket", {"_carry": ("max", "_top")})
     inside = Window.partitionBy(*keys, "_bucket").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     return starts.join(carried, [*keys, "_bucket"]).withColumn(
         "_reached", F.greatest(F.max("end").over(inside), F.col("_carry"))
@@ -42,7 +42,7 @@ def merge_intervals(
     opens = F.col("_reached").isNull() | (F.col("start") > F.col("_reached"))
     flagged = rows.withColumn("_open", F.when(opens, F.col("start")))
     last_open = flagged.groupBy(*keys, "_bucket").agg(F.max("_open").alias("_last"))
-    carried = carry_before(last_open, keys, "_bucket", {"_from": F.max("_last")})
+    carried = carry_before(last_open, keys, "_bucket", {"_from": ("max", "_last")})
     inside = Window.partitionBy(*keys, "_bucket").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     island = F.coalesce(F.max("_open").over(inside), F.col("_from"))
     return (
@@ -133,16 +133,24 @@ def locate_points(
 ) -> DataFrame:
     """Attach the owning interval's columns to every point that an interval of ``owners`` holds.
 
-    ``owners`` must be disjoint. An equi-join on (keys, bucket); a bucket has at most ``width`` owners.
+    ``owners`` must be disjoint. Owners' starts and points are sorted together inside each bucket and the last start is carried
+    forward, so the work is linear in both and no point meets more than one owner.
     """
-    spread_owners = in_buckets(owners, "start", "end", width).select(
-        *keys, "_bucket", F.col("start").alias("_os"), F.col("end").alias("_oe"), *columns
+    order = F.greatest(F.col("start"), F.col("_bucket") * width)
+    starts = in_buckets(owners, "start", "end", width).select(
+        *keys, "_bucket", order.alias("_at"), F.lit(0).alias("_kind"),
+        F.struct(F.col("end").alias("_end"), *columns).alias("_owner"), F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("_row"),
     )
+    asked = points.select(
+        *keys, bucket_of(F.col(point), width).alias("_bucket"), F.col(point).alias("_at"), F.lit(1).alias("_kind"),
+        F.lit(None).cast(starts.schema["_owner"].dataType).alias("_owner"), F.struct(*points.columns).alias("_row"),
+    )
+    upto = Window.partitionBy(*keys, "_bucket").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        points.withColumn("_bucket", bucket_of(F.col(point), width))
-        .join(spread_owners, [*keys, "_bucket"])
-        .filter((F.col(point) >= F.col("_os")) & (F.col(point) < F.col("_oe")))
-        .drop("_bucket", "_os", "_oe")
+        starts.unionByName(asked)
+        .withColumn("_owner", F.last("_owner", ignorenulls=True).over(upto))
+        .filter((F.col("_kind") == 1) & (F.col("_at") < F.col("_owner._end")))
+        .select("_row.*", *[F.col(f"_owner.{c}").alias(c) for c in columns])
     )
 
 

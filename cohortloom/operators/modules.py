@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.fixed_values import MAX_INTERVENING, MIN_ADJACENCY, MIN_JACCARD, MIN_PAIR_ENTITIES
+from cohortloom.fixed_values import MAX_INTERVENING, MIN_ADJACENCY, MIN_JACCARD, MIN_PAIR_ENTITIES, SYNTENIC_MIN_FEATURES
 from cohortloom.functions.numeric import ratio_or_zero
-from cohortloom.operators.skew import bucket_of, carry_before, key_weights, range_rank, skew_join
+from cohortloom.operators.skew import bucket_of, carry_before, key_weights, range_rank, join_unique
 from cohortloom.session import cut_lineage
 
 SPAN_WIDTH = 1 << 12
@@ -43,7 +43,7 @@ def identical_set_groups(
         .filter(F.col("_weight") >= min_features)
     )
     members = cut_lineage(
-        skew_join(signatures, groups, keys, "_weight", [feature], how="inner").select(
+        join_unique(signatures, groups.drop("_weight"), keys, how="inner").select(
             direction, "leader", feature, "set_size"
         )
     )
@@ -52,7 +52,7 @@ def identical_set_groups(
         members.select(direction, F.col("leader").alias(feature)).distinct(), [direction, feature], "left_semi"
     ).select(direction, F.col(feature).alias("leader"), entity, F.lit(True).alias("_same"))
     confirmed = cut_lineage(
-        skew_join(rows, members.withColumn("_weight", F.col("set_size")), [direction, feature], "_weight", [entity], how="inner")
+        join_unique(rows, members, [direction, feature], how="inner")
         .join(leader_rows, [direction, "leader", entity], "left")
         .groupBy(direction, "leader", feature)
         .agg(F.max("set_size").alias("set_size"), F.count("_same").alias("_shared"))
@@ -108,6 +108,16 @@ def module_compactness(
     )
 
 
+def module_cohorts(held: DataFrame, compactness: DataFrame, module: str, cohorts: dict[str, Column]) -> DataFrame:
+    """Module table: entities in all and per cohort, compactness, and whether the module is syntenic.
+
+    ``held`` has one row per (module, entity). Syntenic modules have enough features and are mostly compact.
+    """
+    counts = held.groupBy(module).agg(F.count(F.lit(1)).alias("entities"), *[F.count_if(c).alias(n) for n, c in cohorts.items()])
+    syntenic = (F.col("features") >= SYNTENIC_MIN_FEATURES) & (F.col("compact_fraction") >= MIN_ADJACENCY)
+    return counts.join(compactness, module).withColumn("syntenic", syntenic)
+
+
 def covering_spans(
     hits: DataFrame,
     members: DataFrame,
@@ -156,7 +166,7 @@ def covering_spans(
     )
     tops = grid.join(buckets.drop("_need"), [*place, "_bucket", "_slot"], "left")
     carried = (
-        carry_before(tops, [*place, "_slot"], "_bucket", {"_seen": F.max("_top")})
+        carry_before(tops, [*place, "_slot"], "_bucket", {"_seen": ("max", "_top")})
         .groupBy(*place, "_bucket")
         .agg(F.array_sort(F.collect_list(F.struct("_slot", "_seen"))).alias("_carry"))
     )
@@ -186,7 +196,6 @@ def block_calls(
     blocks: DataFrame,
     members: DataFrame,
     hits: DataFrame,
-    entities: DataFrame,
     block: str,
     feature: str,
     entity: str,
@@ -194,14 +203,12 @@ def block_calls(
     position: str,
     allowed: str,
 ) -> DataFrame:
-    """One row per (block, entity), absences included: features seen, completeness, span and the call.
+    """One row per observed (block, entity): features seen, completeness, span and the call.
 
-    The block list is a curated set, so it is turned into one array value and exploded per entity.
+    An entity without any feature of a block has no row; ``block_totals`` counts it as absent.
     """
     need = members.groupBy(block).agg(F.countDistinct(feature).alias("required_features"))
     plan = blocks.select(block, F.col(allowed).cast("bigint").alias("maximum_allowed_span")).join(need, block)
-    listed = plan.agg(F.collect_list(F.struct(block, "required_features", "maximum_allowed_span"))).scalar()
-    grid = entities.select(entity).withColumn("_b", F.explode(listed)).select(entity, "_b.*")
     seen = (
         hits.join(members.select(block, feature).distinct(), feature)
         .groupBy(block, entity)
@@ -209,9 +216,8 @@ def block_calls(
     )
     spans = covering_spans(hits, members, block, feature, entity, container, position)
     return (
-        grid.join(seen, [block, entity], "left")
+        join_unique(seen, plan, [block], how="inner")
         .join(spans, [block, entity], "left")
-        .withColumn("observed_features", F.coalesce("observed_features", F.lit(0).cast("bigint")))
         .withColumn("all_features_present", F.col("observed_features") == F.col("required_features"))
         .withColumn("one_container", F.col("minimum_span").isNotNull())
         .withColumn(
@@ -220,6 +226,16 @@ def block_calls(
     )
 
 
+def block_totals(blocks: DataFrame, calls: DataFrame, entities: DataFrame, block: str) -> DataFrame:
+    """Per block: entities that hold it, that do not, and all; unobserved entities are absent."""
+    counts = calls.groupBy(block).agg(F.count_if("block_present").alias("present"))
+    total = entities.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    present = F.coalesce("present", F.lit(0).cast("bigint"))
+    return blocks.select(block).distinct().join(counts, block, "left").select(
+        block, present.alias("present"), (total - present).alias("absent"), total.alias("entities")
+    )
+
+
 def similar_pairs(
     presence: DataFrame,
     feature: str,
@@ -249,7 +265,7 @@ def similar_pairs(
         F.floor(F.log2(F.col("_weight").cast("double")) * 8).cast("bigint") * PREFIX_PARTS
         + F.pmod(F.xxhash64(entity), F.lit(PREFIX_PARTS)),
     )
-    tagged = cut_lineage(skew_join(rows, common, [direction, entity], "_weight", [feature], how="inner"))
+    tagged = cut_lineage(join_unique(rows, common.drop("_weight"), [direction, entity], how="inner"))
     steps = tagged.groupBy(direction, feature, "_order").agg(F.count(F.lit(1)).alias("_n"))
     rare_first = Window.partitionBy(direction, feature).orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     needed = F.greatest(F.lit(min_shared).cast("bigint"), F.ceil(F.col("_size") * F.lit(min_jaccard) - F.lit(1e-9)))

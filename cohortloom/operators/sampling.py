@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.hashing import label_of, stable_number
 from cohortloom.operators import checks
-from cohortloom.operators.skew import skew_join
+from cohortloom.operators.skew import join_unique
 from cohortloom.session import cut_lineage
 
 HASH_BITS = 60
@@ -50,7 +50,7 @@ def take_windows(df: DataFrame, manifest: DataFrame, source: str, position: str)
         F.max("total_source_rows").alias("_weight"),
         F.collect_list(F.struct("seed", "window_start", "window_rows")).alias("_windows"),
     )
-    joined = skew_join(df, folded, [source], "_weight", [position], how="inner")
+    joined = join_unique(df, folded.drop("_weight"), [source], how="inner")
     hit = F.filter(
         F.col("_windows"),
         lambda w: (F.col(position) >= w["window_start"]) & (F.col(position) < w["window_start"] + w["window_rows"]),
@@ -80,11 +80,6 @@ def deepest_need(plan: DataFrame, sources: list[str], depth: str, seed: str) ->
     )
 
 
-def first_rows(df: DataFrame, position: str, n: int) -> DataFrame:
-    """First n records in stored order."""
-    return df.filter(F.col(position) < n)
-
-
 def exact_sample(
     df: DataFrame, sizes: DataFrame, group: str, id_col: str, label: Column, size: str = "sample_rows"
 ) -> DataFrame:
@@ -122,7 +117,7 @@ def exact_sample(
         )
         .select(group, "_weight", F.col("_edge_row._cut").alias("_edge"), F.col("_edge_row.rest").alias("_rest"))
     )
-    bounded = skew_join(hashed, limits, [group], "_weight", [id_col], how="inner")
+    bounded = join_unique(hashed, limits.drop("_weight"), [group], how="inner")
     sure = bounded.filter(F.col("_cut") < F.col("_edge"))
     ranked = Window.partitionBy(group).orderBy("_h", id_col)
     edge = (
@@ -133,6 +128,14 @@ def exact_sample(
     return sure.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
+def without_sample(
+    df: DataFrame, sizes: DataFrame, group: str, id_col: str, label: Column, size: str = "sample_rows"
+) -> DataFrame:
+    """The rows that ``exact_sample`` with the same arguments does not take."""
+    chosen = exact_sample(df, sizes, group, id_col, label, size).select(group, id_col)
+    return df.join(chosen, [group, id_col], "left_anti").select(*df.columns)
+
+
 def blend_sizes(total: Column, percent: float) -> tuple[Column, Column]:
     """(major, minor) row counts: minor is rounded half to even, major is the rest."""
     checks.require_between(percent, 0, 50, "minor percent")

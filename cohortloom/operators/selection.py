@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.text import text
-from cohortloom.operators.skew import skew_join
+from cohortloom import fixed_values as fv
+from cohortloom.operators.skew import join_unique
 
 
 def best_per_key(df: DataFrame, keys: list[str], score: str, ordinal: str, columns: list[str]) -> DataFrame:
@@ -60,7 +61,7 @@ def selection_ledger(
         ).alias("pair_winner"),
         F.min(F.when(passed, F.col(ordinal))).alias("_pair_first"),
     )
-    rows = skew_join(rows, pairs, [pair_key], "_weight", [id_col])
+    rows = join_unique(rows, pairs.drop("_weight"), [pair_key])
     pair_selected = passed & (F.col(id_col) == F.col("pair_winner"))
 
     entities = rows.groupBy("_entity").agg(
@@ -69,19 +70,19 @@ def selection_ledger(
             id_col, F.when(pair_selected, F.struct((-F.col(score)).alias("s"), F.col("_pair_first").alias("o")))
         ).alias("entity_winner"),
     )
-    rows = skew_join(rows, entities, ["_entity"], "_weight", [id_col])
+    rows = join_unique(rows, entities.drop("_weight"), ["_entity"])
     in_pair = F.coalesce(pair_selected, F.lit(False))
     in_entity = F.coalesce(in_pair & (F.col(id_col) == F.col("entity_winner")), F.lit(False))
     decision = (
-        F.when(~passed, F.lit("excluded_qc"))
-        .when(~in_pair, F.lit("excluded_pair_dedup"))
-        .when(~in_entity, F.lit("excluded_entity_dedup"))
-        .otherwise(F.lit("selected_qc_first"))
+        F.when(~passed, F.lit(fv.SELECTION_DECISIONS["qc"]))
+        .when(~in_pair, F.lit(fv.SELECTION_DECISIONS["pair"]))
+        .when(~in_entity, F.lit(fv.SELECTION_DECISIONS["entity"]))
+        .otherwise(F.lit(fv.SELECTION_DECISIONS["selected"]))
     )
     why = (
         F.when(~passed, F.col(reasons))
-        .when(~in_pair, F.concat(F.lit("pair_winner="), text("pair_winner")))
-        .when(~in_entity, F.concat(F.lit("entity_winner="), text("entity_winner")))
+        .when(~in_pair, F.concat(F.lit(fv.SELECTION_REASONS["pair"]), text("pair_winner")))
+        .when(~in_entity, F.concat(F.lit(fv.SELECTION_REASONS["entity"]), text("entity_winner")))
         .otherwise(F.lit(""))
     )
     return rows.select(

@@ -5,56 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.functions.hashing import spread
 from cohortloom.session import cut_lineage
 
-HOT_KEYS = 1000
-SALTS = 1024
+SHIFT = 22
 
 
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    weight: str,
-    spread_on: list[str],
-    how: str = "left",
-    hot_keys: int = HOT_KEYS,
-) -> DataFrame:
-    """Join to a table with one row per key, safe for keys that hold a large share of ``left``.
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join to a table with one row per key; columns of ``left`` first, then those that ``right`` adds.
 
-    ``weight`` is a column of ``right``: how many left rows carry the key. The ``hot_keys`` heaviest
-    rows are broadcast (a fixed number of rows, whatever the data size) and matched map-side; rows
-    they match are then scattered by a salt, so the shuffle join only ever groups keys that each
-    hold less than 1/``hot_keys`` of the rows. Every row is kept. ``how`` is ``left`` or ``inner``.
-    The weight column is not part of the result.
+    An equi-join in which adaptive execution splits partitions of ``left`` that a hot key makes large and copies the one
+    ``right`` row to each piece, so no rank or share decides which key counts as hot. The split needs a shuffle right
+    below the join on both sides; a hash of the keys as a further key asks for one where ``right`` is grouped by them
+    already. ``how`` is ``left`` or ``inner``.
     """
-    payload = [c for c in right.columns if c not in keys and c != weight]
-    packed = right.select(*keys, weight, F.struct(F.lit(True).alias("_hit"), *payload).alias("_payload"))
-    hot = (
-        packed.orderBy(F.desc(weight), *keys)
-        .limit(hot_keys)
-        .select(*keys, F.col("_payload").alias("_hot"))
-    )
-    cold = packed.select(*keys, F.lit(0).alias("_salt"), F.col("_payload").alias("_cold"))
-    salted = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(spread(spread_on, SALTS) + 1)
-    )
-    joined = salted.join(cold, [*keys, "_salt"], "left").withColumn("_payload", F.coalesce("_hot", "_cold"))
-    if how == "inner":
-        joined = joined.filter(F.col("_payload").isNotNull())
-    return joined.select(*left.columns, *[F.col(f"_payload.{c}").alias(c) for c in payload])
-
-
-def fill_cores(scan: DataFrame, columns: list[str]) -> DataFrame:
-    """Spread a table scan over all cores when it arrives in fewer partitions than there are cores.
-
-    For heavy per-row work on a few files or row groups. A scan that already has a partition per core,
-    as any large table does, is returned as it is, so no shuffle is added at scale. ``columns`` should
-    identify rows. Only for scans and narrow steps on them.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *columns)
+    payload = [c for c in right.columns if c not in keys]
+    spread = F.xxhash64(*[F.col(k) for k in keys])
+    joined = left.withColumn("_spread", spread).join(right.withColumn("_spread", spread), [*keys, "_spread"], how)
+    return joined.select(*left.columns, *payload)
 
 
 def key_weights(df: DataFrame, keys: list[str], name: str = "_weight") -> DataFrame:
@@ -66,15 +33,29 @@ def bucket_of(position: Column, width: int) -> Column:
 
 
 def carry_before(
-    buckets: DataFrame, keys: list[str], bucket: str, carries: dict[str, Column], descending: bool = False
+    buckets: DataFrame, keys: list[str], bucket: str, carries: dict[str, tuple[str, str]], descending: bool = False
 ) -> DataFrame:
-    """For every (keys, bucket) row, fold the earlier buckets of the same keys.
+    """For every (keys, bucket) row, fold the earlier buckets of the same keys: ``carries`` maps a name to (sum or max, column).
 
-    ``buckets`` holds one row per bucket, so the window sorts buckets, not data rows.
+    ``buckets`` holds one row per bucket. Folds run inside stretches of 2**SHIFT bucket numbers, and over one row per
+    stretch, so a task holds at most 2**SHIFT rows of one key however sparse the buckets are, and a key with most
+    rows is dealt over its stretches. Null where nothing comes before.
     """
-    order = F.desc(bucket) if descending else F.asc(bucket)
-    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return buckets.select(*keys, bucket, *[c.over(earlier).alias(name) for name, c in carries.items()])
+    folds = {"sum": F.sum, "max": F.max}
+    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    wide = [F.col(k) for k in keys] + [F.shiftright(F.col(bucket).cast("bigint"), SHIFT).alias("_stretch")]
+    before = Window.partitionBy(*keys, "_stretch").orderBy(order(bucket)).rowsBetween(Window.unboundedPreceding, -1)
+    placed = buckets.select(*wide, bucket, *[F.col(c).alias(f"_v_{n}") for n, (_, c) in carries.items()])
+    inside = placed.select(*keys, "_stretch", bucket, *[folds[f](f"_v_{n}").over(before).alias(f"_in_{n}") for n, (f, _) in carries.items()])
+    stretches = placed.groupBy(*keys, "_stretch").agg(*[folds[f](f"_v_{n}").alias(f"_v_{n}") for n, (f, _) in carries.items()])
+    above = Window.partitionBy(*keys).orderBy(order("_stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = stretches.select(*keys, "_stretch", *[folds[f](f"_v_{n}").over(above).alias(f"_up_{n}") for n, (f, _) in carries.items()])
+
+    def both(n: str, fold: str) -> Column:
+        a, b = F.col(f"_in_{n}"), F.col(f"_up_{n}")
+        return (F.coalesce(a + b, a, b) if fold == "sum" else F.greatest(a, b)).alias(n)
+
+    return inside.join(carried, [*keys, "_stretch"]).select(*keys, bucket, *[both(n, f) for n, (f, _) in carries.items()])
 
 
 def range_rank(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
@@ -88,7 +69,7 @@ def range_rank(df: DataFrame, keys: list[str], order: list[Column], name: str) -
         df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
     )
     sizes = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = carry_before(sizes, keys, "_part", {"_offset": F.sum("_n")})
+    offsets = carry_before(sizes, keys, "_part", {"_offset": ("sum", "_n")})
     inside = Window.partitionBy(*keys, "_part").orderBy(*order)
     return (
         ranged.join(offsets, [*keys, "_part"])
@@ -107,7 +88,7 @@ def dense_position(
     """
     tagged = df.withColumn("_bucket", bucket_of(F.col(order), width))
     sizes = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = carry_before(sizes, keys, "_bucket", {"_offset": F.sum("_n")})
+    offsets = carry_before(sizes, keys, "_bucket", {"_offset": ("sum", "_n")})
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
     return (
         tagged.join(offsets, [*keys, "_bucket"])

@@ -61,16 +61,6 @@ def rule_satisfied(rule: Column, primary: Column, auxiliary: Column) -> Column:
     )
 
 
-def set_digest(id_col: str, condition: Column) -> list[Column]:
-    """Order-free fingerprint of the ids that meet a condition: count and two 64-bit XORs."""
-    chosen = F.when(condition, F.col(id_col))
-    return [
-        F.count(chosen).alias("_count"),
-        F.bit_xor(F.when(condition, F.xxhash64(F.col(id_col)))).alias("_x"),
-        F.bit_xor(F.when(condition, F.xxhash64(F.lit("second"), F.col(id_col)))).alias("_y"),
-    ]
-
-
 def threshold_sweep_calls(
     samples: DataFrame,
     id_col: str,

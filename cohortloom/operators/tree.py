@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.text import count_of
-from cohortloom.operators.skew import skew_join
+from cohortloom.operators.skew import join_unique
 from cohortloom.session import cut_lineage
 
 
@@ -30,7 +30,7 @@ def ancestor_closure(nodes: DataFrame, tips: DataFrame, max_rounds: int = 40) ->
     for _ in range(max_rounds):
         counted = closure.groupBy(*key).agg(F.count(F.lit(1)).alias("_weight"))
         steps = jump.join(counted, key)
-        grown = skew_join(closure, steps, key, "_weight", ["tip"], how="inner").select(
+        grown = join_unique(closure, steps.drop("_weight"), key, how="inner").select(
             "panel", "tip", F.col("_to").alias("ancestor"),
             (F.col("distance") + F.col("_len")).alias("distance"), (F.col("hops") + F.col("_hops")).alias("hops"),
         )
@@ -43,7 +43,7 @@ def ancestor_closure(nodes: DataFrame, tips: DataFrame, max_rounds: int = 40) ->
             "panel", F.col("ancestor").alias("_origin"), F.col("_to").alias("ancestor"), "_len", "_hops"
         )
         jump = cut_lineage(
-            skew_join(moved, onward, key, "_weight", ["_origin"], how="inner").select(
+            join_unique(moved, onward.drop("_weight"), key, how="inner").select(
                 "panel", F.col("_origin").alias("ancestor"), F.col("_next").alias("_to"),
                 (F.col("_len") + F.col("_nlen")).alias("_len"), (F.col("_hops") + F.col("_nhops")).alias("_hops"),
             )
@@ -67,12 +67,10 @@ def nearest_tip(closure: DataFrame, query_tips: DataFrame, reference_tips: DataF
         F.min(F.struct(F.col("distance").alias("d"), F.col("ordinal").alias("o"), F.col("tip").alias("t"))).alias("_best")
     )
     used = query.groupBy("panel", "ancestor").agg(F.count(F.lit(1)).alias("_weight"))
-    met = skew_join(
-        query, closest.join(used, ["panel", "ancestor"]), ["panel", "ancestor"], "_weight", ["tip"], how="inner"
-    )
+    met = join_unique(query, closest.join(used, ["panel", "ancestor"]).drop("_weight"), ["panel", "ancestor"], how="inner")
     best = F.min(
         F.struct(
-            F.round(F.col("distance") + F.col("_best.d"), 12).alias("d"), F.col("_best.o").alias("o"), F.col("_best.t").alias("t")
+            (F.col("distance") + F.col("_best.d")).alias("d"), F.col("_best.o").alias("o"), F.col("_best.t").alias("t")
         )
     )
     return met.groupBy("panel", "tip").agg(best.alias("_b")).select(
@@ -162,3 +160,11 @@ def alignment_shape(sequences: DataFrame, keys: list[str], sequence: str) -> Dat
         (F.min(width) == F.max(width)).alias("rectangular"),
         F.sum(missing).alias("missing_cells"),
     )
+
+
+def panel_composition(records: DataFrame, panel: str, group: str, groups: list[str], width: str) -> DataFrame:
+    """Records per panel, in all and per known group (``n_<group>``), and whether their widths agree."""
+    return records.groupBy(panel).agg(
+        F.count(F.lit(1)).alias("records"), *[F.count_if(F.col(group) == g).alias(f"n_{g}") for g in groups],
+        (F.min(width) == F.max(width)).alias("rectangular"),
+    )

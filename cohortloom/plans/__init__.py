@@ -8,6 +8,7 @@ from cohortloom.plans import (  # noqa: F401
     module_plans,
     sampling_plans,
     selection_plans,
+    summary_plans,
     tree_plans,
 )
 from cohortloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from cohortloom.functions.hashing import label_of, stable_number
 from cohortloom.functions.text import add_three_digits
 from cohortloom.operators import association, joins
-from cohortloom.operators.skew import fill_cores
 from cohortloom.plans.registry import Tables, query
 from cohortloom.session import cut_lineage
 
@@ -37,7 +36,7 @@ def _word_counts(t: Tables, groups: dict[str, Column]) -> DataFrame:
 
     A document's groups are settled before its words are unfolded, so exploded rows are never joined.
     """
-    texts = fill_cores(t.documents.select("doc_id", "lang", "source", "text"), ["doc_id"])
+    texts = t.documents.select("doc_id", "lang", "source", "text")
     flagged = association.flag_entities(_panel(t, texts), groups, ["text"])
     words = flagged.withColumn("word", F.explode(F.array_distinct(F.split("text", r"\s+")))).drop("text")
     totals = association.group_totals(_panel(t, t.documents.select("doc_id", "lang", "source")), groups)
@@ -88,6 +87,8 @@ terms as (select a, b, c, d, w, k,
   from (select *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) as k from tabs)),
 tab as (select a, b, c, d, w, case when a + b = 0 or c + d = 0 or a + c = 0 or b + d = 0 then 1.0
      else least(1.0, sum(exp(lp)) filter (where lp <= lo + ln(1 + 1e-7))) end as p,
+   case when a + b = 0 or c + d = 0 or a + c = 0 or b + d = 0 then 0.0
+     else least(0.0, any_value(lo) / ln(10) + log10(sum(exp(least(lp - lo, 1.0))) filter (where lp <= lo + ln(1 + 1e-7)))) end as log10_p,
    case when a + b = 0 or c + d = 0 or a + c = 0 or b + d = 0 then 'nan'::double when b * c = 0 then 'inf'::double
      else (a * d)::double / (b * c)::double end as odds
   from terms group by a, b, c, d, w),
@@ -154,7 +155,7 @@ _SCREEN_SQL = (
         "counts", "public_second_present", "public_second_total - public_second_present", "public_first_present",
         "public_first_total - public_first_present",
     )
-    + """, s as (select c.*, tab.p as fisher_p, tab.odds, adj.q as fdr,
+    + """, s as (select c.*, tab.p as fisher_p, tab.log10_p, tab.odds, adj.q as fdr,
     public_first_present / public_first_total as p1, public_second_present / public_second_total as p2,
     local_first_present / nullif(local_first_total, 0) as l1, local_second_present / nullif(local_second_total, 0) as l2,
     local_first_direct_present / nullif(local_first_direct_total, 0) as l1d, local_first_other_present / nullif(local_first_other_total, 0) as l1o,
@@ -188,7 +189,7 @@ def _screened(t: Tables) -> DataFrame:
 @query(
     "fisher_fdr",
     _SCREEN_SQL
-    + """select word, public_first_present, public_second_present, round(fisher_p, 6) as fisher_p, round(fdr, 6) as fdr,
+    + """select word, public_first_present, public_second_present, round(fisher_p, 6) as fisher_p, round(log10_p, 4) as fisher_log10_p, round(fdr, 6) as fdr,
     case when isfinite(odds) then round(odds, 6) end as odds_ratio,
     case when isinf(odds) then 'Inf' else format('{:.3g}', odds) end as odds_display, direction, candidate, concordant, concordant and routes as route_consistent from f""",
 )
@@ -197,7 +198,7 @@ def fisher_fdr(t: Tables) -> DataFrame:
     odds = F.col("odds_ratio")
     finite = ~F.isnan(odds) & (odds != float("inf"))
     return add_three_digits(_screened(t), "odds_ratio", "odds_display").select(
-        "word", "public_first_present", "public_second_present", F.round("fisher_p", 6).alias("fisher_p"),
+        "word", "public_first_present", "public_second_present", F.round("fisher_p", 6).alias("fisher_p"), F.round("fisher_log10_p", 4).alias("fisher_log10_p"),
         F.round("fdr", 6).alias("fdr"), F.when(finite, F.round(odds, 6)).alias("odds_ratio"),
         "odds_display", "direction", "candidate", "concordant", "route_consistent",
     )
@@ -217,28 +218,32 @@ def screen_summary(t: Tables) -> DataFrame:
     )
 
 
-_SIGNALS = {"first_of": "of", "first_in": "in", "first_the": "the", "second_le": "le", "second_de": "de"}
+_SIGNALS = {"first_of": "of", "first_in": "in", "first_the": "the", "second_le": "le", "second_de": "de", "first_weak": "|", "second_weak": "en"}
 _CALLS_SQL = r"""
-with sig as (select * from (values ('first_of', 'of'), ('first_in', 'in'), ('first_the', 'the'), ('second_le', 'le'), ('second_de', 'de')) v(block_id, word)),
+with sig as (select * from (values ('first_of', 'of'), ('first_in', 'in'), ('first_the', 'the'), ('second_le', 'le'), ('second_de', 'de'), ('first_weak', '|'), ('second_weak', 'en')) v(block_id, word)),
 calls as (select block_id, starts_with(block_id, 'second_') as second_expected, doc_id, lang, source, list_contains(string_split_regex(text, '\s+'), word) as present
   from documents, sig where lang in ('en', 'fr'))
 """
 
 
+def _flagged(t: Tables) -> DataFrame:
+    """Documents of either group with one small entry per signal; the texts end here."""
+    words = F.split("text", r"\s+")
+    entries = [
+        F.struct(F.lit(b).alias("block_id"), F.lit(b.startswith("second_")).alias("second_expected"), F.array_contains("words", w).alias("present"))
+        for b, w in _SIGNALS.items()
+    ]
+    texts = t.documents.filter(_first() | _second()).select("doc_id", "lang", "source", words.alias("words"))
+    return texts.select("doc_id", "lang", "source", F.array(*entries).alias("_s"))
+
+
+def _calls_of(flagged: DataFrame) -> DataFrame:
+    """One row per (signal, document), absences included. The signal list is a literal."""
+    return flagged.select("doc_id", "lang", "source", F.inline("_s"))
+
+
 def _calls(t: Tables) -> DataFrame:
-    """One row per (signal, document of either group), absences included. The signal list is a literal."""
-    listed = F.array(*[F.struct(F.lit(b).alias("block_id"), F.lit(w).alias("word")) for b, w in _SIGNALS.items()])
-    texts = fill_cores(t.documents.filter(_first() | _second()).select("doc_id", "lang", "source", "text"), ["doc_id"])
-    return (
-        texts.select("doc_id", "lang", "source", F.split("text", r"\s+").alias("words"))
-        .withColumn("_s", F.explode(listed))
-        .select(
-            F.col("_s.block_id").alias("block_id"),
-            F.col("_s.block_id").startswith("second_").alias("second_expected"),
-            "doc_id", "lang", "source",
-            F.array_contains(F.col("words"), F.col("_s.word")).alias("present"),
-        )
-    )
+    return _calls_of(_flagged(t))
 
 
 @query(
@@ -249,15 +254,15 @@ g as (select block_id, count(*) filter (where (lang = 'fr') = second_expected) a
    count(*) filter (where (lang = 'fr') <> second_expected) as opposite_total, count(*) filter (where (lang = 'fr') <> second_expected and present) as opposite_present from ev group by 1),
 """
     + _fisher_sql("g", "expected_present", "expected_total - expected_present", "opposite_present", "opposite_total - opposite_present")
-    + """select block_id, case when starts_with(block_id, 'second_') then 'fr' else 'en' end as expected_group, 5::bigint as family_size, expected_present, expected_total, opposite_present, opposite_total,
+    + """select block_id, case when starts_with(block_id, 'second_') then 'fr' else 'en' end as expected_group, 7::bigint as family_size, expected_present, expected_total, opposite_present, opposite_total,
    round(expected_present / expected_total - opposite_present / opposite_total, 6) as prevalence_difference, case when isinf(odds) then 'Inf' else format('{:.3g}', odds) end as odds_display,
-   round(tab.p, 6) as fisher_p, round(q, 6) as fdr
+   round(tab.p, 6) as fisher_p, round(tab.log10_p, 4) as fisher_log10_p, round(q, 6) as fdr
   from g join tab on a = expected_present and b = expected_total - expected_present and c = opposite_present and d = opposite_total - opposite_present join adj on adj.p = round(tab.p, 13)""",
 )
 def heldout_eval(t: Tables) -> DataFrame:
     """Discovery documents are set aside by a stable hash; the rest evaluates five fixed signals."""
     discovery = t.documents.select("doc_id").filter(stable_number(label_of(F.col("doc_id"))) % 2 == 0)
-    calls = _calls(t).join(discovery, "doc_id", "left_anti")
+    calls = _calls_of(_flagged(t).join(discovery, "doc_id", "left_anti"))
     expected = F.when(F.col("second_expected"), _second()).otherwise(_first())
     counts = calls.groupBy("block_id").agg(
         F.count_if(expected).alias("expected_total"), F.count_if(expected & F.col("present")).alias("expected_present"),
@@ -281,7 +286,7 @@ def heldout_eval(t: Tables) -> DataFrame:
             F.try_divide("expected_present", "expected_total") - F.try_divide("opposite_present", "opposite_total"), 6
         ).alias("prevalence_difference"),
         "odds_display",
-        F.round("fisher_p", 6).alias("fisher_p"),
+        F.round("fisher_p", 6).alias("fisher_p"), F.round("fisher_log10_p", 4).alias("fisher_log10_p"),
         F.round("fdr", 6).alias("fdr"),
     )
 

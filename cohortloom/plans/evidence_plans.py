@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cohortloom import fixed_values as fv
 from cohortloom.operators import classify, evidence, joins, quantiles, sweep
-from cohortloom.operators.skew import fill_cores
 from cohortloom.plans.registry import Tables, query
 
 
@@ -23,7 +22,7 @@ from cohortloom.plans.registry import Tables, query
     from d join n using (source) group by d.source, n.n50""",
 )
 def n50_by_source(t: Tables) -> DataFrame:
-    texts = fill_cores(t.documents.select("doc_id", "source", "text"), ["doc_id"])
+    texts = t.documents.select("doc_id", "source", "text")
     return evidence.sequence_stats(texts, ["source"], "text", min_length=20).withColumn(
         "gc_percent", F.round("gc_percent", 6)
     )
@@ -53,7 +52,7 @@ def _pile_rows(t: Tables) -> DataFrame:
     )
     ref = F.when(F.col("l_linestatus") == "F", F.lit("g")).otherwise(F.lit("N"))
     lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "l_quantity", "l_returnflag")
-    return fill_cores(lines, ["l_orderkey", "l_partkey"]).select(
+    return lines.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", q.alias("q"), letter.alias("letter"),
         ref.alias("ref"), pile.alias("pile"),
     )
@@ -380,9 +379,7 @@ def qc_gates(t: Tables) -> DataFrame:
 
 @query(
     "evidence_row",
-    """with k as (select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) as rn
-          from lineitem where (l_linenumber & 2) = 2 and (l_linenumber & 4) = 0 and l_quantity >= 20 and round(l_discount * 100) >= 2),
-       c as (select * from k where rn <= 4),
+    """with c as (select * from lineitem where (l_linenumber & 2) = 2 and (l_linenumber & 4) = 0 and l_quantity >= 20 and round(l_discount * 100) >= 2),
        m as (select l_suppkey, count(*) filter (where l_returnflag = 'A') as "A_rows", count(*) filter (where l_returnflag = 'R') as "R_rows",
           max(l_quantity) filter (where l_returnflag = 'A') as "A_top", max(l_quantity) filter (where l_returnflag = 'R') as "R_top" from c group by 1)
        select s.s_suppkey, nullif("A_rows", 0) as "A_rows", nullif("R_rows", 0) as "R_rows", "A_top", "R_top", n_name,
@@ -390,12 +387,11 @@ def qc_gates(t: Tables) -> DataFrame:
        from supplier s join m on m.l_suppkey = s.s_suppkey join nation on n_nationkey = s_nationkey where "A_rows" + "R_rows" > 0""",
 )
 def evidence_row(t: Tables) -> DataFrame:
-    """Bit filter, quality filter with a depth cap, then both routes side by side per supplier."""
-    columns = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    """Bit filter, quality filter, then both routes side by side per supplier."""
     lines = t.lineitem.filter(
         (F.col("l_linenumber").bitwiseAND(F.lit(2)) == 2) & (F.col("l_linenumber").bitwiseAND(F.lit(4)) == 0)
-    ).withColumns({"base_quality": F.round(F.col("l_discount") * 100), "record": F.struct(*columns)})
-    kept = evidence.quality_rows(lines, ["l_partkey"], "l_quantity", "base_quality", "record", 20, 2, cap=4)
+    ).withColumn("base_quality", F.round(F.col("l_discount") * 100))
+    kept = evidence.quality_rows(lines, "l_quantity", "base_quality", 20, 2)
     long = (
         kept.filter(F.col("l_returnflag").isin("A", "R"))
         .groupBy(F.col("l_suppkey").alias("s_suppkey"), "l_returnflag")

@@ -86,7 +86,7 @@ q as (select *, row_number() over (partition by pk order by score desc, doc_id)
 p as (select * from q where rn = 1),
 e as (select *, row_number() over (partition by sample order by score desc, pf) as rn2 from p)
 select d.acc as assembly_accession, d.pk as pair_key, d.sample as biosample, d.score as selection_score, d.reasons as qc_failure_reasons,
-  case when d.reasons <> '' then 'excluded_qc' when d.acc <> p.acc then 'excluded_pair_dedup' when d.acc <> e.acc then 'excluded_entity_dedup' else 'selected_qc_first' end as selection_decision,
+  case when d.reasons <> '' then 'excluded_qc' when d.acc <> p.acc then 'excluded_paired_accession_dedup' when d.acc <> e.acc then 'excluded_biosample_dedup' else 'selected_qc_first' end as selection_decision,
   case d.lang when 'de' then 'Mycobacterium chimaera legacy subgroup' when 'en' then 'Mycobacterium avium subsp. hominissuis' else 'Mycobacterium avium' end as fine_label
 from d left join p on p.pk = d.pk left join (select * from e where rn2 = 1) e on e.sample = d.sample
 """
@@ -238,7 +238,11 @@ def alignment_file(t: Tables) -> DataFrame:
     return hits.groupBy("qname").agg(F.count(F.lit(1)).alias("hits"), F.sum("nmatch").alias("matches"), F.sum("block").alias("block"))
 
 
-@query("file_manifest")
+@query(
+    "file_manifest",
+    """select doc_id, 'doc' || doc_id || '.txt' as file_name, octet_length(encode(coalesce(text, '')))::bigint as size_bytes, md5(coalesce(text, '')) as md5,
+         sha256(coalesce(text, '')) as sha256 from documents""",
+)
 def file_manifest(t: Tables) -> DataFrame:
-    """Size, MD5 and SHA-256 of the table files."""
-    return tables.file_manifest(t.session, f"{t.folder}/*.parquet").drop("path")
+    """Size, MD5 and SHA-256 of every record, each hashed where it lies."""
+    return tables.record_manifest(t.documents, "doc_id", "text", F.format_string("doc%d.txt", "doc_id"))

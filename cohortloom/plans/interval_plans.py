@@ -125,8 +125,8 @@ def interval_minus(t: Tables) -> DataFrame:
 
 
 _PAIRS_SQL = (
-    _VISITS_SQL
-    + """
+    _VISITS_SQL.replace("with v as", "with v0 as")
+    + """v as (select * from v0 union all select event_id + 1000000000, user_id, event_type, s, e from v0 where event_type = 'signup'),
 p as (select a.user_id, a.event_type, a.event_id as id_a, b.event_id as id_b, a.s as start_a, a.e as end_a, b.s as start_b, b.e as end_b,
    least(a.e, b.e) - greatest(a.s, b.s) as overlap,
    (least(a.e, b.e) - greatest(a.s, b.s))::double / least(a.e - a.s, b.e - b.s) as overlap_fraction
@@ -135,8 +135,14 @@ p as (select a.user_id, a.event_type, a.event_id as id_a, b.event_id as id_b, a.
 )
 
 
+def _doubled(t: Tables) -> DataFrame:
+    """Visits, with every signup once more under another id, so that equal intervals occur."""
+    visits = _visits(t)
+    return visits.unionByName(visits.filter("event_type = 'signup'").withColumn("event_id", F.col("event_id") + 1000000000))
+
+
 def _pairs(t: Tables) -> DataFrame:
-    return intervals.overlapping_pairs(_visits(t), ["user_id", "event_type"], "event_id", width=1024)
+    return intervals.overlapping_pairs(_doubled(t), ["user_id", "event_type"], "event_id", width=1024)
 
 
 @query(
@@ -166,7 +172,7 @@ select n.user_id, n.event_type, n.intervals, coalesce(op, 0) as overlapping_pair
 from n left join f using (user_id, event_type)""",
 )
 def overlap_summary(t: Tables) -> DataFrame:
-    out = intervals.overlap_summary(_visits(t), ["user_id", "event_type"], _pairs(t))
+    out = intervals.overlap_summary(_doubled(t), ["user_id", "event_type"], _pairs(t))
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith("_fraction")})
 
 

@@ -24,7 +24,8 @@ def _events(t: Tables) -> DataFrame:
     "presence_pivot",
     """with o as (select user_id, event_type, (count(*) >= 12)::int as present from events group by 1, 2)
     select c_custkey, c_mktsegment, coalesce(max(present) filter (where event_type = 'click'), 0)::bigint as click,
-      coalesce(max(present) filter (where event_type = 'purchase'), 0)::bigint as purchase, coalesce(max(present) filter (where event_type = 'view'), 0)::bigint as view
+      coalesce(max(present) filter (where event_type = 'error'), 0)::bigint as error, coalesce(max(present) filter (where event_type = 'purchase'), 0)::bigint as purchase,
+      coalesce(max(present) filter (where event_type = 'signup'), 0)::bigint as signup, coalesce(max(present) filter (where event_type = 'view'), 0)::bigint as view
     from customer left join o on o.user_id = c_custkey group by 1, 2""",
 )
 def presence_pivot(t: Tables) -> DataFrame:
@@ -33,17 +34,17 @@ def presence_pivot(t: Tables) -> DataFrame:
         (F.count(F.lit(1)) >= 12).alias("present")
     )
     entities = t.customer.select("c_custkey", "c_mktsegment")
-    matrix = reshape.presence_matrix(entities, observed, "c_custkey", "event_type", "present", ["click", "purchase", "view"])
+    matrix = reshape.presence_matrix(entities, observed, "c_custkey", "event_type", "present", ["click", "error", "purchase", "signup", "view"])
     return reshape.preferred_first(matrix, ["c_mktsegment", "c_custkey"])
 
 
 @query(
     "joined_labels",
-    """select user_id, string_agg(distinct event_type, ';' order by event_type) as types from events where value > 20 group by user_id""",
+    """select user_id, string_agg(distinct event_type, ';' order by event_type) as types from events group by user_id""",
 )
 def joined_labels_query(t: Tables) -> DataFrame:
     """Sorted, joined labels of a small vocabulary per key."""
-    return t.events.filter("value > 20").groupBy("user_id").agg(joined_labels("event_type").alias("types"))
+    return t.events.groupBy("user_id").agg(joined_labels("event_type").alias("types"))
 
 
 def _type_bands(t: Tables) -> DataFrame:
@@ -142,26 +143,45 @@ def cover_span(t: Tables) -> DataFrame:
     return modules.covering_spans(hits, members, "block", "feature", "entity", "container", "position", width=2048)
 
 
-@query(
-    "block_calls",
+_CALL_SQL = (
     _SPAN_SQL
     + """, bl as (select * from (values ('trio', 3, 600), ('pair', 2, 240), ('single', 1, 240)) v(block, need, allowed)),
 mem as (select * from (values ('trio','click'), ('trio','purchase'), ('trio','view'), ('pair','error'), ('pair','signup'), ('single','view')) v(block, feature)),
-seen as (select block, entity, count(distinct h.feature) as n from h join mem using (feature) group by 1, 2)
-select bl.block, c_custkey as entity, need::bigint as required_features, allowed::bigint as maximum_allowed_span, coalesce(n, 0) as observed_features, s.span as minimum_span,
-  coalesce(n, 0) = need as all_features_present, s.span is not null as one_container, coalesce(s.span <= allowed, false) as block_present
-from customer, bl left join seen on seen.block = bl.block and seen.entity = c_custkey left join spans s on s.block = bl.block and s.entity = c_custkey""",
+seen as (select block, entity, count(distinct h.feature) as n from h join mem using (feature) group by 1, 2),
+calls as (select bl.block, seen.entity, need::bigint as required_features, allowed::bigint as maximum_allowed_span, n as observed_features, s.span as minimum_span,
+  n = need as all_features_present, s.span is not null as one_container, coalesce(s.span <= allowed, false) as block_present
+from seen join bl on seen.block = bl.block left join spans s on s.block = bl.block and s.entity = seen.entity)
+"""
 )
-def block_calls(t: Tables) -> DataFrame:
-    """Every block for every customer, absences included."""
+
+
+def _block_calls(t: Tables) -> tuple[DataFrame, DataFrame]:
     blocks, members, hits = _block_tables(t)
-    entities = t.customer.select(F.col("c_custkey").alias("entity"))
-    return modules.block_calls(blocks, members, hits, entities, "block", "feature", "entity", "container", "position", "allowed")
+    return blocks, modules.block_calls(blocks, members, hits, "block", "feature", "entity", "container", "position", "allowed")
+
+
+@query("block_calls", _CALL_SQL + "select * from calls")
+def block_calls(t: Tables) -> DataFrame:
+    """Every block for every entity that shows any of its features."""
+    return _block_calls(t)[1]
+
+
+@query(
+    "block_totals",
+    _CALL_SQL
+    + """select bl.block, count(*) filter (where block_present) as present, (select count(*) from (select distinct user_id from events)) - count(*) filter (where block_present) as absent,
+    (select count(*) from (select distinct user_id from events)) as entities from bl left join calls using (block) group by 1""",
+)
+def block_totals(t: Tables) -> DataFrame:
+    """Present and absent entities of every block."""
+    blocks, calls = _block_calls(t)
+    return modules.block_totals(blocks, calls, t.events.select("user_id").distinct(), "block")
 
 
 _HOURS_SQL = (
     _EVENT_SQL
-    + """pl as (select event_type as direction, event_type || '_' || lpad(((minute // 60) % 24)::varchar, 2, '0') as feature, user_id, (minute // 60)::bigint as position from ev),
+    + """p0 as (select event_type as direction, event_type || '_' || lpad(((minute // 60) % 24)::varchar, 2, '0') as feature, user_id, (minute // 60)::bigint as position from ev),
+pl as (select * from p0 union all select direction, feature || '_copy', user_id, position from p0 where feature like '%_07'),
 pr as (select distinct direction, feature, user_id from pl),
 sz as (select direction, feature, count(*) as n from pr group by 1, 2),
 sh as (select a.direction, a.feature as feature_a, b.feature as feature_b, count(*) as shared from pr a join pr b on a.direction = b.direction and a.user_id = b.user_id and a.feature < b.feature group by 1, 2, 3),
@@ -171,11 +191,11 @@ sim as (select sh.*, x.n as size_a, y.n as size_b, shared::double / (x.n + y.n -
 
 
 def _hour_features(t: Tables) -> DataFrame:
+    """Hours of the day by type as features; the seventh hour also goes by a second name, so identical sets occur."""
     hour = F.floor(F.col("minute") / 60).cast("bigint")
-    return _events(t).select(
-        F.col("event_type").alias("direction"), F.format_string("%s_%02d", "event_type", hour % 24).alias("feature"), "user_id",
-        hour.alias("position"),
-    )
+    name = F.format_string("%s_%02d", "event_type", hour % 24)
+    names = F.when(hour % 24 == 7, F.array(name, F.concat(name, F.lit("_copy")))).otherwise(F.array(name))
+    return _events(t).select(F.col("event_type").alias("direction"), F.explode(names).alias("feature"), "user_id", hour.alias("position"))
 
 
 @query(

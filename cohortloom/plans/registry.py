@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortloom.session import share_code
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -15,6 +17,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.session, self.folder = spark, sf_dir
+        share_code(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.session.read.parquet(f"{self.folder}/{name}.parquet")

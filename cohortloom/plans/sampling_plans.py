@@ -161,7 +161,7 @@ def deepest_need(t: Tables) -> DataFrame:
 @query(
     "pair_mates",
     """with u as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 as position, 'c' || conv_id || '.' || (turn // 2) as k from conversations where role = 'user'),
-    a as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 as position, 'c' || conv_id || '.' || ((turn - 1) // 2) as k from conversations where role = 'assistant')
+    a as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 as position, 'c' || conv_id || '.' || ((turn - 1) // 2 + case when conv_id % 5 = 0 then 1 else 0 end) as k from conversations where role = 'assistant')
     select conv_id, position, u.k as first_key, a.k as second_key, case when u.k is null or a.k is null then 'missing_mate' when u.k <> a.k then 'key_mismatch' else 'paired' end as pair_status
     from u full join a using (conv_id, position)""",
 )
@@ -170,16 +170,8 @@ def pair_mates(t: Tables) -> DataFrame:
 
     def side(role: str, shift: int, mate: int) -> DataFrame:
         rows = t.conversations.filter(F.col("role") == role).select("conv_id", "turn")
-        name = F.format_string(f"c%d.%d/{mate} extra", "conv_id", F.floor((F.col("turn") - shift) / 2))
+        wrong = F.when((F.col("conv_id") % 5 == 0) & F.lit(mate == 2), 1).otherwise(0)  # keys of another turn
+        name = F.format_string(f"c%d.%d/{mate} extra", "conv_id", F.floor((F.col("turn") - shift) / 2) + wrong)
         return skew.dense_position(rows, ["conv_id"], "turn").withColumn("key", tx.mate_key(name))
 
     return joins.pair_mates(side("user", 0, 1), side("assistant", 1, 2), ["conv_id", "position"], "key")
-
-
-@query(
-    "first_records",
-    """select doc_id, source, position from (select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as position from documents) where position < 12""",
-)
-def first_records(t: Tables) -> DataFrame:
-    """The capped head of every source: its first twelve records in stored order."""
-    return sampling.first_rows(_positions(t), "position", 12)

@@ -106,11 +106,11 @@ f as (select *, qc_failure_reasons = '' as qc_pass,
 ledger as (select *, selected_after_pair and coalesce(doc_id = entity_winner, false) as selected_after_entity from f),
 final as (select doc_id, pair_key, entity, lang, score, qc_failure_reasons, qc_pass, pair_winner, entity_winner,
   selected_after_pair, selected_after_entity,
-  case when not qc_pass then 'excluded_qc' when not selected_after_pair then 'excluded_pair_dedup'
-       when not selected_after_entity then 'excluded_entity_dedup' else 'selected_qc_first' end as selection_decision,
+  case when not qc_pass then 'excluded_qc' when not selected_after_pair then 'excluded_paired_accession_dedup'
+       when not selected_after_entity then 'excluded_biosample_dedup' else 'selected_qc_first' end as selection_decision,
   case when not qc_pass then qc_failure_reasons
        when not selected_after_pair then 'pair_winner=' || pair_winner
-       when not selected_after_entity then 'entity_winner=' || entity_winner else '' end as selection_reason
+       when not selected_after_entity then 'biosample_winner=' || entity_winner else '' end as selection_reason
   from ledger)
 """
 
@@ -323,20 +323,25 @@ def last_first_row(t: Tables) -> DataFrame:
     return first.join(last, "user_id").join(best, "user_id")
 
 
+def _large_open(t: Tables) -> DataFrame:
+    """Customers with a large pending order stand for finished results; the others are still to do."""
+    return t.orders.filter("o_orderstatus = 'P' and o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
+
+
 @query(
     "completion_audit",
-    """select c_custkey, case when exists (select 1 from orders where o_custkey = c_custkey) then 'complete' else 'missing' end as status
+    """select c_custkey, case when exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P' and o_totalprice > 250000) then 'complete' else 'missing' end as status
        from customer""",
 )
 def completion_audit(t: Tables) -> DataFrame:
-    results = t.orders.select(F.col("o_custkey").alias("c_custkey"))
+    results = _large_open(t)
     return joins.completion_audit(t.customer, results, "c_custkey")
 
 
 @query(
     "remaining_work",
-    "select c_custkey, c_mktsegment from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
+    "select c_custkey, c_mktsegment from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P' and o_totalprice > 250000)",
 )
 def remaining_work(t: Tables) -> DataFrame:
-    results = t.orders.select(F.col("o_custkey").alias("c_custkey"))
+    results = _large_open(t)
     return joins.remaining_work(t.customer.select("c_custkey", "c_mktsegment"), results, "c_custkey")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +29,8 @@ def build_session(app_name: str = "cohortloom", **settings: str) -> SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder; on a cluster an
-    unset folder is an error, because executors could not read each other's data.
+    Only a local session (one machine) gets a folder of its own where none is set, removed when the driver
+    ends; on a cluster an unset folder is an error, because executors could not read each other's data.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -39,10 +41,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
         shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     context.setCheckpointDir(shared)
     return shared
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers find the package where this process imported it from."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)

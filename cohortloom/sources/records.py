@@ -36,19 +36,14 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     lines = cut_lineage(lines)
     splits = lines.groupBy("file_path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    offsets = carry_before(splits, ["file_path"], "_block", {"_before": F.sum("_n")}).join(
+    offsets = carry_before(splits, ["file_path"], "_block", {"_before": ("sum", "_n")}).join(
         splits.select("file_path", "_block", "_first"), ["file_path", "_block"]
     )
-    return lines.join(F.broadcast(offsets) if _few(offsets) else offsets, ["file_path", "_block"]).select(
+    return lines.join(offsets, ["file_path", "_block"]).select(
         "file_path", (F.col("_id") - F.col("_first") + F.coalesce("_before", F.lit(0).cast("bigint"))).alias("line_no"), "value"
     )
 
 
-def _few(df: DataFrame, limit: int = 100_000) -> bool:
-    """Is the frame small enough to broadcast? Checked by counting at most limit + 1 rows."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, position, header, seq, qual): 4-line records by 0-based position.
 

@@ -60,3 +60,14 @@ def write_pairs(pairs: DataFrame, path: str, sample: str = "sample") -> None:
     pairs.repartitionByRange(sample, "position").sortWithinPartitions(sample, "position").write.mode("overwrite").partitionBy(
         sample
     ).parquet(path)
+
+
+def write_nested(df: DataFrame, path: str, flags: dict[str, str]) -> dict[str, str]:
+    """``all`` and one table per flag, each filtered from the one before; the paths by name."""
+    places, current = {"all": f"{path}/all"}, df
+    current.write.mode("overwrite").parquet(places["all"])
+    for name, flag in flags.items():
+        current = df.sparkSession.read.parquet(list(places.values())[-1]).filter(F.col(flag))
+        places[name] = f"{path}/{name}"
+        current.write.mode("overwrite").parquet(places[name])
+    return places

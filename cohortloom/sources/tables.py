@@ -138,3 +138,11 @@ def file_manifest(spark: SparkSession, path: str, expected: DataFrame | None = N
     if expected is not None:
         checks.require(checks.no_unmatched(expected, manifest, ["file_name"], "every expected file exists"))
     return manifest
+
+
+def record_manifest(df: DataFrame, key: str, content: str, name: Column) -> DataFrame:
+    """Name, size, MD5 and SHA-256 of the content of every row; an absent content counts as empty."""
+    body = F.coalesce(F.col(content).cast("binary"), F.lit("").cast("binary"))
+    return df.select(
+        key, name.alias("file_name"), F.octet_length(body).cast("bigint").alias("size_bytes"), F.md5(body).alias("md5"), F.sha2(body, 256).alias("sha256")
+    )

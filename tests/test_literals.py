@@ -152,6 +152,29 @@ def test_fisher_large_margins(spark):
     assert out[1] == 0.0
 
 
+def test_fisher_strong_and_skewed_tables(spark):
+    """Tables far from their mean keep every term; log p is compared relatively, with exact fractions."""
+    from fractions import Fraction
+
+    tables = [(100, 0, 0, 9900), (60, 0, 0, 1_000_000), (0, 40, 900, 3), (7, 3, 50, 100_000), (30, 5, 400, 9000), (1, 999, 999, 1), (2, 8, 3, 7), (500, 500, 500, 500)]
+    df = spark.createDataFrame(tables, "a bigint, b bigint, c bigint, d bigint")
+
+    def exact(a, b, c, d):
+        r1, r2, c1 = a + b, c + d, a + c
+        here = math.comb(r1, a) * math.comb(r2, c1 - a)
+        total, k = 0, max(0, c1 - r2)
+        for k in range(max(0, c1 - r2), min(r1, c1) + 1):
+            term = math.comb(r1, k) * math.comb(r2, c1 - k)
+            total += term if term <= here * (1 + Fraction(1, 10**7)) else 0
+        p = Fraction(total, math.comb(r1 + r2, c1))
+        return (math.log(p.numerator) - math.log(p.denominator)) / math.log(10)
+
+    for r in association.fisher_test(df, ("a", "b", "c", "d")).collect():
+        assert r.fisher_log10_p == pytest.approx(exact(r.a, r.b, r.c, r.d), rel=1e-9, abs=1e-9)
+    by = {tuple(r)[:4]: r.fisher_p for r in association.fisher_test(df, ("a", "b", "c", "d")).collect()}
+    assert by[tables[0]] == pytest.approx(1.5335e-242, rel=1e-4) and by[tables[1]] == pytest.approx(8.306e-279, rel=1e-3)
+
+
 def test_fdr(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate((0.01, 0.02, 0.03))], "i int, p double")
     assert [r.fdr for r in association.bh_fdr(df, "p", "i").orderBy("i").collect()] == pytest.approx([0.03] * 3)

@@ -21,22 +21,35 @@ def frame(spark, data=None):
     return spark.createDataFrame(data or hot_rows(), "id bigint, k string, v bigint")
 
 
-@pytest.mark.parametrize("hot_keys", [1, 3, 1000])
-def test_skew_join_equals_plain_join(spark, hot_keys):
+def test_join_unique_equals_plain_join(spark):
     df = frame(spark)
-    right = df.filter("k <> 'k7'").groupBy("k").agg(F.count(F.lit(1)).alias("w"), F.max("v").alias("top"))
+    right = df.filter("k <> 'k7'").groupBy("k").agg(F.max("v").alias("top"))
     for how in ("left", "inner"):
-        got = skew.skew_join(df, right, ["k"], "w", ["id"], how=how, hot_keys=hot_keys)
-        want = df.join(right.drop("w"), "k", how).select("id", "k", "v", "top")
+        got = skew.join_unique(df, right, ["k"], how=how)
+        want = df.join(right, "k", how).select("id", "k", "v", "top")
         assert got.columns == ["id", "k", "v", "top"]
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-def test_skew_join_scatters_the_hot_key(spark):
-    df = frame(spark)
-    right = df.groupBy("k").agg(F.count(F.lit(1)).alias("w"), F.max("v").alias("top"))
-    plan = skew.skew_join(df, right, ["k"], "w", ["id"], hot_keys=5)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "_salt" in plan and "Cartesian" not in plan
+def test_join_unique_is_split_for_hot_keys(spark):
+    """One key with a third of the rows and one a little under: adaptive execution deals both over several tasks."""
+    names = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(90_000).repartition(8).select("id", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 4 == 1, "b").otherwise(F.concat(F.lit("k"), F.col("id") % 997)).alias("k"))
+        right = df.groupBy("k").agg(F.max("id").alias("top"))
+        got = skew.join_unique(df, right, ["k"], how="inner").withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in got.groupBy("task").count().collect()]
+        assert sum(sizes) == 90_000 and max(sizes) < 90_000 / 4
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def test_dense_position(spark):
@@ -225,8 +238,8 @@ def test_strict_lookup_rejects(spark):
 
 
 def test_plans_hold_no_cross_join(spark, sf_dir):
-    import __spark_entry__ as entry
+    from cohortloom.plans import QUERIES
 
-    for name in ("sel_ledger", "presence_counts", "control_threshold", "interval_union", "pairwise_overlap", "similar_pairs", "exact_sample", "qc_gates", "block_calls"):
-        plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    for name, fn in QUERIES.items():
+        plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
