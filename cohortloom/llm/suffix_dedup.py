@@ -6,8 +6,9 @@ anchors only. Contexts that occur several times as a whole are settled by counti
 own are clean, and both need no sort. The remaining ones, where a repeated passage begins or ends, are sorted: all
 their suffixes, by a bottom-up mergesort in which two suffixes are compared through their longest common extension,
 found by binary search over prefix polynomial hashes. Neighbours that agree on ``LENGTH`` bytes are verified byte by byte.
-Anchors with more than ``GROUP`` different contexts are not sorted in one task: their strings are counted by a
-128-bit hash, merged map-side, which is exact for groups of any size.
+Anchors with more than ``GROUP`` different contexts are not sorted in one task: stretches of ``BAND`` starts
+at one distance from the anchor are counted by a 128-bit hash, merged map-side; only stretches that occur once, and one of
+each that occurs more often, are opened into single strings, which are counted alike. That is exact for groups of any size.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm import textops as tx
 from cohortloom.llm.stored import written
 
-LENGTH, GRAM, GROUP = 200, 80, 32
+LENGTH, GRAM, GROUP, BAND = 200, 80, 32, 16
 _BLOCK = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -194,20 +195,44 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _runs(part.column("doc").combine_chunks(), part.column("mark").combine_chunks(), item[hit], part.column("start").to_numpy()[item[hit]] + inner[hit])
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of the contexts: (doc, mark, start, its 128-bit hash)."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, 500):
-            part = batch.slice(low, 500)
-            item, start, digest = [], [], []
-            for k, (piece, begin, more) in enumerate(zip(part.column("piece").to_pylist(), part.column("start").to_pylist(), part.column("more").to_pylist(), strict=True)):
-                item += [k] * (more + 1)
-                start += range(begin, begin + more + 1)
-                digest += [xxhash.xxh3_128_digest(piece[i : i + LENGTH]) for i in range(more + 1)]
-            pick = pa.array(item, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc").take(pick), part.column("mark").take(pick), pa.array(start, pa.int64()), pa.array(digest, pa.binary())], ["doc", "mark", "start", "digest"]
-            )
+def _opened(width: int):
+    """Stretches of up to ``width`` starts of the contexts, cut where the distance to the anchor passes a multiple of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                item, start, more, shift, pieces, digest = [], [], [], [], [], []
+                rows = zip(*(part.column(c).to_pylist() for c in ("piece", "start", "more", "shift")), strict=True)
+                for k, (piece, begin, count, ahead) in enumerate(rows):
+                    i = 0
+                    while i <= count:
+                        last = min(count, i + (ahead - i) % width)
+                        stretch = piece[i : last + LENGTH]
+                        item.append(k)
+                        start.append(begin + i)
+                        more.append(last - i)
+                        shift.append(ahead - i)
+                        pieces.append(stretch)
+                        digest.append(xxhash.xxh3_128_digest(b"%d %d " % (ahead - i, last - i) + stretch))
+                        i = last + 1
+                pick = pa.array(item, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc").take(pick), part.column("mark").take(pick), pa.array(start, pa.int64()), pa.array(more, pa.int64()),
+                        pa.array(shift, pa.int64()), pa.array(pieces, pa.binary()), pa.array(digest, pa.binary()),
+                    ],
+                    ["doc", "mark", "start", "more", "shift", "piece", "digest"],
+                )
+
+    return run
+
+
+_OPENED = "doc bigint, mark bigint, start bigint, more bigint, shift bigint, piece binary, digest binary"
+
+
+def _covered(rows: DataFrame) -> DataFrame:
+    return rows.select("doc", "mark", F.col("start").alias("lo"), (F.col("start") + F.col("more") + LENGTH).alias("hi"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +273,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     contexts = open_.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "mark", "start", "more")).alias("at"))
     twice = open_.join(contexts.filter("n > 1").select("anchor", "context"), ["anchor", "context"])
     whole = settled.drop("alike").unionByName(twice.drop("alike").select(*[c for c in settled.columns if c != "alike"]))
-    covered = whole.select("doc", "mark", F.col("start").alias("lo"), (F.col("start") + F.col("more") + LENGTH).alias("hi"))
+    covered = _covered(whole)
     sizes = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"))
     asked = contexts.join(sizes, "anchor").select("anchor", "m", "at.*")
     pieces = written(
@@ -256,14 +281,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .select("doc", "mark", "anchor", "m", "start", "more", F.substring("bytes", F.col("start").cast("int") + 1, (F.col("more") + LENGTH).cast("int")).alias("piece"))
         .distinct()
     )
-    placed = pieces.filter(F.col("m") <= GROUP).mapInArrow(
-        _with_shift, "doc bigint, mark bigint, anchor bigint, start bigint, more bigint, piece binary, shift bigint"
-    )
-    spans = tx.grouped_rows(placed, "anchor").mapInArrow(_sort_groups, "doc bigint, mark bigint, lo bigint, hi bigint")
-    strings = pieces.filter(F.col("m") > GROUP).mapInArrow(_strings, "doc bigint, mark bigint, start bigint, digest binary")
+    placed = pieces.mapInArrow(_with_shift, "doc bigint, mark bigint, anchor bigint, m bigint, start bigint, more bigint, piece binary, shift bigint")
+    spans = tx.grouped_rows(placed.filter(F.col("m") <= GROUP).drop("m"), "anchor").mapInArrow(_sort_groups, "doc bigint, mark bigint, lo bigint, hi bigint")
+    stretches = placed.filter(F.col("m") > GROUP).mapInArrow(_opened(BAND), _OPENED)
+    place = F.struct("doc", "mark", "start")
+    counted = stretches.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    met = stretches.join(counted, "digest")
+    strings = met.filter((F.col("n") == 1) | (place == F.col("first"))).select(*stretches.columns).mapInArrow(_opened(1), _OPENED)
     many = strings.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    single = strings.join(many, "digest").select("doc", "mark", F.col("start").alias("lo"), (F.col("start") + LENGTH).alias("hi"))
-    return covered.unionByName(spans).unionByName(single)
+    return (
+        covered.unionByName(spans).unionByName(_covered(met.filter("n > 1"))).unionByName(_covered(strings.join(many, "digest")))
+    )
 
 
 def _with_shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,8 +312,8 @@ def _with_shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = left[~same & (reach[left] > k)]
             if not len(left):
                 break
-        columns = [batch.column(c) for c in ("doc", "mark", "anchor", "start", "more", "piece")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(shift)], ["doc", "mark", "anchor", "start", "more", "piece", "shift"])
+        columns = [batch.column(c) for c in ("doc", "mark", "anchor", "m", "start", "more", "piece")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(shift)], ["doc", "mark", "anchor", "m", "start", "more", "piece", "shift"])
 
 
 def drop_repeated_strings(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
