@@ -3,8 +3,8 @@
 A document is the set of its five-word shingles. A run of the join descends a random tree: at a node
 every set picks those of its shingles whose node hash lies under 1 / (stop * size), and follows one child
 per picked shingle, so two sets meet in a child only through a shared sampled shingle. After ``DEPTH``
-levels the sets of one leaf form a bucket. Runs repeat until a pair at the threshold meets with the
-target probability (``runs_for``). Buckets are compared pair by pair on fixed-size minimum sketches; buckets
+levels the sets of one leaf form a bucket. Runs repeat until a pair at the threshold, one set inside the other
+included, meets with the target probability (``runs_for``). Buckets are compared pair by pair on fixed-size minimum sketches; buckets
 of more than ``BLOCK`` sets are compared as pairs of blocks in separate tasks. Sets joined by likely pairs
 form candidate groups, and inside a group all pairs are verified exactly on the whole shingle sets (again in
 blocks), so links that the sampled tree missed are found there too. No pair is written out: a task gives each
@@ -24,18 +24,22 @@ from cohortloom.llm import textops as tx
 from cohortloom.llm.components import smallest_reachable
 from cohortloom.session import cut_lineage
 
-WIDTH, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.99
-DEPTH, BLOCK, BINS = 5, 512, 128
+WIDTH, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
+DEPTH, BLOCK, BINS = 4, 512, 128
 #: Likely pairs: estimated similarity this far below the threshold (four deviations of the sketch).
 SLACK = 0.16
 
 
 def runs_for(threshold: float, recall: float, depth: int = DEPTH) -> int:
-    """Runs until two sets of similarity ``threshold`` share a leaf with probability ``recall``."""
-    overlap = 2 * threshold / (1 + threshold)
+    """Runs until two sets of similarity ``threshold`` share a leaf with probability ``recall``, whatever their sizes.
+
+    A shingle is picked by both sets at the rate of the larger one. The larger set holds at least ``threshold`` of its
+    shingles in common with the other, and just that if it contains the other, so a level has shared / (threshold *
+    size) >= 1 common children.
+    """
     meet = 1.0
     for _ in range(depth):
-        meet = 1 - np.exp(-overlap / threshold * meet)
+        meet = 1 - np.exp(-meet)
     return int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
 
 

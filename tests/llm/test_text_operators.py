@@ -268,6 +268,20 @@ def test_runs_reach_the_recall():
     assert ngram_join.runs_for(0.8, 0.99) > ngram_join.runs_for(0.8, 0.9) > 1
 
 
+def test_contained_sets_at_the_threshold_meet():
+    """Isolated pairs where one set is the other less a fifth of it: similarity 0.8, sizes as unequal as they can be."""
+    rng = np.random.default_rng(11)
+    pairs, large, small = 2000, 50, 40
+    h = rng.integers(0, 1 << 63, (pairs, large)).astype(np.uint64)
+    sizes = np.tile([large, small], pairs)
+    both = np.concatenate([h, h[:, :small]], axis=1).ravel()
+    runs = ngram_join.runs_for(ngram_join.THRESHOLD, ngram_join.TARGET_RECALL)
+    who, leaf = ngram_join.leaves(both, np.repeat(np.arange(2 * pairs), sizes), sizes, runs, ngram_join.THRESHOLD)
+    reached = set(zip(who.tolist(), leaf.tolist(), strict=True))
+    met = {w // 2 for w, x in reached if w % 2 and (w - 1, x) in reached}
+    assert len(met) >= 0.995 * pairs
+
+
 # licenses
 
 
