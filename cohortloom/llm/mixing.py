@@ -88,10 +88,11 @@ def posteriors(model: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarr
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
-    """Train on at most ``rows`` labelled documents, chosen by a hash of the id; of a longer text both ends, ``SAMPLE_CHARS`` in all."""
+    """Train on at most ``rows`` labelled documents, chosen by a hash of the id among those that ``documents`` holds; of a longer text both ends, ``SAMPLE_CHARS`` in all."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).when(F.col("quality") == 0, 1)
     marked = labels.select(F.col(id_col).cast("bigint").alias("doc"), domain.alias("domain")).filter("doc is not null and domain is not null")
-    chosen = marked.dropDuplicates(["doc"]).orderBy(F.xxhash64("doc"), "doc").limit(rows)
+    here = documents.select(F.col(id_col).cast("bigint").alias("doc"))
+    chosen = marked.dropDuplicates(["doc"]).join(here, "doc", "left_semi").orderBy(F.xxhash64("doc"), "doc").limit(rows)
     text, half = F.coalesce(F.col(text_col), F.lit("")), SAMPLE_CHARS // 2
     cut = F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat(F.substring(text, 1, half), F.lit(" "), F.substring(text, -half, half)))
     found = documents.select(F.col(id_col).cast("bigint").alias("doc"), cut.alias("text")).join(F.broadcast(chosen), "doc")
@@ -194,18 +195,19 @@ def with_rates(rows: DataFrame, columns: list[str], history: list[list[float]])
 
 
 def mix_documents(
-    documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
+    documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
+    training: DataFrame | None = None,
 ) -> DataFrame:
     """The kept columns (the id by default), n_tokens, the posteriors p_high, p_low, p_toxic, and ``rate`` of every row.
 
     ``rate`` is how often the document should be drawn; sum(rate * n_tokens * posterior) over all rows meets
     each target's share of all tokens as nearly as nonnegative rates can; documents of one posterior have one rate. Texts without words (null, empty) are rated by their posterior too and add no tokens. A domain without
     labelled rows has posterior near zero. Without labels all domains are alike and rates stay near one. Repeated rows count
-    as often as they occur; null ids are rated like others. Of kept columns named like an added one, the added one is returned.
+    as often as they occur; null ids are rated like others. The labelled texts come from ``training`` (by default ``documents``). Of kept columns named like an added one, the added one is returned.
     """
     added = {"n_tokens", "rate", *[f"p_{d}" for d in DOMAINS]}
     kept = [c for c in (keep or [id_col]) if c not in added]
-    model = fit(documents, labels, id_col, text_col)
+    model = fit(documents if training is None else training, labels, id_col, text_col)
     columns = [f"p_{d}" for d in DOMAINS]
     rated = cut_lineage(domain_posteriors(documents, model, kept, text_col))
     history = solve_rates(rated, columns, "n_tokens", [targets[d] for d in DOMAINS])

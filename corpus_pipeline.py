@@ -33,8 +33,9 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_tokens, domain posteriors and sampling rate of what is left."""
-    return mixing.mix_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id", "source", "lang"])
+    """doc_id, source, lang, n_tokens, domain posteriors and sampling rate of what is left; domains are learned from all labelled documents."""
+    labels, documents = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "documents"))
+    return mixing.mix_documents(docs, labels, keep=["doc_id", "source", "lang"], training=documents)
 
 
 STAGES = [

@@ -343,6 +343,16 @@ def test_mixing(spark, docs, empty):
     assert {r.rate for r in mixing.mix_documents(frame.limit(5), labels.filter("false")).collect()} and True
 
 
+def test_mixing_fills_its_sample_from_documents(spark):
+    """Labelled ids without a document take no place in the bounded sample; another table can be trained on."""
+    frame = spark.createDataFrame([(i, "ra ton" if i % 2 else "ra%%% mil") for i in range(20)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    assert len(mixing.fit(frame, labels, rows=20)["buckets"]) and abs(mixing.fit(frame, labels, rows=20)["W"]).max() > 0.1
+    good = frame.filter("doc_id % 2 = 1")
+    got = mixing.mix_documents(good, labels, training=frame).collect()
+    assert len(got) == 10 and min(r.p_high for r in got) > 0.9 and max(r.p_low for r in got) > 1e-6
+
+
 def test_projected_gradient_meets_targets(spark):
     """Targets that force rates to zero are neared; those that do not are met in one step."""
     rows = [(100, 1.0, 0.0, 0.0), (80, 0.0, 0.9, 0.1), (50, 0.5, 0.5, 0.0), (0, 0.2, 0.2, 0.6), (60, 0.0, 0.1, 0.9)]
