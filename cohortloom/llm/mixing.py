@@ -22,7 +22,7 @@ from cohortloom.session import cut_lineage
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.9, "low": 0.1, "toxic": 0.0}
-SAMPLE_ROWS, SAMPLE_CHARS, BUCKETS, FEATURES, EPOCHS, STEPS, TOLERANCE = 4000, 20_000, 1 << 18, 600, 300, 20, 1e-4
+SAMPLE_ROWS, BUCKETS, FEATURES, EPOCHS, STEPS, TOLERANCE = 4000, 1 << 18, 600, 300, 20, 1e-4
 _MARKS = tx.TOKEN_BYTE & ~tx.WORD_BYTE
 
 
@@ -34,13 +34,11 @@ def token_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return (np.concatenate([hashes, marks]) >> np.uint64(46)).astype(np.int64), np.concatenate([row, mark_row]), count
 
 
-def train(texts: list[bytes], domain: np.ndarray) -> dict[str, np.ndarray]:
-    """Softmax regression on the presence of the ``FEATURES`` buckets that differ most between domains, balanced by class."""
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    bucket, row, _ = token_rows(data, offsets)
-    pair = np.unique(row * BUCKETS + bucket)
-    row, bucket = pair // BUCKETS, pair % BUCKETS
+def train(row: np.ndarray, bucket: np.ndarray, domain: np.ndarray) -> dict[str, np.ndarray]:
+    """Softmax regression on the presence of the ``FEATURES`` buckets that differ most between domains, balanced by class.
+
+    ``row`` and ``bucket`` are the distinct buckets of the rows of ``domain``.
+    """
     k = len(DOMAINS)
     size = np.bincount(domain, minlength=k).astype(np.float64)
     if np.count_nonzero(size) < 2:
@@ -53,10 +51,10 @@ def train(texts: list[bytes], domain: np.ndarray) -> dict[str, np.ndarray]:
     buckets = np.sort(np.argsort(-spread, kind="stable")[:FEATURES])
     at = np.searchsorted(buckets, bucket).clip(0, len(buckets) - 1)
     keep = buckets[at] == bucket
-    x = np.zeros((len(texts), len(buckets)), dtype=np.float32)
+    x = np.zeros((len(domain), len(buckets)), dtype=np.float32)
     x[row[keep], at[keep]] = 1
     truth = np.eye(k, dtype=np.float32)[domain]
-    weight = (len(texts) / (np.count_nonzero(size) * np.maximum(size, 1)) ** 1.0)[domain] ** 0.5
+    weight = (len(domain) / (np.count_nonzero(size) * np.maximum(size, 1)) ** 1.0)[domain] ** 0.5
     weight = (weight / weight.mean())[:, None].astype(np.float32)
     w, b = np.zeros((len(buckets), k), dtype=np.float32), np.zeros(k, dtype=np.float32)
     m, s = np.zeros_like(w), np.zeros_like(w)
@@ -64,7 +62,7 @@ def train(texts: list[bytes], domain: np.ndarray) -> dict[str, np.ndarray]:
         z = x @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        slope = (p - truth) * weight / len(texts)
+        slope = (p - truth) * weight / len(domain)
         g = x.T @ slope + 1e-4 * w
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
@@ -87,17 +85,31 @@ def posteriors(model: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarr
     return p / p.sum(1, keepdims=True), count
 
 
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row the distinct buckets of its whole text, four bytes each."""
+    for batch in batches:
+        for first, end, data, offsets in tx.slices(batch.column("text")):
+            rows = end - first
+            bucket, row, _ = token_rows(data, offsets)
+            pair = np.unique(row * BUCKETS + bucket)
+            bounds = (4 * np.searchsorted(pair, np.arange(rows + 1) * BUCKETS)).astype(np.int32)
+            held = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(bounds), pa.py_buffer((pair % BUCKETS).astype(np.int32).tobytes())])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, rows) for c in ("doc", "domain", "mark")], held], ["doc", "domain", "mark", "buckets"])
+
+
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
-    """Train on at most ``rows`` labelled documents, chosen by a hash of the id among those that ``documents`` holds; of a longer text both ends, ``SAMPLE_CHARS`` in all."""
+    """Train on the whole texts of at most ``rows`` labelled documents, chosen by a hash of the id among those that ``documents`` holds."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).when(F.col("quality") == 0, 1)
     marked = labels.select(F.col(id_col).cast("bigint").alias("doc"), domain.alias("domain")).filter("doc is not null and domain is not null")
     here = documents.select(F.col(id_col).cast("bigint").alias("doc"))
     chosen = marked.dropDuplicates(["doc"]).join(here, "doc", "left_semi").orderBy(F.xxhash64("doc"), "doc").limit(rows)
-    text, half = F.coalesce(F.col(text_col), F.lit("")), SAMPLE_CHARS // 2
-    cut = F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat(F.substring(text, 1, half), F.lit(" "), F.substring(text, -half, half)))
-    found = documents.select(F.col(id_col).cast("bigint").alias("doc"), cut.alias("text")).join(F.broadcast(chosen), "doc")
-    taken = found.orderBy(F.xxhash64("doc"), "doc", "text").limit(rows).collect()
-    return train([r["text"].encode() for r in taken], np.array([r["domain"] for r in taken], dtype=np.int64))
+    texts = documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
+    found = tx.bounded_batches(texts.join(F.broadcast(chosen), "doc").withColumn("mark", F.xxhash64("text")))
+    seen = found.mapInArrow(_presence, "doc bigint, domain int, mark bigint, buckets binary")
+    taken = seen.orderBy(F.xxhash64("doc"), "doc", "mark").limit(rows).collect()
+    buckets = [np.frombuffer(r["buckets"], dtype=np.int32) for r in taken]
+    row = np.repeat(np.arange(len(taken)), [len(x) for x in buckets])
+    return train(row, np.concatenate([*buckets, np.zeros(0, dtype=np.int32)]).astype(np.int64), np.array([r["domain"] for r in taken], dtype=np.int64))
 
 
 def _masses(model: dict[str, np.ndarray]):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm import textops as tx
 
 WINDOW, STRIDE, DIM, FILTERS = 16, 8, 4, 16
-SAMPLE_ROWS, SAMPLE_BYTES, EPOCHS, BATCH, RATE, CUT = 3000, 1 << 15, 12, 64, 0.01, 0.3
+SAMPLE_ROWS, PIECE_BYTES, EPOCHS, BATCH, RATE, CUT = 3000, 1 << 20, 12, 64, 0.01, 0.3
 PAD = 256
 
 
@@ -65,6 +65,31 @@ def probability(net: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarra
     return 1 / (1 + np.exp(-z.astype(np.float64).clip(-30, 30)))
 
 
+def winners(net: dict[str, np.ndarray], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(value, byte codes) of the chunk that wins each filter, over whole texts; ``PIECE_BYTES`` are convolved at a time."""
+    value = np.full((len(texts), FILTERS), -np.inf, dtype=np.float32)
+    window = np.full((len(texts), FILTERS, WINDOW), PAD, dtype=np.int16)
+    ends = np.cumsum([len(t) for t in texts])
+    low, most = 0, PIECE_BYTES // STRIDE
+    while low < len(texts):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + PIECE_BYTES, side="right")))
+        codes, first = laid_out(np.frombuffer(b"".join(texts[low:high]), dtype=np.uint8), np.concatenate([[0], ends[low:high] - done]))
+        for start in range(0, first[-1], most):
+            # one stride more than the piece has chunks: the last chunk ends there
+            out = _conv(net, codes[start * STRIDE : (start + most + 1) * STRIDE])
+            for t in range(np.searchsorted(first, start, side="right") - 1, min(np.searchsorted(first, start + most), high - low)):
+                a, z = max(first[t], start), min(first[t + 1] - 1, start + most)
+                if a < z:
+                    best = out[a - start : z - start].argmax(0)
+                    got = out[best + a - start, np.arange(FILTERS)]
+                    better = got > value[low + t]
+                    value[low + t, better] = got[better]
+                    window[low + t, better] = codes[((best + a)[better] * STRIDE)[:, None] + np.arange(WINDOW)]
+        low = high
+    return value + net["c"], window
+
+
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
     """Adam on the log loss. One class only, or no text, gives a network that answers the class share (0.5 if none)."""
     net = new_network(seed)
@@ -75,23 +100,17 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
         return net
     m = {k: np.zeros_like(w) for k, w in net.items()}
     s = {k: np.zeros_like(w) for k, w in net.items()}
-    rng, step, half = np.random.default_rng(seed), 0, STRIDE
+    rng, step = np.random.default_rng(seed), 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for low in range(0, len(order), BATCH):
             pick = order[low : low + BATCH]
-            offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in pick])])
-            codes, first = laid_out(np.frombuffer(b"".join(texts[i] for i in pick), dtype=np.uint8), offsets)
-            out = _conv(net, codes)
-            out[first[1:] - 1] = -np.inf
-            best = np.stack([out[a:b].argmax(0) + a for a, b in zip(first[:-1], first[1:], strict=True)])
-            value = np.take_along_axis(out, best, 0) + net["c"]
+            value, window = winners(net, [texts[i] for i in pick])
             active = value > 0
             hidden = np.where(active, value, 0)
             p = 1 / (1 + np.exp(-(hidden @ net["v"] + net["b"][0]).clip(-30, 30)))
             slope = ((p - labels[pick]) / len(pick)).astype(np.float32)
             d_hidden = slope[:, None] * net["v"] * active
-            window = codes[(best * half)[:, :, None] + np.arange(WINDOW)]
             seen = net["E"][window].reshape(len(pick), FILTERS, -1)
             grad = {
                 "v": hidden.T @ slope, "b": slope.sum(keepdims=True), "c": d_hidden.sum(0),
@@ -114,16 +133,11 @@ def held_out(id_col: str, remainder: int = 0) -> Column:
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
-    """Train on at most ``rows`` labelled documents outside the held-out fold, chosen by a hash of the id.
-
-    Of a training text of more than ``SAMPLE_BYTES`` characters two halves of that size, from both ends, are read.
-    """
+    """Train on the whole texts of at most ``rows`` labelled documents outside the held-out fold, chosen by a hash of the id."""
     marked = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(label_col).cast("int").alias("label"))
     chosen = marked.filter("doc is not null").filter(~held_out("doc")).dropDuplicates(["doc"]).orderBy(F.xxhash64("doc"), "doc").limit(rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    half = SAMPLE_BYTES // 2
-    cut = F.when(F.length(text) <= SAMPLE_BYTES, text).otherwise(F.concat(F.substring(text, 1, half), F.substring(text, -half, half)))
-    found = documents.select(F.col(id_col).cast("bigint").alias("doc"), cut.alias("text")).join(F.broadcast(chosen), "doc")
+    found = documents.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text")).join(F.broadcast(chosen), "doc")
     taken = found.orderBy(F.xxhash64("doc"), "doc", "text").limit(rows).collect()
     return train([r["text"].encode() for r in taken], np.array([float(r["label"]) for r in taken]))
 

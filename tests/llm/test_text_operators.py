@@ -199,6 +199,30 @@ def test_quality_chunks_cover_the_text():
         assert base.shape == (1, quality.FILTERS)
 
 
+def test_quality_trains_on_whole_texts(spark):
+    """What tells the classes apart stands in the middle of texts of several pieces."""
+    rng = np.random.default_rng(3)
+    plain = [" ".join(rng.choice(["ra", "ton", "mil"], 12000)) for _ in range(80)]
+    rows = [(i, t if i % 2 else t[:20000] + "!!!! " * 20 + t[20000:]) for i, t in enumerate(plain)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, quality int")
+    net = quality.fit(spark.createDataFrame(rows, SCHEMA), labels)
+    for mark, good in (("", True), ("!!!! " * 20, False)):
+        raw = np.frombuffer((plain[0][:3000] + mark + plain[0][3000:6000]).encode(), dtype=np.uint8)
+        assert (quality.probability(net, raw, np.array([0, len(raw)]))[0] > 0.5) == good
+
+
+def test_quality_winners_by_pieces(monkeypatch):
+    net, rng = quality.new_network(), np.random.default_rng(4)
+    texts = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 300, 7, 64, 65, 1000)]
+    whole, at = quality.winners(net, texts)
+    monkeypatch.setattr(quality, "PIECE_BYTES", 64)
+    value, window = quality.winners(net, texts)
+    assert np.allclose(value, whole, atol=1e-5) and (window == at).all()
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    pooled = quality.pooled(net, raw, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    assert np.allclose(np.maximum(value, 0), pooled, atol=1e-5)
+
+
 # decontamination
 
 
@@ -343,6 +367,17 @@ def test_mixing(spark, docs, empty):
     assert {r.rate for r in mixing.mix_documents(frame.limit(5), labels.filter("false")).collect()} and True
 
 
+def test_mixing_trains_on_whole_texts(spark):
+    """The passage that makes a text toxic counts where it stands in the middle of a long one."""
+    rng = np.random.default_rng(2)
+    plain = [" ".join(rng.choice(["ra", "ton", "mil"], 6000)) for _ in range(60)]
+    rows = [(i, t if i % 2 else t[:11000] + " idiot " + t[11000:]) for i, t in enumerate(plain)]
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    model = mixing.fit(spark.createDataFrame(rows, SCHEMA), labels)
+    raw = b"ra ton idiot"
+    assert mixing.posteriors(model, np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))[0][0, 2] > 0.9
+
+
 def test_mixing_fills_its_sample_from_documents(spark):
     """Labelled ids without a document take no place in the bounded sample; another table can be trained on."""
     frame = spark.createDataFrame([(i, "ra ton" if i % 2 else "ra%%% mil") for i in range(20)], SCHEMA)
