@@ -22,7 +22,7 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS, DEFAULT = 0.01, 0.7, 4, "allow"
+MIN_SUPPORT, MIN_CONFIDENCE, DEFAULT = 0.01, 0.7, "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,7 +58,7 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
 
 
 def mine_rules(
-    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS
+    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
 ) -> DataFrame:
     """(rule_tokens, verdict, support, confidence) from rows (tokens, verdict); empty if nothing is labelled.
 
@@ -82,7 +82,7 @@ def mine_rules(
     classes = F.filter("items", lambda x: F.startswith(x, F.lit("=:")))
     bodies = sets.filter(F.size(classes) == 0).select(F.sort_array("items").alias("body"), F.col("freq").alias("body_n"))
     ruled = (
-        sets.filter((F.size(classes) == 1) & (F.size("items") > 1) & (F.size("items") <= max_tokens + 1))
+        sets.filter((F.size(classes) == 1) & (F.size("items") > 1))
         .select(F.sort_array(F.array_except("items", classes)).alias("body"), F.substring(F.element_at(classes, 1), 3, 1 << 20).alias("verdict"), "freq")
         .join(bodies, "body")
         .select("body", "verdict", (F.col("freq") / urls).alias("support"), (F.col("freq") / F.col("body_n")).alias("confidence"))

@@ -96,3 +96,11 @@ def test_exact_top_k_large_components(spark):
         scored = sorted((-min(max(s, -(1 << 63)), (1 << 63) - 1), i) for s, i in exact)
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])]
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_rule_of_five_tokens_is_kept(spark):
+    """Only all five tokens together reach the confidence; each shorter part stays below."""
+    rows = [("abcde", "block")] * 100 + [("abcde".replace(out, ""), "allow") for out in "abcde" for _ in range(50)]
+    frame = spark.createDataFrame([(list(t), v) for t, v in rows], "tokens array<string>, verdict string")
+    rules = [(r.rule_tokens, r.verdict, r.confidence) for r in url_filter.mine_rules(frame).collect()]
+    assert rules == [(list("abcde"), "block", 1.0)]
