@@ -259,6 +259,12 @@ def near_duplicates(
     and are their own class. Rows without an id cannot be named and are left out. Rows repeated with the same
     id give one row; one id with different texts gives a row per text. Further columns are ignored.
     """
+    found = _classes(documents, id_col, text_col, threshold, width, target_recall).select("doc", "set_id", "class_id", "n_links").distinct()
+    return found.select(F.col("doc").alias(id_col), "class_id", "n_links")
+
+
+def _classes(documents: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, width: int = WIDTH, target_recall: float = TARGET_RECALL) -> DataFrame:
+    """(doc, mark, set_id, class_id, class_mark, n_links) per id and text hash; the class is named by its smallest id and text hash."""
     docs = tx.bounded_batches(
         documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark")).filter("doc is not null")
     )
@@ -266,7 +272,7 @@ def near_duplicates(
     features = cut_lineage(
         docs.mapInArrow(_features(runs, threshold, width), "doc bigint, mark bigint, set_id binary, size bigint, sketch binary, leaves array<bigint>")
     )
-    members = features.filter("size > 0").select("doc", "set_id").distinct()
+    members = features.filter("size > 0").select("doc", "mark", "set_id").distinct()
     sets = cut_lineage(
         features.filter("size > 0").groupBy("set_id").agg(
             F.min(F.struct("doc", "mark")).alias("first"), F.countDistinct("doc").alias("docs"), F.first("size").alias("size"), F.first("sketch").alias("sketch"),
@@ -289,25 +295,31 @@ def near_duplicates(
     small = local.filter("parts = 1").select("set_id", "root")
     rooted = small.unionByName(wide.select("set_id", F.col("wide").alias("root")))
     named = (
-        sets.select("set_id", "rep", "docs")
+        sets.select("set_id", "rep", "mark", "docs")
         .join(rooted, "set_id", "left")
         .join(links, "set_id", "left")
         .withColumn("root", F.coalesce("root", "set_id"))
     )
-    ids = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+    ids = named.groupBy("root").agg(F.min(F.struct("rep", "mark")).alias("least"))
     per_set = named.join(ids, "root").select(
-        "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).cast("bigint").alias("n_links")
+        "set_id", F.col("least.rep").alias("class_id"), F.col("least.mark").alias("class_mark"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).cast("bigint").alias("n_links")
     )
-    found = members.join(per_set, "set_id").select(F.col("doc").alias(id_col), "class_id", "n_links")
-    alone = features.filter("size = 0").select(F.col("doc").alias(id_col), F.col("doc").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    found = members.join(per_set, "set_id").select("doc", "mark", "set_id", "class_id", "class_mark", "n_links")
+    alone = features.filter("size = 0").select("doc", "mark", "set_id", F.col("doc").alias("class_id"), F.col("mark").alias("class_mark"), F.lit(0).cast("bigint").alias("n_links"))
     return found.unionByName(alone.distinct())
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with one of each class: the one whose id names it. Rows without an id stay."""
-    classes = near_duplicates(documents, id_col, text_col)
-    gone = classes.filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    return documents.join(gone, id_col, "left_anti")
+    """Documents with one of each class: the one whose id and text name it. Rows without an id stay; of rows repeated with id and text one stays."""
+    doc, mark = F.col(id_col).cast("bigint"), F.xxhash64(F.col(text_col))
+    gone = _classes(documents, id_col, text_col).filter("doc <> class_id or mark <> class_mark").select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"))
+    left = documents.withColumns({"_doc": doc, "_mark": mark}).join(gone, ["_doc", "_mark"], "left_anti")
+    # only the repeated rows are shuffled with their texts
+    often = cut_lineage(
+        documents.select(doc.alias("_doc"), mark.alias("_mark")).filter("_doc is not null").groupBy("_doc", "_mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    )
+    once = left.join(often, ["_doc", "_mark"], "left_anti")
+    return once.unionByName(left.join(often, ["_doc", "_mark"], "left_semi").dropDuplicates(["_doc", "_mark"])).select(*documents.columns)
 
 
 def oracle() -> str:

@@ -288,6 +288,16 @@ def test_ngram_join_odd_tables(spark, docs, empty):
     assert {r.doc_id for r in kept.collect()} == classes | {None} and kept.columns == docs.columns
 
 
+def test_one_id_on_two_texts(spark):
+    """A class loses all rows but one, and a text that shares its id with a dropped one stays."""
+    x, y = "one two three four five six seven", "a text of its own that nothing else is like"
+    rows = [(3, x), (3, x), (7, x), (7, y)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, ngram_join.keep_one(frame).collect())) == [(3, x), (7, y)]
+    bench = spark.createDataFrame([(1, x)], "item_id bigint, text string")
+    assert [tuple(r) for r in decontaminate.drop_contaminated(frame, bench).collect()] == [(7, y)]
+
+
 def test_runs_reach_the_recall():
     assert ngram_join.runs_for(0.8, 0.99) > ngram_join.runs_for(0.8, 0.9) > 1
 
