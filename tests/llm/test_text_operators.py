@@ -409,3 +409,10 @@ def test_projected_gradient_meets_targets(spark):
         rate = np.array([got[x] for x in n])
         assert rate.min() >= 0
         assert np.abs((p * n[:, None]).T @ rate / n.sum() - aim).max() < near
+
+
+def test_rates_that_miss_their_targets_are_reported(spark):
+    rows = [(100, 0.8, 0.1, 0.1), (80, 0.3, 0.5, 0.2), (60, 0.2, 0.1, 0.7)]
+    frame = spark.createDataFrame(rows, "n bigint, a double, b double, c double")
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.solve_rates(frame, ["a", "b", "c"], "n", [0.9, 0.1, 0.0], steps=2)
