@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortloom.llm import decontaminate, license_scan, line_dedup, lm_score, mixing, ngram_join, quality, suffix_dedup, topk, url_filter
+from cohortloom.llm import (
+    decontaminate,
+    hard_negatives,
+    license_scan,
+    line_dedup,
+    lm_score,
+    mixing,
+    ngram_join,
+    quality,
+    simhash,
+    suffix_dedup,
+    token_align,
+    topk,
+    url_filter,
+)
 from cohortloom.session import share_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +99,22 @@ def op4(table) -> DataFrame:
     return mixing.mix_documents(table("documents"), table("labels"), keep=["doc_id", "source"])
 
 
+@query("op11_hard_negatives", hard_negatives.ORACLE)
+def op11(table) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(table("embeddings").withColumn("label", moved))
+
+
+@query("op12_simhash_near_dedup")
+def op12(table) -> DataFrame:
+    return simhash.near_duplicates(table("documents"))
+
+
+@query("op13_token_alignment")
+def op13(table) -> DataFrame:
+    return token_align.align_tokens(table("documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
