@@ -27,7 +27,7 @@ SCALE, EVERY, POSITIVES, NEGATIVES = 256, 50, 5, 3
 #: The window of negative scores, in hundredths of the positive's score.
 LOW, HIGH = 50, 95
 #: Rows of a shard, anchors of a block, codewords of a half, k-means rounds, rows scored at once.
-SHARD_ROWS, ANCHOR_ROWS, CODES, ROUNDS, STEP = 16384, 1024, 16, 6, 1024
+SHARD_ROWS, ANCHOR_ROWS, CODES, ROUNDS, STEP = 16384, 1024, 8, 6, 2048
 
 
 def integer_rows(df: DataFrame, id_col: str, vector_col: str, label_col: str, scale: int) -> DataFrame:
@@ -61,6 +61,7 @@ class MultiIndex:
     """One shard: two half codebooks with radii, and the rows in the order of their cells."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray, kind: type, codes: int = CODES):
+        """``labels`` are numbers."""
         order = np.lexsort((labels, ids))
         vectors, ids, labels = vectors[order], ids[order], labels[order]
         middle = vectors.shape[1] // 2
@@ -101,34 +102,34 @@ class MultiIndex:
             if i + 1 < len(rank[0]) and reached[i + 1] == j:
                 heapq.heappush(heap, (-(bound[0][i + 1] + bound[1][j]), i + 1, j))
 
-    def visit(self, anchor: np.ndarray, anchor_id: int, same: str, equal: bool, done) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the rows of the anchor's label (or of other labels) until ``done(scores, bound)``; the anchor's own id is left out.
+    def visit(self, anchor: np.ndarray, keep, done) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the visited rows that ``keep(ids, labels, scores)`` marks, until ``done(scores, bound)``.
 
-        ``done`` is told the scores so far and the bound of all rows that were not scored.
+        ``done`` is told the scores kept so far and the bound of all rows that were not scored, after every ``STEP`` rows.
         """
-        ids, scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=self.vectors.dtype)]
-        waiting: list[np.ndarray] = []
+        ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=self.vectors.dtype)
+        waiting: list[slice] = []
         rows = 0
+
+        def score() -> None:
+            nonlocal ids, scores
+            found = np.concatenate([self.vectors[w] @ anchor for w in waiting])
+            who = np.concatenate([self.ids[w] for w in waiting])
+            good = np.flatnonzero(keep(who, np.concatenate([self.labels[w] for w in waiting]), found))
+            ids, scores = np.concatenate([ids, who[good]]), np.concatenate([scores, found[good]])
+
         for bound, cell in self.cells(anchor):
-            if rows and (rows >= STEP or done(np.concatenate(scores), bound)):
-                self._score(anchor, np.concatenate(waiting), ids, scores)
+            if rows >= STEP:
+                score()
                 waiting, rows = [], 0
-            if not rows and done(np.concatenate(scores), bound):
-                break
-            low, high = self.start[cell], self.start[cell + 1]
-            if low < high:
-                some = np.arange(low, high)
-                some = some[((self.labels[low:high] == same) == equal) & (self.ids[low:high] != anchor_id)]
-                if len(some):
-                    waiting.append(some)
-                    rows += len(some)
+                if done(scores, bound):
+                    return ids, scores
+            if self.start[cell] < self.start[cell + 1]:
+                waiting.append(slice(self.start[cell], self.start[cell + 1]))
+                rows += self.start[cell + 1] - self.start[cell]
         if rows:
-            self._score(anchor, np.concatenate(waiting), ids, scores)
-        return np.concatenate(ids), np.concatenate(scores)
-
-    def _score(self, anchor, rows, ids, scores) -> None:
-        ids.append(self.ids[rows])
-        scores.append(self.vectors[rows] @ anchor)
+            score()
+        return ids, scores
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,36 +141,46 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], as_bigints(scores[order])
 
 
-def _task(per_anchor):
-    """cogrouped anchors and rows of one shard -> rows found for each anchor."""
+def _task(per_anchor, by_label: bool):
+    """cogrouped anchors and rows of one shard -> rows found for each anchor. ``by_label``: one index for each label."""
 
     def run(key, anchors: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(anchors) and len(rows):
             held, asked = matrix_of(rows["vec"]), matrix_of(anchors["vec"])
             kind = exact_kind(held, asked)
-            index = MultiIndex(held, rows["id"].to_numpy(dtype=np.int64), rows["label"].to_numpy(dtype=object), kind)
-            for vec, anchor in zip(asked.astype(kind), anchors.drop(columns="vec").to_dict("records"), strict=True):
-                out += per_anchor(index, vec, anchor)
+            names, labels = np.unique(rows["label"].to_numpy(dtype=object), return_inverse=True)
+            number = {name: i for i, name in enumerate(names)}
+            ids, asked = rows["id"].to_numpy(dtype=np.int64), asked.astype(kind)
+            parts = [(anchors, asked, np.arange(len(ids)))]
+            if by_label:
+                mine = anchors["label"].map(number)
+                parts = [(anchors[mine == i], asked[(mine == i).to_numpy()], np.flatnonzero(labels == i)) for i in sorted(mine.dropna().unique())]
+            for some, vectors, of in parts:
+                index = MultiIndex(held[of], ids[of], labels[of], kind)
+                for vec, anchor in zip(vectors, some.drop(columns="vec").to_dict("records"), strict=True):
+                    out += per_anchor(index, vec, anchor, number.get(anchor["label"], -1))
         return pd.DataFrame(out, columns=["mark", "anchor_id", "positive_id", "positive_score", "found_id", "found_score"])
 
     return run
 
 
 def _positives(k: int):
-    def per_anchor(index: MultiIndex, vec: np.ndarray, anchor: dict) -> list[tuple]:
+    def per_anchor(index: MultiIndex, vec: np.ndarray, anchor: dict, label: int) -> list[tuple]:
         def done(scores: np.ndarray, bound: float) -> bool:
             return len(scores) >= k and float(np.partition(scores, len(scores) - k)[len(scores) - k]) > bound
 
-        ids, scores = _best(*index.visit(vec, anchor["id"], anchor["label"], True, done), k)
+        found = index.visit(vec, lambda ids, labels, scores: (ids != anchor["id"]) & (labels == label), done)
+        ids, scores = _best(*found, k)
         return [(anchor["mark"], anchor["id"], 0, 0, i, s) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
 
     return per_anchor
 
 
 def _negatives(k: int):
-    def per_anchor(index: MultiIndex, vec: np.ndarray, anchor: dict) -> list[tuple]:
+    def per_anchor(index: MultiIndex, vec: np.ndarray, anchor: dict, label: int) -> list[tuple]:
         windows = [(w["low"], w["high"]) for w in anchor["wanted"]]
+        least, most = min(low for low, _ in windows), max(high for _, high in windows)
 
         def done(scores: np.ndarray, bound: float) -> bool:
             for low, high in windows:
@@ -180,7 +191,7 @@ def _negatives(k: int):
                     return False
             return True
 
-        ids, scores = index.visit(vec, anchor["id"], anchor["label"], False, done)
+        ids, scores = index.visit(vec, lambda ids, labels, scores: (ids != anchor["id"]) & (labels != label) & (scores >= least) & (scores <= most), done)
         out = []
         for w in anchor["wanted"]:
             inside = (scores >= w["low"]) & (scores <= w["high"])
@@ -224,11 +235,11 @@ def mine_hard_negatives(
     held = held.select(*[F.col(c).alias(c) for c in (*keys, "id", "label", "vec")])  # a side of its own: the cogroup takes no column twice
     found = "mark bigint, anchor_id bigint, positive_id bigint, positive_score bigint, found_id bigint, found_score bigint"
 
-    def search(anchors: DataFrame, per_anchor) -> DataFrame:
+    def search(anchors: DataFrame, per_anchor, by_label: bool) -> DataFrame:
         dealt = anchors.withColumn("block", spread(blocks, 2)).withColumn("shard", each(shards))
-        return dealt.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_task(per_anchor), found)
+        return dealt.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_task(per_anchor, by_label), found)
 
-    best = _ranked(search(asking.select("dims", "id", "label", "vec", "mark"), _positives(positives)), ["mark"], positives)
+    best = _ranked(search(asking.select("dims", "id", "label", "vec", "mark"), _positives(positives), True), ["mark"], positives)
     score = F.col("found_score")
     twentieth = F.expr("found_score div 20")
     window = F.struct(
@@ -236,7 +247,7 @@ def mine_hard_negatives(
         F.expr("found_score div 2 + found_score % 2").alias("low"), (twentieth * 19 + F.expr("((found_score % 20) * 19) div 20")).alias("high"),
     )
     wanted = written(best.filter(score >= 0).groupBy("mark").agg(F.collect_list(window).alias("wanted")))  # at most ``positives`` each
-    mined = search(asking.join(wanted, "mark").select("dims", "id", "label", "vec", "mark", "wanted"), _negatives(negatives))
+    mined = search(asking.join(wanted, "mark").select("dims", "id", "label", "vec", "mark", "wanted"), _negatives(negatives), False)
     return _ranked(mined, ["mark", "positive_id"], negatives).select(
         "anchor_id", "positive_id", "rank", F.col("found_id").alias("negative_id"), "positive_score", F.col("found_score").alias("negative_score")
     )

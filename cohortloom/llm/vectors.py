@@ -11,12 +11,12 @@ LARGEST = (1 << 63) - 1
 def exact_kind(*matrices: np.ndarray) -> type:
     """The fastest type in which every inner product of rows of these BIGINT matrices is exact.
 
-    The largest part squared times the number of dimensions bounds any partial sum: below 2**53 doubles are exact, below
-    2**63 BIGINTs, and beyond Python integers are taken.
+    The largest part squared times the number of dimensions bounds any partial sum: below 2**24 floats are exact, below
+    2**53 doubles, below 2**63 BIGINTs, and beyond Python integers are taken.
     """
     most = max((max(int(m.max(initial=0)), -int(m.min(initial=0))) for m in matrices), default=0)
     bound = most * most * max((m.shape[1] for m in matrices if m.ndim == 2), default=1)
-    return np.float64 if bound < 1 << 53 else np.int64 if bound < 1 << 63 else object
+    return np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64 if bound < 1 << 63 else object
 
 
 def matrix_of(column: pd.Series) -> np.ndarray:
