@@ -1,39 +1,8 @@
-"""Connected components of a table of links, for any orderable node type."""
+"""Components inside a task: local roots, and the edges that tasks on parts of a group have to give."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from cohortloom.session import cut_lineage
-
-
-def smallest_reachable(links: DataFrame, a: str, b: str, max_rounds: int = 80) -> DataFrame:
-    """(node, root): root is the smallest node that the links connect with node. Nodes without links are absent.
-
-    Every round a node takes the least label of its neighbours, and then the label of its label, so label
-    chains halve. Counts and minima are merged map-side; the joins on labels are plain equi-joins whose
-    hot side adaptive execution splits. Labels are checkpointed each round. Null ends are ignored.
-    """
-    ends = links.select(F.col(a).alias("node"), F.col(b).alias("peer")).filter("node != peer")
-    both = cut_lineage(ends.unionByName(ends.select(F.col("peer").alias("node"), F.col("node").alias("peer"))).distinct())
-    labels = cut_lineage(both.groupBy("node").agg(F.least("node", F.min("peer")).alias("root")))
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels.select(F.col("node").alias("peer"), "root"), "peer")
-            .groupBy("node")
-            .agg(F.min("root").alias("near"))
-        )
-        hooked = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        above = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        moved = cut_lineage(
-            hooked.join(above, "root").select("node", "old", F.least("root", "above").alias("root"))
-        )
-        labels = moved.select("node", "root")
-        if not moved.filter("old != root").limit(1).count():
-            return labels
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

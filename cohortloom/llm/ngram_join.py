@@ -8,7 +8,8 @@ included, meets with the target probability (``runs_for``). Buckets are compared
 of more than ``BLOCK`` sets are compared as pairs of blocks in separate tasks. Sets joined by likely pairs
 form candidate groups, and inside a group all pairs are verified exactly on the whole shingle sets (again in
 blocks), so links that the sampled tree missed are found there too. No pair is written out: a task gives each
-set its number of links and one edge to its local root.
+set its number of links; a task on one block gives one edge to the root of each set, a task on two blocks edges between
+the roots of the two blocks only, so edges grow with the sets of a group and not with its pairs of blocks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm import textops as tx
-from cohortloom.llm.components import smallest_reachable
+from cohortloom.llm.components import root_links
+from cohortloom.operators.graph import connected_components
 from cohortloom.session import cut_lineage
 
 WIDTH, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
@@ -116,20 +118,6 @@ def _features(runs: int, stop: float, width: int):
     return run
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least index reachable from each of n nodes over the edges (a, b)."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == before).all():
-            break
-    return root
-
-
 def _group_bounds(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
 
@@ -155,8 +143,7 @@ def _likely(threshold: float):
                 for i in range(n - 1):
                     other = np.arange(i + 1, n)
                     small, large = np.minimum(weight[i], weight[other]), np.maximum(weight[i], weight[other])
-                    ok = (small >= threshold * large) & ((where[i] != where[other]) | (where[i] == 2))
-                    other = other[ok]
+                    other = other[small >= threshold * large]
                     if len(other):
                         used = (part[other] | part[i]) != 0
                         same = ((part[other] == part[i]) & used).sum(1)
@@ -164,10 +151,9 @@ def _likely(threshold: float):
                         found_a.append(np.full(len(other), i))
                         found_b.append(other)
                 if found_a:
-                    root = _roots(n, np.concatenate(found_a), np.concatenate(found_b))
-                    for i in np.flatnonzero(root != np.arange(n)):
+                    for i, j in zip(*root_links(n, np.concatenate(found_a), np.concatenate(found_b), where), strict=True):
                         out_a.append(ids[lo + i])
-                        out_b.append(ids[lo + root[i]])
+                        out_b.append(ids[lo + j])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
 
     return run
@@ -186,7 +172,6 @@ def in_block_pairs(df: DataFrame, group: str, count: str, member: str, block: in
     return dealt.select(
         F.xxhash64(F.col(group), low, high).alias("bucket"),
         F.when(F.col("_own") == F.col("_peer"), 2).when(F.col("_own") < F.col("_peer"), 0).otherwise(1).alias("side"),
-        F.col("_g").alias("parts"),
         *[c for c in df.columns],
     )
 
@@ -231,16 +216,17 @@ def _verify(threshold: float, width: int):
                 both = shared(members)
                 size = np.array([len(m) for m in members], dtype=np.float32)
                 linked = both >= np.float32(threshold - 1e-6) * (size[:, None] + size[None, :] - both)
-                linked &= (side[:, None] != side[None, :]) | (side[:, None] == 2)
                 np.fill_diagonal(linked, False)
-                a, b = np.nonzero(linked)
-                root = _roots(len(ids), a, b)
+                root = np.arange(len(ids))
+                node, to = root_links(len(ids), *np.nonzero(linked), side)
+                root[node] = to
+                linked &= (side[:, None] != side[None, :]) | (side[:, None] == 2)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.binary()), pa.array([ids[i] for i in root], pa.binary()),
-                        pa.array((linked @ docs).astype(np.int64)), part.column("parts").combine_chunks().cast(pa.int32()),
+                        pa.array((linked @ docs).astype(np.int64)),
                     ],
-                    ["set_id", "root", "links", "parts"],
+                    ["set_id", "root", "links"],
                 )
 
     return run
@@ -282,18 +268,16 @@ def _classes(documents: DataFrame, id_col: str, text_col: str, threshold: float
     reached = sets.select("set_id", F.explode(F.array_distinct("leaves")).alias("leaf"))
     shared = reached.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = reached.join(shared, "leaf").join(sets.select("set_id", "size", "sketch"), "set_id")
-    dealt = tx.grouped_rows(in_block_pairs(met, "leaf", "n", "set_id").select("bucket", "side", "set_id", "size", "sketch"), "bucket")
+    dealt = tx.grouped_rows(in_block_pairs(met, "leaf", "n", "set_id").select("bucket", "side", "set_id", "size", "sketch"), "bucket", "set_id")
     likely = dealt.mapInArrow(_likely(threshold), "a binary, b binary").distinct()
-    groups = smallest_reachable(likely, "a", "b").withColumnsRenamed({"node": "set_id", "root": "grp"})
+    groups = connected_components(likely, "a", "b").withColumnsRenamed({"node": "set_id", "component": "grp"})
     counts = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     chosen = groups.join(counts, "grp").join(sets.select("set_id", "rep", "mark", "docs"), "set_id")
     texts = chosen.join(docs.withColumnRenamed("doc", "rep"), ["rep", "mark"])
-    pairs = tx.grouped_rows(in_block_pairs(texts, "grp", "n", "set_id").select("bucket", "side", "parts", "set_id", "docs", "text"), "bucket")
-    local = cut_lineage(pairs.mapInArrow(_verify(threshold, width), "set_id binary, root binary, links bigint, parts int"))
+    pairs = tx.grouped_rows(in_block_pairs(texts, "grp", "n", "set_id").select("bucket", "side", "set_id", "docs", "text"), "bucket", "set_id")
+    local = cut_lineage(pairs.mapInArrow(_verify(threshold, width), "set_id binary, root binary, links bigint"))
     links = local.groupBy("set_id").agg(F.sum("links").alias("links"))
-    wide = smallest_reachable(local.filter("parts > 1"), "set_id", "root").withColumnsRenamed({"node": "set_id", "root": "wide"})
-    small = local.filter("parts = 1").select("set_id", "root")
-    rooted = small.unionByName(wide.select("set_id", F.col("wide").alias("root")))
+    rooted = connected_components(local.filter("set_id <> root"), "set_id", "root").withColumnsRenamed({"node": "set_id", "component": "root"})
     named = (
         sets.select("set_id", "rep", "mark", "docs")
         .join(rooted, "set_id", "left")

@@ -281,6 +281,24 @@ def test_ngram_join(docs, block, monkeypatch):
     assert got == brute_classes(corpus())
 
 
+def test_edges_of_a_large_group_do_not_follow_its_pairs_of_blocks(spark):
+    """Near copies compared in 20 blocks: one edge a set and at most one a pair of blocks, and all are connected."""
+    from cohortloom.operators.graph import connected_components
+
+    rng = np.random.default_rng(4)
+    base, n, block = rng.integers(1, 255, ngram_join.BINS), 1000, 50
+    rows = []
+    for i in range(n):
+        sketch = base.copy()
+        sketch[rng.integers(0, ngram_join.BINS, 3)] = 7
+        rows.append((bytearray(i.to_bytes(4, "big")), 1, n, 200, bytearray(sketch.astype(np.uint8).tobytes())))
+    met = spark.createDataFrame(rows, "set_id binary, leaf bigint, n bigint, size bigint, sketch binary")
+    dealt = tx.grouped_rows(ngram_join.in_block_pairs(met, "leaf", "n", "set_id", block).select("bucket", "side", "set_id", "size", "sketch"), "bucket", "set_id")
+    edges = dealt.mapInArrow(ngram_join._likely(0.8), "a binary, b binary").distinct()
+    assert n - 1 <= edges.count() < 1.5 * n
+    assert connected_components(edges, "a", "b").select("component").distinct().count() == 1
+
+
 def test_ngram_join_odd_tables(spark, docs, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
     kept = ngram_join.keep_one(docs)
