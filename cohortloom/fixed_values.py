@@ -56,6 +56,7 @@ WIDE_SHARE = (0.10, 0.90)
 NARROW_SHARE = (0.20, 0.80)
 MIN_MAPPING_QUALITY = 20
 MIN_BASE_QUALITY = 20
+DEPTH_CAP = 100_000
 PROPER_PAIR_BIT = 2
 DROP_BITS = 2304
 

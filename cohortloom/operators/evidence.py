@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.fixed_values import (
     BASE_NAMES,
+    DEPTH_CAP,
     DROP_BITS,
     MIN_BASE_QUALITY,
     MIN_DEPTH,
@@ -19,6 +20,7 @@ from cohortloom.fixed_values import (
 from cohortloom.functions.evidence import base_counts, counted_symbols, second_largest
 from cohortloom.functions.text import count_of
 from cohortloom.functions.numeric import per_million, ratio, ratio_or_zero
+from cohortloom.operators.choice import first_n_per_key, row_digits
 from cohortloom.operators.intervals import merge_intervals
 from cohortloom.operators.quantiles import half_mass_length
 
@@ -32,10 +34,19 @@ def keep_proper(df: DataFrame, flag: str) -> DataFrame:
 def quality_rows(
     df: DataFrame, mapq: str, baseq: str, min_mapq: int = MIN_MAPPING_QUALITY, min_baseq: int = MIN_BASE_QUALITY
 ) -> DataFrame:
-    """Evidence rows of sufficient quality, whatever the depth of their position."""
+    """Evidence rows of sufficient quality (``capped_rows`` limits the depth)."""
     return df.filter((F.col(mapq) >= min_mapq) & (F.col(baseq) >= min_baseq))
 
 
+def capped_rows(df: DataFrame, position_keys: list[str], quality: str, ties: Column, cap: int = DEPTH_CAP) -> DataFrame:
+    """At most ``cap`` rows of every position: the best by integer quality, then by a stable hash of ``ties``.
+
+    ``ties`` is a text that tells the rows of a position apart. A position with a third of the rows is not sorted: its
+    rows are counted by quality and by hash range, and the cap falls into one of these.
+    """
+    return first_n_per_key(df, position_keys, cap, [-F.col(quality).cast("bigint"), *row_digits(ties, 1)], [F.md5(ties.cast("binary"))])
+
+
 def decode_rows(df: DataFrame, ref: str = "ref", pile: str = "pile") -> DataFrame:
     """Add the counts of A, C, G, T and other reference bases as columns n_A .. n_other."""
     return base_counts(df.withColumn("_symbols", counted_symbols(pile)), ref, "_symbols").drop("_symbols")

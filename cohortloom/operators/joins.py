@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators import checks
+from cohortloom.operators.choice import first_records
 
 
 def lookup_checks(left: DataFrame, right: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -87,6 +88,21 @@ def pair_mates(first: DataFrame, second: DataFrame, keys: list[str], name_key: s
     )
 
 
+def first_pairs(first: DataFrame, second: DataFrame, position: str, name_key: str, n: int) -> DataFrame:
+    """The first ``n`` record pairs of two mate lists in position order: (position, first_key, second_key).
+
+    Each list is cut by counts of its positions, without a sort. Both lists give as many records as the shorter one has
+    up to n; a list that ends before the other and before n is an error, and so are keys that differ at one position.
+    """
+    cut = [first_records(side.select(position, name_key), position, n) for side in (first, second)]
+    paired = pair_mates(*cut, [position], name_key)
+    status = F.col("pair_status")
+    checked = F.when(status == "paired", F.col("first_key")).otherwise(
+        F.raise_error(F.concat(status, F.lit(" at record "), F.col(position).cast("string"))).cast(first.schema[name_key].dataType)
+    )
+    return paired.select(position, checked.alias("first_key"), "second_key")
+
+
 def evidence_rows(long: DataFrame, key: str, route: str, routes: list[str], metrics: list[str]) -> DataFrame:
     """One row per key with every metric of every route side by side.
 

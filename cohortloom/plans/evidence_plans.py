@@ -379,7 +379,8 @@ def qc_gates(t: Tables) -> DataFrame:
 
 @query(
     "evidence_row",
-    """with c as (select * from lineitem where (l_linenumber & 2) = 2 and (l_linenumber & 4) = 0 and l_quantity >= 20 and round(l_discount * 100) >= 2),
+    """with c as (select * from lineitem where (l_linenumber & 2) = 2 and (l_linenumber & 4) = 0 and l_quantity >= 20 and round(l_discount * 100) >= 2
+          qualify row_number() over (partition by l_suppkey order by round(l_discount * 100) desc, md5(l_orderkey || '.' || l_linenumber)) <= 60),
        m as (select l_suppkey, count(*) filter (where l_returnflag = 'A') as "A_rows", count(*) filter (where l_returnflag = 'R') as "R_rows",
           max(l_quantity) filter (where l_returnflag = 'A') as "A_top", max(l_quantity) filter (where l_returnflag = 'R') as "R_top" from c group by 1)
        select s.s_suppkey, nullif("A_rows", 0) as "A_rows", nullif("R_rows", 0) as "R_rows", "A_top", "R_top", n_name,
@@ -387,11 +388,12 @@ def qc_gates(t: Tables) -> DataFrame:
        from supplier s join m on m.l_suppkey = s.s_suppkey join nation on n_nationkey = s_nationkey where "A_rows" + "R_rows" > 0""",
 )
 def evidence_row(t: Tables) -> DataFrame:
-    """Bit filter, quality filter, then both routes side by side per supplier."""
+    """Bit filter, quality filter, depth cap, then both routes side by side per supplier."""
     lines = t.lineitem.filter(
         (F.col("l_linenumber").bitwiseAND(F.lit(2)) == 2) & (F.col("l_linenumber").bitwiseAND(F.lit(4)) == 0)
     ).withColumn("base_quality", F.round(F.col("l_discount") * 100))
-    kept = evidence.quality_rows(lines, "l_quantity", "base_quality", 20, 2)
+    named = F.concat_ws(".", "l_orderkey", "l_linenumber")
+    kept = evidence.capped_rows(evidence.quality_rows(lines, "l_quantity", "base_quality", 20, 2), ["l_suppkey"], "base_quality", named, 60)
     long = (
         kept.filter(F.col("l_returnflag").isin("A", "R"))
         .groupBy(F.col("l_suppkey").alias("s_suppkey"), "l_returnflag")

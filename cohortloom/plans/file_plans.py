@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.functions import text as tx
 from cohortloom.functions.numeric import number, whole
-from cohortloom.operators import checks, evidence
+from cohortloom.operators import checks, evidence, joins
 from cohortloom.plans.evidence_plans import _BURDEN_COLUMNS, _PILE_BURDEN_SQL, _pile_rows, _rounded
 from cohortloom.plans.registry import Tables, query
 from cohortloom.plans.selection_plans import snapshot_selection
@@ -164,6 +165,43 @@ def read_pairs(t: Tables) -> DataFrame:
     return pairs.select("key", F.length("seq_1").cast("bigint").alias("seq_length"), F.col("seq_2").cast("bigint").alias("second_length"))
 
 
+@query(
+    "first_pairs",
+    """select doc_id as position, 'doc' || doc_id as first_key, 'doc' || doc_id as second_key from documents order by doc_id limit 150""",
+)
+def first_pairs(t: Tables) -> DataFrame:
+    """The first 150 record pairs of two mate lists by position, cut by counts and not by a sort."""
+
+    def mate(n: int) -> DataFrame:
+        return t.documents.select(F.col("doc_id").alias("position"), tx.mate_key(F.format_string(f"doc%d/{n} extra", "doc_id")).alias("key"))
+
+    return joins.first_pairs(mate(1), mate(2), "position", "key", 150)
+
+
+@query(
+    "pair_text_files",
+    """select lang as sample, 'doc' || doc_id as key, 32 + doc_id % 9 as seq_length, n_chars as second_length from documents""",
+)
+def pair_text_files(t: Tables) -> DataFrame:
+    """Record pairs written as compressed text per sample and mate, then read back record by record and paired again."""
+    hashed = F.concat(F.md5(F.coalesce("text", F.lit(""))), F.expr("repeat('A', cast(doc_id % 9 as int))"))
+    pairs = t.documents.select(
+        F.col("lang").alias("sample"), F.col("doc_id").alias("position"), F.format_string("doc%d/1 x", "doc_id").alias("header_1"), hashed.alias("seq_1"),
+        F.lit("I").alias("qual_1"), F.format_string("doc%d/2 x", "doc_id").alias("header_2"), F.col("n_chars").cast("string").alias("seq_2"), F.lit("J").alias("qual_2"),
+    )
+    spark, path = _folder(pairs, "pairs")
+    sinks.write_pair_text(pairs, path)
+
+    def mate_of(n: int) -> DataFrame:
+        part = F.concat_ws("/", F.regexp_extract("file_path", r"sample=([^/]+)/", 1), F.regexp_extract("file_path", r"part-(\d+)", 1))
+        return records.read_fastq(spark, f"{path}/{n}/sample=*").withColumn("place", part)
+
+    back = records.paired_reads(mate_of(1), mate_of(2), "place")
+    return back.select(
+        F.substring_index("place", "/", 1).alias("sample"), "key", F.length("seq_1").cast("bigint").alias("seq_length"), F.col("seq_2").cast("bigint").alias("second_length")
+    )
+
+
 def _evidence_lines(t: Tables) -> DataFrame:
     return _pile_rows(t).select(
         F.concat_ws("\t", F.concat_ws("/", "l_suppkey", "l_linestatus"), "l_orderkey", "ref", "q", "pile", F.lit("*")).alias("value")

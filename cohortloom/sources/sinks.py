@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.fixed_values import FASTA_WIDTH
+from cohortloom.session import cut_lineage
 
 
 def write_tsv(df: DataFrame, path: str, fields: list[str] | None = None, order: list[str] | None = None) -> None:
@@ -62,6 +63,19 @@ def write_pairs(pairs: DataFrame, path: str, sample: str = "sample") -> None:
     ).parquet(path)
 
 
+def write_pair_text(pairs: DataFrame, path: str, sample: str = "sample") -> None:
+    """Record pairs as gzip text of four-line records, ``path``/1 and ``path``/2, one folder per sample, in position order.
+
+    Both mates are cut into files at the same records, since both are dealt by the same ranges of (sample, position); a
+    sample with most records has many files, and file names follow the order.
+    """
+    placed = cut_lineage(pairs.repartitionByRange(sample, "position"))
+    for mate in ("1", "2"):
+        fields = [F.concat(F.lit("@"), F.regexp_replace(f"header_{mate}", "^@", "")), F.col(f"seq_{mate}"), F.lit("+"), F.col(f"qual_{mate}")]
+        lines = placed.sortWithinPartitions(sample, "position").select(sample, F.concat_ws("\n", *fields).alias("value"))
+        lines.write.mode("overwrite").option("compression", "gzip").partitionBy(sample).text(f"{path}/{mate}")
+
+
 def write_nested(df: DataFrame, path: str, flags: dict[str, str]) -> dict[str, str]:
     """``all`` and one table per flag, each filtered from the one before; the paths by name."""
     places, current = {"all": f"{path}/all"}, df
