@@ -15,7 +15,8 @@ def counted_symbols(pile: Column | str) -> Column:
 
     The string is cut before every mark (``^``, ``+``, ``-``) and the pieces are folded from left to right. A read start
     owns the next character, an indel as many as its number says (or what is left); owned characters may
-    reach over later pieces, whose marks then open nothing.
+    reach over later pieces, whose marks then open nothing. A string without an indel mark has read starts only, and one
+    replacement takes these out from left to right.
     """
     raw = col(pile)
 
@@ -39,7 +40,8 @@ def counted_symbols(pile: Column | str) -> Column:
         return F.struct(F.concat(acc["kept"], after["kept"]).alias("kept"), after["skip"].alias("skip"))
 
     start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("bigint").alias("skip"))
-    return F.aggregate(F.split(raw, r"(?=[\^+-])"), start, step, lambda acc: acc["kept"])
+    folded = F.aggregate(F.split(raw, r"(?=[\^+-])"), start, step, lambda acc: acc["kept"])
+    return F.when(F.contains(raw, F.lit("+")) | F.contains(raw, F.lit("-")), folded).otherwise(F.regexp_replace(raw, r"(?s)\^.?", ""))
 
 
 def base_counts(df: DataFrame, ref: str, symbols: str) -> DataFrame:

@@ -62,7 +62,7 @@ def base_count_columns(df: DataFrame, position_keys: list[str], base: str, weigh
     return df.groupBy(*position_keys).agg(*known, other)
 
 
-def depth_profile(
+def position_flags(
     counted: DataFrame,
     keys: list[str],
     min_depth: int = MIN_DEPTH,
@@ -70,23 +70,35 @@ def depth_profile(
     wide: tuple[float, float] = WIDE_SHARE,
     narrow: tuple[float, float] = NARROW_SHARE,
 ) -> DataFrame:
-    """Per (keys, depth): positions, callable positions and mixed positions at both share ranges.
-
-    This is the only pass over the positions; depth takes few values, so partial sums stay small.
-    """
+    """Per position: depth, and whether it is callable (_c) and mixed at the wide (_w) and narrow (_n) share range."""
     counts = [F.col(f"n_{b}") for b in BASE_NAMES]
     depth = counts[0] + counts[1] + counts[2] + counts[3] + counts[4]
     minor = second_largest(*counts)
     share = ratio(minor, depth)
     callable_ = depth >= min_depth
     enough = callable_ & (minor >= min_minor)
-    flags = counted.select(
+    return counted.select(
         *keys,
         depth.alias("depth"),
         callable_.alias("_c"),
         F.coalesce(enough & share.between(*wide), F.lit(False)).alias("_w"),
         F.coalesce(enough & share.between(*narrow), F.lit(False)).alias("_n"),
     )
+
+
+def depth_profile(
+    counted: DataFrame,
+    keys: list[str],
+    min_depth: int = MIN_DEPTH,
+    min_minor: int = MIN_MINOR_COUNT,
+    wide: tuple[float, float] = WIDE_SHARE,
+    narrow: tuple[float, float] = NARROW_SHARE,
+) -> DataFrame:
+    """Per (keys, depth): positions, callable positions and mixed positions at both share ranges.
+
+    This is the only pass over the positions; depth takes few values, so partial sums stay small.
+    """
+    flags = position_flags(counted, keys, min_depth, min_minor, wide, narrow)
     return flags.groupBy(*keys, "depth").agg(
         F.count(F.lit(1)).alias("positions"),
         F.count_if("_c").alias("callable"),

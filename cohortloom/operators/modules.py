@@ -226,6 +226,29 @@ def block_calls(
     )
 
 
+def block_grid(calls: DataFrame, blocks: DataFrame, members: DataFrame, entities: DataFrame, block: str, feature: str, entity: str, allowed: str, most: int = 10_000) -> DataFrame:
+    """``block_calls`` with a row for every block and every entity: what was not observed is absent.
+
+    The rows are blocks x entities by definition. The block list (name, required features, allowed span) is a literal
+    that every entity is exploded by, so neither side is shuffled for the grid; more than ``most`` blocks are an error.
+    """
+    need = members.groupBy(block).agg(F.countDistinct(feature).alias("required_features"))
+    listed = blocks.select(block, F.col(allowed).cast("bigint").alias("maximum_allowed_span")).distinct().join(need, block).limit(most + 1).collect()
+    if len(listed) > most:
+        raise ValueError(f"more than {most} blocks: give their absences as counts by block_totals")
+    schema = calls.schema
+    kind = "struct<b:{},required_features:bigint,maximum_allowed_span:bigint>".format(schema[block].dataType.simpleString())
+    literal = F.array(*[F.struct(F.lit(r[0]), F.lit(r[2]), F.lit(r[1])).cast(kind) for r in listed]) if listed else F.array().cast(f"array<{kind}>")
+    grid = entities.select(entity).distinct().select(entity, F.explode(literal).alias("_b")).select(
+        F.col("_b.b").alias(block), entity, "_b.required_features", "_b.maximum_allowed_span"
+    )
+    seen = calls.select(block, entity, "observed_features", "minimum_span", "all_features_present", "one_container", "block_present")
+    absent = F.lit(False)
+    return grid.join(seen, [block, entity], "left").withColumns(
+        {"observed_features": F.coalesce("observed_features", F.lit(0).cast("bigint")), **{c: F.coalesce(c, absent) for c in ("all_features_present", "one_container", "block_present")}}
+    )
+
+
 def block_totals(blocks: DataFrame, calls: DataFrame, entities: DataFrame, block: str) -> DataFrame:
     """Per block: entities that hold it, that do not, and all; unobserved entities are absent."""
     counts = calls.groupBy(block).agg(F.count_if("block_present").alias("present"))

@@ -226,14 +226,15 @@ calls as (select block_id, starts_with(block_id, 'second_') as second_expected,
 """
 
 
-def _flagged(t: Tables) -> DataFrame:
-    """Documents of either group with one small entry per signal; the texts end here."""
-    words = F.split("text", r"\s+")
+def _flagged(documents: DataFrame) -> DataFrame:
+    """Documents of either group with one small entry per signal; the texts end here, after one pass over their words."""
+    known = F.array(*[F.lit(w) for w in _SIGNALS.values()])
     entries = [
-        F.struct(F.lit(b).alias("block_id"), F.lit(b.startswith("second_")).alias("second_expected"), F.array_contains("words", w).alias("present"))
+        F.struct(F.lit(b).alias("block_id"), F.lit(b.startswith("second_")).alias("second_expected"), F.array_contains("found", w).alias("present"))
         for b, w in _SIGNALS.items()
     ]
-    texts = t.documents.filter(_first() | _second()).select("doc_id", "lang", "source", words.alias("words"))
+    found = F.array_intersect(F.split("text", r"\s+"), known)
+    texts = documents.filter(_first() | _second()).select("doc_id", "lang", "source", found.alias("found"))
     return texts.select("doc_id", "lang", "source", F.array(*entries).alias("_s"))
 
 
@@ -243,7 +244,7 @@ def _calls_of(flagged: DataFrame) -> DataFrame:
 
 
 def _calls(t: Tables) -> DataFrame:
-    return _calls_of(_flagged(t))
+    return _calls_of(_flagged(t.documents))
 
 
 @query(
@@ -262,7 +263,7 @@ g as (select block_id, count(*) filter (where (lang = 'fr') = second_expected) a
 def heldout_eval(t: Tables) -> DataFrame:
     """Discovery documents are set aside by a stable hash; the rest evaluates five fixed signals."""
     discovery = t.documents.select("doc_id").filter(stable_number(label_of(F.col("doc_id"))) % 2 == 0)
-    calls = _calls_of(_flagged(t).join(discovery, "doc_id", "left_anti"))
+    calls = _calls_of(_flagged(t.documents.join(discovery, "doc_id", "left_anti")))
     expected = F.when(F.col("second_expected"), _second()).otherwise(_first())
     counts = calls.groupBy("block_id").agg(
         F.count_if(expected).alias("expected_total"), F.count_if(expected & F.col("present")).alias("expected_present"),

@@ -15,7 +15,7 @@ from cohortloom.plans.registry import Tables, query
 from cohortloom.plans.selection_plans import snapshot_selection
 from cohortloom.session import ensure_checkpoint_dir
 from cohortloom.sources import records, sinks, snapshot, tables
-from cohortloom.streaming import burden
+from cohortloom.streaming import burden, state
 
 
 def _folder(df: DataFrame, name: str) -> tuple[SparkSession, str]:
@@ -236,6 +236,24 @@ def evidence_stream(t: Tables) -> DataFrame:
     return _rounded(burden.burden_of_stored_profile(spark.read.parquet(f"{path}/profile"), keys))
 
 
+@query("evidence_state", _PILE_BURDEN_SQL + f"select sample, route, {_BURDEN_COLUMNS} from burdens")
+def evidence_state(t: Tables) -> DataFrame:
+    """The same burden and median kept as state while the files arrive in two runs of one stream."""
+    lines = _evidence_lines(t)
+    spark, path = _folder(lines, "state")
+    keys, store = ["sample", "route"], "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, state.STATE_STORE)
+    try:
+        for half in (0, 1):
+            lines.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == half).write.mode("append").text(f"{path}/in")
+            stream = state.stream_burden(_keyed(spark.readStream.text(f"{path}/in")), keys)
+            state.run_burden(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return _rounded(state.latest(spark.read.parquet(f"{path}/out"), keys))
+
+
 @query(
     "identity_and_logs",
     """select n_name as sample, (n_nationkey + 90.5)::double as ani, round((n_nationkey + 1) / 30.0::double, 6) as fraction, (n_regionkey * 10 + 0.25)::double as rate from nation""",
@@ -284,3 +302,19 @@ def alignment_file(t: Tables) -> DataFrame:
 def file_manifest(t: Tables) -> DataFrame:
     """Size, MD5 and SHA-256 of every record, each hashed where it lies."""
     return tables.record_manifest(t.documents, "doc_id", "text", F.format_string("doc%d.txt", "doc_id"))
+
+
+@query(
+    "delivered_files",
+    """select 'c' || c_nationkey as folder, count(*) as lines, sum(octet_length(encode(c_name || chr(9) || c_mktsegment)) + 1)::bigint as size_bytes,
+         md5(string_agg(c_name || chr(9) || c_mktsegment || chr(10), '' order by c_custkey)) as md5, sha256(string_agg(c_name || chr(9) || c_mktsegment || chr(10), '' order by c_custkey)) as sha256
+       from customer group by c_nationkey""",
+)
+def delivered_files(t: Tables) -> DataFrame:
+    """Customers written as one text file per nation; the manifest hashes these files, and every expected one must be there."""
+    rows = t.customer.select(F.concat(F.lit("c"), "c_nationkey").alias("folder"), "c_custkey", F.concat_ws("\t", "c_name", "c_mktsegment").alias("value"))
+    spark, path = _folder(rows, "delivered")
+    rows.repartition("folder").sortWithinPartitions("folder", "c_custkey").select("folder", "value").write.partitionBy("folder").text(path)
+    counts = rows.groupBy("folder").agg(F.count(F.lit(1)).alias("lines"))
+    found = tables.file_manifest(spark, path, suffix=".txt").withColumn("folder", F.regexp_extract("path", r"folder=([^/]+)/", 1))
+    return counts.join(found, "folder", "left").select("folder", "lines", "size_bytes", "md5", "sha256")

@@ -166,6 +166,19 @@ def block_calls(t: Tables) -> DataFrame:
     return _block_calls(t)[1]
 
 
+@query(
+    "block_grid",
+    _CALL_SQL
+    + """select bl.block, u.user_id as entity, need::bigint as required_features, allowed::bigint as maximum_allowed_span, coalesce(observed_features, 0) as observed_features, minimum_span,
+    coalesce(all_features_present, false) as all_features_present, coalesce(one_container, false) as one_container, coalesce(block_present, false) as block_present
+    from bl cross join (select distinct user_id from events) u left join calls c on c.block = bl.block and c.entity = u.user_id""",
+)
+def block_grid(t: Tables) -> DataFrame:
+    """Every block for every entity, absences as rows."""
+    blocks, members, _ = _block_tables(t)
+    return modules.block_grid(_block_calls(t)[1], blocks, members, t.events.select(F.col("user_id").alias("entity")), "block", "feature", "entity", "allowed")
+
+
 @query(
     "block_totals",
     _CALL_SQL

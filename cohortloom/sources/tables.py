@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortloom.functions.text import blank_missing
 from cohortloom.operators import checks
+from cohortloom.sources import digests
 
 
 def text_schema(names: list[str]) -> StructType:
@@ -122,22 +123,20 @@ def read_log_number(spark: SparkSession, path: str, pattern: str, name: str) ->
     return per_file.select("file_path", value.alias(name))
 
 
-def file_manifest(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
-    """Size, MD5 and SHA-256 of every file. Names in ``expected`` (file_name) without a file are an error.
+def file_manifest(spark: SparkSession, path: str, expected: DataFrame | None = None, suffix: str = "") -> DataFrame:
+    """(file_name, path, size_bytes, md5, sha256) of every file under a folder, of any size.
 
-    A file is hashed whole by one task and must be under 2 GB.
+    Each file is one partition and is hashed in pieces. A name in ``expected`` (file_name) without a file is an error that the
+    result raises when its row is read; files that are not expected are listed all the same.
     """
-    listed = spark.read.format("binaryFile").load(path)
-    manifest = listed.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
-        "path",
-        F.col("length").alias("size_bytes"),
-        F.md5("content").alias("md5"),
-        F.sha2("content", 256).alias("sha256"),
-    )
-    if expected is not None:
-        checks.require(checks.no_unmatched(expected, manifest, ["file_name"], "every expected file exists"))
-    return manifest
+    digests.register(spark)
+    manifest = spark.read.format(digests.FORMAT).option("suffix", suffix).load(path)
+    if expected is None:
+        return manifest
+    wanted = expected.select("file_name").distinct().withColumn("_wanted", F.lit(True))
+    joined = manifest.join(wanted, "file_name", "full_outer")
+    missing = F.raise_error(F.concat(F.lit("every expected file exists: "), F.coalesce("file_name", F.lit("null"))))
+    return joined.withColumn("path", F.when(F.col("path").isNotNull(), F.col("path")).otherwise(missing.cast("string"))).drop("_wanted")
 
 
 def record_manifest(df: DataFrame, key: str, content: str, name: Column) -> DataFrame:

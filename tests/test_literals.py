@@ -364,3 +364,46 @@ def test_analysis_labels(spark):
     assert got["2"].boundary_note.startswith("nearest public genomes") and got["4"].figure_label == "MI: MP-MIP"
     with pytest.raises(Exception, match="no rule for 9"):
         classify.analysis_labels(spark.createDataFrame([("9", "x", "", "y", "", "1")], names)).collect()
+
+
+def test_chi_square_tail_is_native(spark):
+    """Against the library function over twelve orders of magnitude, at the border of the two forms and for odd values."""
+    import math
+
+    from cohortloom.operators.association import chi_square_tail
+
+    values = [0.0, 1e-12, 1e-3, 0.5, 1.0, 3.84, 4.4999, 4.5, 4.5001, 10.0, 50.0, 300.0, 1400.0, 1e6]
+    df = spark.createDataFrame([(v,) for v in values], "x double").withColumn("p", chi_square_tail(F.col("x")))
+    for r in df.collect():
+        assert r.p == pytest.approx(math.erfc(math.sqrt(r.x / 2)), rel=1e-11, abs=1e-300)
+    odd = spark.createDataFrame([(None,), (-1.0,), (float("nan"),)], "x double").select(chi_square_tail(F.col("x")).alias("p"))
+    assert all(math.isnan(r.p) for r in odd.collect())
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_symbols_without_indels(spark):
+    """The one-pass form and the fold agree on read starts that own any character, also marks and line ends."""
+    from cohortloom.functions.evidence import counted_symbols
+
+    cases = [("^].,$", ".,$"), ("^^A^", "A"), ("A^", "A"), ("", ""), ("^\nA", "A"), ("^+A", "A"), ("A+1tG^-C", "AGC"), (None, None)]
+    rows = spark.createDataFrame([(c[0],) for c in cases], "pile string").select("pile", counted_symbols("pile").alias("kept")).collect()
+    assert [r.kept for r in rows] == [c[1] for c in cases]
+
+
+def test_block_grid_has_absences(spark):
+    from cohortloom.operators import modules
+
+    blocks = spark.createDataFrame([("x", 5), ("y", 5)], "block string, allowed int")
+    members = spark.createDataFrame([("x", "f"), ("x", "g"), ("y", "f")], "block string, feature string")
+    hits = spark.createDataFrame([("f", "e1", "c", 1), ("g", "e1", "c", 3), ("f", "e2", "c", 9)], "feature string, entity string, container string, position bigint")
+    entities = spark.createDataFrame([("e1",), ("e2",), ("e3",), ("e1",)], "entity string")
+    calls = modules.block_calls(blocks, members, hits, "block", "feature", "entity", "container", "position", "allowed")
+    grid = modules.block_grid(calls, blocks, members, entities, "block", "feature", "entity", "allowed")
+    got = {(r.block, r.entity): (r.observed_features, r.minimum_span, r.block_present) for r in grid.collect()}
+    assert got == {
+        ("x", "e1"): (2, 3, True), ("x", "e2"): (1, None, False), ("x", "e3"): (0, None, False),
+        ("y", "e1"): (1, 1, True), ("y", "e2"): (1, 1, True), ("y", "e3"): (0, None, False),
+    }
+    with pytest.raises(ValueError, match="more than 1 blocks"):
+        modules.block_grid(calls, blocks, members, entities, "block", "feature", "entity", "allowed", most=1)
+    assert modules.block_grid(calls, blocks.filter("false"), members, entities, "block", "feature", "entity", "allowed").count() == 0

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators import evidence
 from cohortloom.plans.selection_plans import snapshot_selection
 from cohortloom.sources import records, sinks, snapshot, tables
-from cohortloom.streaming import burden
+from cohortloom.streaming import burden, state
 
 
 def put(folder, name, text):
@@ -88,8 +88,86 @@ def test_manifest(spark, tmp_path):
     r = tables.file_manifest(spark, str(tmp_path / "m")).first()
     assert (r.file_name, r.size_bytes, r.md5, r.sha256) == ("a.bin", 5, hashlib.md5(b"hello").hexdigest(), hashlib.sha256(b"hello").hexdigest())
     wanted = spark.createDataFrame([("a.bin",), ("b.bin",)], "file_name string")
-    with pytest.raises(ValueError, match="every expected file exists"):
-        tables.file_manifest(spark, str(tmp_path / "m"), wanted)
+    with pytest.raises(Exception, match="every expected file exists: b.bin"):
+        tables.file_manifest(spark, str(tmp_path / "m"), wanted).collect()
+    assert tables.file_manifest(spark, str(tmp_path / "m"), wanted.limit(1)).count() == 1
+
+
+def test_manifest_of_large_and_nested_files(spark, tmp_path):
+    """Files longer than a piece, empty ones, folders in folders, hidden ones left out; one partition per file."""
+    body = bytes(range(256)) * 70_000  # over two pieces
+    for name, data in (("a/big.bin", body), ("a/b/empty.bin", b""), ("c.bin", b"x"), ("_SUCCESS", b""), ("other.txt", b"y")):
+        path = tmp_path / "m" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+    found = tables.file_manifest(spark, str(tmp_path / "m"), suffix=".bin")
+    assert {(r.file_name, r.size_bytes, r.md5, r.sha256) for r in found.collect()} == {
+        (n, len(d), hashlib.md5(d).hexdigest(), hashlib.sha256(d).hexdigest()) for n, d in (("big.bin", body), ("empty.bin", b""), ("c.bin", b"x"))
+    }
+    assert found.rdd.getNumPartitions() == 3
+    assert tables.file_manifest(spark, f"file://{tmp_path}/m", suffix="c.bin").first().sha256 == hashlib.sha256(b"x").hexdigest()
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        tables.file_manifest(spark, str(tmp_path / "nothing")).collect()
+
+
+def test_burden_with_state_over_restarts(spark, tmp_path):
+    """Three runs of the stream over one folder give the batch rows each time; a batch that runs again changes nothing."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.STATE_STORE)
+    keys = ["sample", "route"]
+    for n, more in enumerate(("one", "two", "three")):
+        depth = 12 + 9 * n
+        put(tmp_path, f"ev/{more}.txt", EVIDENCE + "\n".join(f"ctg\t{i}\tG\t{depth}\t{'.' * depth}\t*" for i in range(100, 103 + n)) + "\n")
+        lines = spark.readStream.text(str(tmp_path / "ev")).withColumns({"sample": F.lit("s"), "route": F.col("value").contains("\t101\t").cast("string")})
+        query = state.run_burden(state.stream_burden(lines, keys), str(tmp_path / "out"), str(tmp_path / "cp"))
+        query.awaitTermination(120)
+        got = state.latest(spark.read.parquet(str(tmp_path / "out")), keys)
+        batch = records.evidence_fields(spark.read.text(str(tmp_path / "ev")).withColumns({"sample": F.lit("s"), "route": F.col("value").contains("\t101\t").cast("string")}))
+        want = evidence.mixture_burden(evidence.decode_rows(batch), keys)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    query = state.run_burden(state.stream_burden(lines, keys), str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination(120)
+    assert sorted(map(str, state.latest(spark.read.parquet(str(tmp_path / "out")), keys).select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_idle_keys_lose_their_state():
+    """The processor against a state in memory: a timer moves with every input, and clears the histogram when it fires."""
+    import pandas as pd
+
+    class Depths(dict):
+        containsKey, updateValue, getValue, iterator = dict.__contains__, dict.__setitem__, dict.__getitem__, dict.items
+
+    class Handle:
+        timers: list[int] = []
+        depths = Depths()
+
+        def getMapState(self, *_):
+            return self.depths
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    class Clock:
+        def getCurrentProcessingTimeInMs(self):
+            return 1000
+
+    handle, processor = Handle(), state.BurdenState(500)
+    processor.init(handle)
+    rows = pd.DataFrame([[30, 2, 2, 1, 0], [5, 4, 0, 0, 0]], columns=["depth", *state.COUNTS])
+    for times in (1, 2):
+        (out,) = processor.handleInputRows(("s",), iter([rows]), Clock())
+        assert out.iloc[0].tolist() == ["s", 6 * times, 2 * times, 30, times, 0] and handle.timers == [1500]
+    list(processor.handleExpiredTimer(("s",), Clock(), None))
+    assert not handle.depths
+
+
+def test_lower_median_of_a_histogram():
+    assert state.lower_median({1: 1, 2: 1, 3: 1, 10: 1}) == 2 and state.lower_median({}) == 0 and state.lower_median({5: 0, 7: 3}) == 7
 
 
 def test_fasta_round_trip(spark, tmp_path):
