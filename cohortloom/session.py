@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,12 +47,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+_shared: set[str] = set()
+
+
 def share_code(spark: SparkSession) -> None:
-    """Let Python workers find the package where this process imported it from."""
+    """Let Python workers find the package: on a cluster it travels as an archive with the job, in a local session by its path."""
+    context = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+        context.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    if not context.master.startswith("local[") and context.applicationId not in _shared:
+        _shared.add(context.applicationId)
+        folder = tempfile.mkdtemp(prefix="code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = os.path.join(folder, f"{__package__}.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for place, _, names in os.walk(os.path.join(root, __package__)):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    full = os.path.join(place, name)
+                    z.write(full, os.path.relpath(full, root))
+        context.addPyFile(archive)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
