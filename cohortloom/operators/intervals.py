@@ -6,6 +6,11 @@ intervals is processed by many tasks. What crosses a bucket border is carried by
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,10 +94,11 @@ def own_by_precedence(
 ) -> DataFrame:
     """Disjoint pieces (keys, precedence, start, end): each point belongs to the lowest covering precedence.
 
-    Intervals of one precedence are merged first; then every bucket is cut at its own borders, each
-    elementary piece takes the lowest precedence that covers it, and touching pieces of one owner are
-    joined again. A piece meets at most one interval per precedence. The merged intervals and the owned
-    pieces are checkpointed, since each feeds more than one later pass.
+    Intervals of one precedence are merged first. Every bucket is then swept from left to right with the set of open
+    intervals in the order of their precedence; a piece ends where its owner ends or a better one begins, so the work is
+    n log n in the intervals of a bucket, however they nest, and a task holds the open ones only. Touching pieces of one owner
+    are joined again. Rows with a null key or precedence own nothing. The merged intervals and the owned pieces are checkpointed, since each
+    feeds more than one later pass.
     """
     merged = cut_lineage(merge_intervals(df, [*keys, precedence], start, end, width))
     clipped = in_buckets(merged, "start", "end", width).select(
@@ -102,22 +108,76 @@ def own_by_precedence(
         F.greatest(F.col("start"), F.col("_bucket") * width).alias("start"),
         F.least(F.col("end"), (F.col("_bucket") + 1) * width).alias("end"),
     )
-    following = Window.partitionBy(*keys, "_bucket").orderBy("cut")
-    pieces = (
-        clipped.select(*keys, "_bucket", F.explode(F.array("start", "end")).alias("cut"))
-        .distinct()
-        .withColumn("cut_end", F.lead("cut").over(following))
-        .filter(F.col("cut_end").isNotNull())
-    )
-    owned = (
-        pieces.join(clipped, [*keys, "_bucket"])
-        .filter((F.col("start") <= F.col("cut")) & (F.col("cut") < F.col("end")))
-        .groupBy(*keys, "_bucket", "cut", "cut_end")
-        .agg(F.min(precedence).alias(precedence))
-    )
+    placed = clipped.repartition(*keys, "_bucket").sortWithinPartitions(*keys, "_bucket", "start")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clipped.drop("_bucket", "start", "end").schema.fields)
+    owned = placed.mapInArrow(_sweep(keys, precedence), f"{schema}, cut bigint, cut_end bigint")
     return merge_intervals(cut_lineage(owned), [*keys, precedence], "cut", "cut_end", width)
 
 
+def owned_pieces(intervals: Iterable[tuple[int, int, object]]) -> Iterator[tuple[object, int, int]]:
+    """(owner, start, end) pieces of half-open (start, end, owner) intervals that come sorted by start; the least open owner holds a point."""
+    open_: list[tuple[bool, object, int]] = []
+    at, piece = None, None
+
+    def run_to(limit: int | None) -> Iterator[tuple[object, int, int]]:
+        nonlocal at, piece
+        while open_ and (limit is None or at < limit):
+            absent, owner, end = open_[0]
+            owner = None if absent else owner
+            if end <= at:
+                heapq.heappop(open_)
+                continue
+            stop = end if limit is None else min(end, limit)
+            if piece and piece[0] == owner and piece[2] == at:
+                piece = (owner, piece[1], stop)
+            else:
+                if piece:
+                    yield piece
+                piece = (owner, at, stop)
+            at = stop
+
+    for start, end, owner in intervals:
+        yield from run_to(start)
+        at = start
+        heapq.heappush(open_, (owner is None, 0 if owner is None else owner, end))
+    yield from run_to(None)
+    if piece:
+        yield piece
+
+
+def _sweep(keys: list[str], precedence: str):
+    columns = [*keys, precedence, "_bucket", "start", "end"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*[batch.column(c).to_pylist() for c in columns], strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields, out = None, []
+
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip([*keys, precedence, "cut", "cut_end"], r, strict=True)) for r in out], schema=fields)
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            nonlocal fields
+            for batch in batches:
+                if fields is None:
+                    fields = pa.schema([batch.schema.field(c) for c in (*keys, precedence)] + [pa.field("cut", pa.int64()), pa.field("cut_end", pa.int64())])
+                yield batch
+
+        width = len(keys)
+        for group, members in groupby(rows(noted()), key=lambda r: (*r[:width], r[width + 1])):
+            for owner, low, high in owned_pieces((r[width + 2], r[width + 3], r[width]) for r in members):
+                out.append((*group[:width], owner, low, high))
+                if len(out) >= 10_000:
+                    yield emit()
+                    out = []
+        if out:
+            yield emit()
+
+    return run
+
+
 def subtract_intervals(
     df: DataFrame, covers: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = WIDTH
 ) -> DataFrame:
