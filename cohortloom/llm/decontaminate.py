@@ -123,9 +123,9 @@ def contained_items(
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that hold no benchmark item; rows without an id stay. Of one id with several texts, those without an item stay."""
     key = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.col(text_col)))
-    keyed = documents.withColumn("_id_text", key)
-    found = contained_items(keyed, benchmark, "_id_text", text_col).select("_id_text").distinct()
-    return keyed.join(found, "_id_text", "left_anti").select(*documents.columns)
+    keyed = documents.select(F.struct("*").alias("row"), key.alias("key"), F.col(text_col).alias("text"))  # whatever the given columns are called
+    found = contained_items(keyed.select("key", "text"), benchmark, "key", "text").select("key").distinct()
+    return keyed.join(found, "key", "left_anti").select("row.*")
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -129,7 +129,8 @@ def chain(matches: list[tuple[int, int]], sequence: list[int], template: list[in
     top = (0, 0, 0)
     for i, (start, length, at) in enumerate(placed):
         gain, begin = length, start
-        for (s, n, a), (g, b) in zip(reversed(placed[:i]), reversed(best), strict=True):
+        for j in range(i - 1, -1, -1):
+            (s, n, a), (g, b) = placed[j], best[j]
             if start - (s + n) > max_gap + len(template):
                 break
             if 0 <= start - (s + n) <= max_gap and 0 <= at - (a + n) <= max_gap and g + length > gain:
@@ -211,7 +212,7 @@ def _scan(phrases, templates):
                         for begin, covered, stop in found:
                             cover = covered / len(coded[number])
                             score[r] = max(score[r], cover)
-                            spans[r].append({"template": number, "start": begin, "end": stop, "covered": cover})
+                            spans[r].append({"template": number, "start": begin, "end": stop, "covered": int(covered)})
                             if cover >= MIN_COVER:
                                 labels[r].add(templates[number][0])
                 score = np.where(n_base > 0, 1.0, score).clip(0, 1)

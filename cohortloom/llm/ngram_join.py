@@ -296,14 +296,13 @@ def _classes(documents: DataFrame, id_col: str, text_col: str, threshold: float
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with one of each class: the one whose id and text name it. Rows without an id stay; of rows repeated with id and text one stays."""
     doc, mark = F.col(id_col).cast("bigint"), F.xxhash64(F.col(text_col))
-    gone = _classes(documents, id_col, text_col).filter("doc <> class_id or mark <> class_mark").select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"))
-    left = documents.withColumns({"_doc": doc, "_mark": mark}).join(gone, ["_doc", "_mark"], "left_anti")
+    gone = _classes(documents, id_col, text_col).filter("doc <> class_id or mark <> class_mark").select("doc", "mark")
+    rows = documents.select(F.struct("*").alias("row"), doc.alias("doc"), mark.alias("mark"))  # whatever the given columns are called
+    left = rows.join(gone, ["doc", "mark"], "left_anti")
     # only the repeated rows are shuffled with their texts
-    often = cut_lineage(
-        documents.select(doc.alias("_doc"), mark.alias("_mark")).filter("_doc is not null").groupBy("_doc", "_mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    )
-    once = left.join(often, ["_doc", "_mark"], "left_anti")
-    return once.unionByName(left.join(often, ["_doc", "_mark"], "left_semi").dropDuplicates(["_doc", "_mark"])).select(*documents.columns)
+    often = cut_lineage(rows.select("doc", "mark").filter("doc is not null").groupBy("doc", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    once = left.join(often, ["doc", "mark"], "left_anti")
+    return once.unionByName(left.join(often, ["doc", "mark"], "left_semi").dropDuplicates(["doc", "mark"])).select("row.*")
 
 
 def oracle() -> str:

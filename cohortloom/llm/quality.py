@@ -133,9 +133,12 @@ def held_out(id_col: str, remainder: int = 0) -> Column:
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
-    """Train on the whole texts of at most ``rows`` labelled documents outside the held-out fold, chosen by a hash of the id."""
+    """Train on the whole texts of at most ``rows`` labelled documents outside the held-out fold, chosen by a hash of the id.
+
+    Rows with a null id or label train nothing; of an id's differing labels the lowest counts.
+    """
     marked = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(label_col).cast("int").alias("label"))
-    chosen = marked.filter("doc is not null").filter(~held_out("doc")).dropDuplicates(["doc"]).orderBy(F.xxhash64("doc"), "doc").limit(rows)
+    chosen = marked.filter("doc is not null").filter(~held_out("doc")).groupBy("doc").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc"), "doc").limit(rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = documents.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text")).join(F.broadcast(chosen), "doc")
     taken = found.orderBy(F.xxhash64("doc"), "doc", "text").limit(rows).collect()

@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.llm.vectors import exact_kind, matrix_of
+
 SCALE, K, EVERY = 256, 5, 50
 SHARD_ROWS, QUERY_ROWS, DIM_BLOCK = 8192, 256, 16
-#: Integer parts up to this are summed in 64 bits; larger ones exactly in Python integers.
-SAFE = 1 << 23
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -66,10 +66,8 @@ def _shard_search(k: int):
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
         if len(queries) and len(rows):
-            matrix = np.array(rows["vec"].tolist(), dtype=np.int64).reshape(len(rows), -1)
-            asked = np.array(queries["vec"].tolist(), dtype=np.int64).reshape(len(queries), -1)
-            most = max(max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in (matrix, asked))
-            kind = np.float64 if most <= SAFE and matrix.shape[1] <= 128 else object
+            matrix, asked = matrix_of(rows["vec"]), matrix_of(queries["vec"])
+            kind = exact_kind(matrix, asked)
             columns = np.ascontiguousarray(matrix.T).astype(kind)
             squares = np.square(matrix.T.astype(np.float64))
             rest = [np.sqrt(squares[low:].sum(0)) * (1 + 1e-9) + 1 for low in range(0, max(len(columns), 1), DIM_BLOCK)]

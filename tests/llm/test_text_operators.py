@@ -434,3 +434,36 @@ def test_rates_that_miss_their_targets_are_reported(spark):
     frame = spark.createDataFrame(rows, "n bigint, a double, b double, c double")
     with pytest.warns(UserWarning, match="off its target"):
         mixing.solve_rates(frame, ["a", "b", "c"], "n", [0.9, 0.1, 0.0], steps=2)
+
+
+def test_given_columns_keep_their_values_whatever_their_names(spark):
+    """Columns called like the operators' own come back as they were, from both document filters."""
+    x = "one two three four five six seven eight nine ten"
+    frame = spark.createDataFrame([(1, x, "a", "b", "c"), (2, x + " !", "d", "e", "f"), (3, "quite another text of several words here", "g", "h", "i")], "doc_id bigint, text string, _doc string, mark string, row string")
+    kept = ngram_join.keep_one(frame)
+    assert kept.columns == frame.columns and sorted(map(tuple, kept.collect()))[0] == (1, x, "a", "b", "c") and kept.count() == 2
+    bench = spark.createDataFrame([(1, "another text of several words")], "item_id bigint, text string")
+    clean = decontaminate.drop_contaminated(frame.withColumnRenamed("mark", "_id_text"), bench)
+    assert sorted(r["_id_text"] for r in clean.collect()) == ["b", "e"] and clean.columns[3] == "_id_text"
+
+
+def test_conflicting_labels_have_an_order(spark):
+    """The labels of one id in any order of rows train the same model."""
+    texts = spark.createDataFrame([(i, f"text number {i} " + ("good words" if i % 2 else "bad words") * 5) for i in range(40)], "doc_id bigint, text string")
+    rows = [(i, i % 2, 0) for i in range(40)] + [(3, 0, 1), (5, 0, 0), (None, 1, 0), (7, None, 0)]
+    nets = []
+    for order in (rows, rows[::-1]):
+        labels = spark.createDataFrame(order, "doc_id bigint, quality int, toxic int").repartition(3)
+        nets.append(quality.fit(texts, labels))
+    assert all((nets[0][k] == nets[1][k]).all() for k in nets[0])
+
+
+def test_license_spans_count_words():
+    """What a span covers is a number of words, and a text of very many notices is chained in one pass."""
+    import time
+
+    words = {w: i for i, w in enumerate("permission is hereby granted free of charge to any person".split())}
+    template = list(words.values())
+    started = time.perf_counter()
+    top = license_scan.chain([(20 * i, len(template)) for i in range(20_000)], (template + [99] * (20 - len(template))) * 20_000, template, 3)
+    assert top[0] >= len(template) and time.perf_counter() - started < 20
