@@ -14,10 +14,12 @@ each that occurs more often, are opened into single strings, which are counted a
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from cohortloom.llm import textops as tx
 from cohortloom.llm.stored import written
 
 LENGTH, GRAM, GROUP, BAND = 200, 80, 32, 16
-_BLOCK = 1 << 22
+_BLOCK, _OUTPUT = 1 << 20, 1 << 21
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -177,8 +179,8 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor = table.column("anchor").to_numpy()
         bounds = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(anchor)]])
         low = 0
-        while low < len(bounds) - 1:  # about 4000 contexts at once
-            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + 4000)) - 1)
+        while low < len(bounds) - 1:  # about 1000 contexts at once
+            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + 1000)) - 1)
             part = table.slice(bounds[low], bounds[high] - bounds[low])
             low = high
             data, offsets = tx.byte_column(part.column("piece"))
@@ -235,32 +237,44 @@ def _covered(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "mark", F.col("start").alias("lo"), (F.col("start") + F.col("more") + LENGTH).alias("hi"))
 
 
+def _merged(lo: np.ndarray, hi: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(from, to, row) of the unions of overlapping or touching spans of each row."""
+    if not len(lo):
+        return lo, hi, row
+    order = np.lexsort((lo, row))
+    lo, hi, row = lo[order], hi[order], row[order]
+    wide = np.int64(max(int(hi.max()), 1) + 1)  # rows laid end to end, with a byte between them
+    reach = np.maximum.accumulate(hi + row * wide)
+    first = np.flatnonzero(np.concatenate([[True], lo[1:] + row[1:] * wide > reach[:-1]]))
+    last = np.concatenate([first[1:] - 1, [len(lo) - 1]])
+    return lo[first], reach[last] - row[last] * wide, row[first]
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of every text, in slices of about ``_OUTPUT`` bytes: one copy of a slice is made, its kept bytes."""
     for batch in batches:
-        removed, count, kept = [], [], []
-        for raw, spans in zip(batch.column("bytes"), batch.column("spans"), strict=True):
-            raw, pieces, gone, runs, at = raw.as_py(), [], 0, 0, 0
-            spans = sorted((s["lo"], s["hi"]) for s in spans.as_py() or [])
-            merged: list[list[int]] = []
-            for lo, hi in spans:
-                if merged and lo <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], hi)
-                else:
-                    merged.append([lo, hi])
-            for lo, hi in merged:
-                pieces.append(raw[at:lo])
-                gone, runs, at = gone + hi - lo, runs + 1, hi
-            pieces.append(raw[at:])
-            removed.append(gone)
-            count.append(runs)
-            kept.append(b"".join(pieces))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"), pa.array([len(x) for x in batch.column("bytes").to_pylist()], pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary()),
-            ],
-            ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
+        spans = batch.column("spans")
+        for first, end, data, offsets in tx.slices(batch.column("bytes"), _OUTPUT):
+            part = spans.slice(first, end - first)
+            row = np.repeat(np.arange(end - first), pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))
+            flat = part.flatten()
+            lo, hi, row = _merged(flat.field("lo").to_numpy(), flat.field("hi").to_numpy(), row)
+            edge = np.zeros(len(data) + 1, dtype=np.int8)  # merged spans of a text neither meet nor overlap
+            np.add.at(edge, offsets[row] + lo, 1)
+            np.add.at(edge, offsets[row] + hi, -1)
+            keep = np.cumsum(edge[:-1], dtype=np.int8) == 0
+            removed = np.bincount(row, weights=hi - lo, minlength=end - first).astype(np.int64)
+            left = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)])
+            kept = memoryview(data[keep])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id").slice(first, end - first), pa.array(np.diff(offsets)), pa.array(removed),
+                    pa.array(np.bincount(row, minlength=end - first).astype(np.int64)),
+                    pa.array([hashlib.sha256(kept[i:j]).hexdigest() for i, j in itertools.pairwise(left.tolist())], pa.string()),
+                    pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(kept)]).cast(pa.binary()),
+                ],
+                ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            )
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -297,23 +311,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def _with_shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes from each context's first start to its anchor, found again from its own bytes."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        data, offsets = tx.byte_column(batch.column("piece"))
-        prefix = tx.prefix_hashes(data)
-        shift = np.zeros(batch.num_rows, dtype=np.int64)
-        want = batch.column("anchor").to_numpy().view(np.uint64)
-        left = np.arange(batch.num_rows)
-        reach = np.diff(offsets) - GRAM
-        for k in range(int(reach.max()) + 1):
-            at = offsets[left] + k
-            same = tx.mix(tx.span_hashes(prefix, at, at + GRAM)) == want[left]
-            shift[left[same]] = k
-            left = left[~same & (reach[left] > k)]
-            if not len(left):
-                break
-        columns = [batch.column(c) for c in ("doc", "mark", "anchor", "m", "start", "more", "piece")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(shift)], ["doc", "mark", "anchor", "m", "start", "more", "piece", "shift"])
+        for first, end, data, offsets in tx.slices(batch.column("piece"), _OUTPUT):
+            part = batch.slice(first, end - first)
+            prefix = tx.prefix_hashes(data)
+            shift = np.zeros(part.num_rows, dtype=np.int64)
+            want = part.column("anchor").to_numpy().view(np.uint64)
+            left = np.arange(part.num_rows)
+            reach = np.diff(offsets) - GRAM
+            for k in range(int(reach.max()) + 1):
+                at = offsets[left] + k
+                same = tx.mix(tx.span_hashes(prefix, at, at + GRAM)) == want[left]
+                shift[left[same]] = k
+                left = left[~same & (reach[left] > k)]
+                if not len(left):
+                    break
+            columns = [part.column(c) for c in ("doc", "mark", "anchor", "m", "start", "more", "piece")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(shift)], ["doc", "mark", "anchor", "m", "start", "more", "piece", "shift"])
 
 
 def drop_repeated_strings(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,7 +340,7 @@ def drop_repeated_strings(documents: DataFrame, id_col: str = "doc_id", text_col
     rows = tx.bounded_batches(documents.select(
         F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"),
-    )).withColumn("mark", F.xxhash64("bytes"))
+    ), 8 << 20).withColumn("mark", F.xxhash64("bytes"))
     spans = repeated_spans(rows.select("doc", "mark", "bytes"))
     listed = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return (

@@ -33,9 +33,9 @@ TOKEN_BYTE[9:14] = TOKEN_BYTE[32] = False
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
+def bounded_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
     """Keep the Arrow batches of very long texts small in bytes."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
     return df
 
 
