@@ -372,9 +372,9 @@ def leave_one_out(counts: DataFrame, block: list[str], stratum: str, second_expe
     """
     names = ["first_total", "first_present", "second_total", "second_present"]
     totals = counts.groupBy(*block).agg(
-        F.count(F.lit(1)).alias("_weight"), *[F.sum(n).alias(f"_{n}") for n in names]
+        *[F.sum(n).alias(f"_{n}") for n in names]
     )
-    joined = join_unique(counts.filter(F.col(stratum) != ""), totals.drop("_weight"), block, how="inner")
+    joined = join_unique(counts.filter(F.col(stratum) != ""), totals, block, how="inner")
     rest = joined.select(*block, stratum, *[(F.col(f"_{n}") - F.col(n)).alias(n) for n in names])
     return stratum_gaps(rest, second_expected).select(
         *block,

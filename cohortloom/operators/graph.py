@@ -26,8 +26,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         rows = _around(edges)
     else:
         rows = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    lowest = rows.groupBy("a").agg(F.count(F.lit(1)).alias("_weight"), F.least(F.min("b"), F.col("a")).alias("_m"))
-    joined = join_unique(rows, lowest.drop("_weight"), ["a"], how="inner")
+    lowest = rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("_m"))
+    joined = join_unique(rows, lowest, ["a"], how="inner")
     if large:
         moved = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
     else:

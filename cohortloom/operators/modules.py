@@ -12,6 +12,7 @@ from cohortloom.session import cut_lineage
 
 SPAN_WIDTH = 1 << 12
 PREFIX_PARTS = 4096
+SPAN_WORDS = 8  # words of 64 entities in one row of a packed set
 
 
 def set_signatures(presence: DataFrame, feature: str, entity: str, direction: str) -> DataFrame:
@@ -311,7 +312,7 @@ def similar_pairs(
         .distinct()
     )
     distinct_sets = (
-        shared_counts(proposed, rows, feature, entity, direction)
+        shared_counts(proposed, packed_sets(rows, entity_numbers(rows, entity), feature, entity, direction), feature, direction)
         .filter((F.col("shared") >= min_shared) & (F.col("jaccard") >= min_jaccard))
         .withColumn("identical", F.lit(False))
     )
@@ -322,19 +323,50 @@ def similar_pairs(
     return distinct_sets.unionByName(same)
 
 
-def shared_counts(pairs: DataFrame, rows: DataFrame, feature: str, entity: str, direction: str) -> DataFrame:
-    """Exact shared-entity count and Jaccard index of given pairs (with size_a, size_b)."""
-    left = rows.select(direction, F.col(feature).alias("feature_a"), entity)
-    right = rows.select(direction, F.col(feature).alias("feature_b"), entity)
+def packed_sets(rows: DataFrame, numbers: DataFrame, feature: str, entity: str, direction: str) -> DataFrame:
+    """Every feature's entity set as bits: one row (direction, feature, _span, _w0 ..) per ``SPAN_WORDS`` words of 64 numbers.
+
+    Bits are set by a map-side ``bit_or``, so a feature with most rows is packed before it is shuffled.
+    """
+    number = F.col("_number")
+    word, bit = F.shiftright(number, 6).bitwiseAND(SPAN_WORDS - 1), number.bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    words = [F.coalesce(F.bit_or(F.when(word == k, one)), F.lit(0).cast("bigint")).alias(f"_w{k}") for k in range(SPAN_WORDS)]
+    return (
+        join_unique(rows.select(direction, feature, entity), numbers, [entity], how="inner")
+        .groupBy(direction, feature, F.floor(number / (64 * SPAN_WORDS)).alias("_span"))
+        .agg(*words)
+    )
+
+
+def entity_numbers(rows: DataFrame, entity: str) -> DataFrame:
+    """(entity, _number): dense numbers from 0, common entities first, so that what most sets hold shares few words."""
+    ranked = range_rank(key_weights(rows, [entity]), [], [F.desc("_weight"), F.asc(entity)], "_number")
+    return cut_lineage(ranked.select(entity, (F.col("_number") - 1).cast("bigint").alias("_number")))
+
+
+def common_members(pairs: DataFrame, packed: DataFrame, feature: str, direction: str, name: str) -> DataFrame:
+    """Given pairs with the exact number of entities that both hold; pairs without any may be missing.
+
+    The join has a row per pair and span of words that both sides use, not per entity.
+    """
+    words = [f"_w{k}" for k in range(SPAN_WORDS)]
+    left = packed.select(direction, F.col(feature).alias("feature_a"), "_span", *words)
+    right = packed.select(direction, F.col(feature).alias("feature_b"), "_span", *[F.col(w).alias(f"{w}b") for w in words])
+    both = sum((F.bit_count(F.col(w).bitwiseAND(F.col(f"{w}b"))) for w in words), F.lit(0)).cast("bigint")
     return (
         pairs.join(left, [direction, "feature_a"])
-        .join(right, [direction, "feature_b", entity])
-        .groupBy(direction, "feature_a", "feature_b", "size_a", "size_b")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .withColumn(
-            "jaccard",
-            F.col("shared").cast("double") / (F.col("size_a") + F.col("size_b") - F.col("shared")).cast("double"),
-        )
+        .join(right, [direction, "feature_b", "_span"])
+        .groupBy(*pairs.columns)
+        .agg(F.sum(both).alias(name))
+    )
+
+
+def shared_counts(pairs: DataFrame, packed: DataFrame, feature: str, direction: str) -> DataFrame:
+    """Exact shared-entity count and Jaccard index of given pairs (with size_a, size_b)."""
+    return common_members(pairs, packed, feature, direction, "shared").withColumn(
+        "jaccard",
+        F.col("shared").cast("double") / (F.col("size_a") + F.col("size_b") - F.col("shared")).cast("double"),
     )
 
 
@@ -390,18 +422,14 @@ def near_edges(
         .filter(F.least("size_a", "size_b") >= min_shared)
         .filter(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(min_jaccard - 1e-9))
     )
-    similar = shared_counts(proposed.drop("adjacent"), rows, feature, entity, direction).filter(
+    numbers = entity_numbers(rows, entity)
+    packed = packed_sets(rows, numbers, feature, entity, direction)
+    similar = shared_counts(proposed.drop("adjacent"), packed, feature, direction).filter(
         (F.col("shared") >= min_shared) & (F.col("jaccard") >= min_jaccard)
     )
     known = spots.select(direction, feature, entity).distinct()
-    ka = known.select(direction, F.col(feature).alias("feature_a"), entity)
-    kb = known.select(direction, F.col(feature).alias("feature_b"), entity)
-    placed_both = (
-        similar.select(direction, "feature_a", "feature_b")
-        .join(ka, [direction, "feature_a"])
-        .join(kb, [direction, "feature_b", entity])
-        .groupBy(direction, "feature_a", "feature_b")
-        .agg(F.count(F.lit(1)).alias("placed"))
+    placed_both = common_members(
+        similar.select(direction, "feature_a", "feature_b"), packed_sets(known, numbers, feature, entity, direction), feature, direction, "placed"
     )
     pair = [direction, "feature_a", "feature_b"]
     return (

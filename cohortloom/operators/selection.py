@@ -55,22 +55,20 @@ def selection_ledger(
     rows = df.withColumn("_entity", entity_key)
 
     pairs = rows.groupBy(pair_key).agg(
-        F.count(F.lit(1)).alias("_weight"),
         F.min_by(
             id_col, F.when(passed, F.struct((-F.col(score)).alias("s"), F.col(ordinal).alias("o")))
         ).alias("pair_winner"),
         F.min(F.when(passed, F.col(ordinal))).alias("_pair_first"),
     )
-    rows = join_unique(rows, pairs.drop("_weight"), [pair_key])
+    rows = join_unique(rows, pairs, [pair_key])
     pair_selected = passed & (F.col(id_col) == F.col("pair_winner"))
 
     entities = rows.groupBy("_entity").agg(
-        F.count(F.lit(1)).alias("_weight"),
         F.min_by(
             id_col, F.when(pair_selected, F.struct((-F.col(score)).alias("s"), F.col("_pair_first").alias("o")))
         ).alias("entity_winner"),
     )
-    rows = join_unique(rows, entities.drop("_weight"), ["_entity"])
+    rows = join_unique(rows, entities, ["_entity"])
     in_pair = F.coalesce(pair_selected, F.lit(False))
     in_entity = F.coalesce(in_pair & (F.col(id_col) == F.col("entity_winner")), F.lit(False))
     decision = (

@@ -28,22 +28,19 @@ def ancestor_closure(nodes: DataFrame, tips: DataFrame, max_rounds: int = 40) ->
     )
     key = ["panel", "ancestor"]
     for _ in range(max_rounds):
-        counted = closure.groupBy(*key).agg(F.count(F.lit(1)).alias("_weight"))
-        steps = jump.join(counted, key)
-        grown = join_unique(closure, steps.drop("_weight"), key, how="inner").select(
+        grown = join_unique(closure, jump, key, how="inner").select(
             "panel", "tip", F.col("_to").alias("ancestor"),
             (F.col("distance") + F.col("_len")).alias("distance"), (F.col("hops") + F.col("_hops")).alias("hops"),
         )
         closure = closure.unionByName(cut_lineage(grown))
-        arrivals = jump.groupBy("panel", F.col("_to").alias("ancestor")).agg(F.count(F.lit(1)).alias("_weight"))
         onward = jump.select(
             "panel", "ancestor", F.col("_to").alias("_next"), F.col("_len").alias("_nlen"), F.col("_hops").alias("_nhops")
-        ).join(arrivals, key)
+        )
         moved = jump.select(
             "panel", F.col("ancestor").alias("_origin"), F.col("_to").alias("ancestor"), "_len", "_hops"
         )
         jump = cut_lineage(
-            join_unique(moved, onward.drop("_weight"), key, how="inner").select(
+            join_unique(moved, onward, key, how="inner").select(
                 "panel", F.col("_origin").alias("ancestor"), F.col("_next").alias("_to"),
                 (F.col("_len") + F.col("_nlen")).alias("_len"), (F.col("_hops") + F.col("_nhops")).alias("_hops"),
             )
@@ -66,8 +63,7 @@ def nearest_tip(closure: DataFrame, query_tips: DataFrame, reference_tips: DataF
     closest = flagged.groupBy("panel", "ancestor").agg(
         F.min(F.struct(F.col("distance").alias("d"), F.col("ordinal").alias("o"), F.col("tip").alias("t"))).alias("_best")
     )
-    used = query.groupBy("panel", "ancestor").agg(F.count(F.lit(1)).alias("_weight"))
-    met = join_unique(query, closest.join(used, ["panel", "ancestor"]).drop("_weight"), ["panel", "ancestor"], how="inner")
+    met = join_unique(query, closest, ["panel", "ancestor"], how="inner")
     best = F.min(
         F.struct(
             (F.col("distance") + F.col("_best.d")).alias("d"), F.col("_best.o").alias("o"), F.col("_best.t").alias("t")
