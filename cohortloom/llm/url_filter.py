@@ -2,7 +2,8 @@
 
 The urls that a fixed rule judges are the labelled baskets: their tokens (host labels with their place, path and query words,
 shapes of numbers) plus one class token. Spark's FP-growth mines the frequent combinations; those with a class token whose
-support and confidence suffice become rules ``tokens -> class``. To match, each rule is filed under its rarest token (an
+support and confidence suffice become rules ``tokens -> class``. Tokens that stand in exactly the same baskets (the words of a
+shared long path) are one item, named by the first of them, so that they do not double the combinations with every word. To match, each rule is filed under its rarest token (an
 inverted index) and meets only urls that hold this token; its other tokens are then tested on the url's token set.
 """
 
@@ -63,8 +64,10 @@ def mine_rules(
     """(rule_tokens, verdict, support, confidence) from rows (tokens, verdict); empty if nothing is labelled.
 
     Items below the support cannot be in a rule, so they are struck from the baskets first: what is mined then depends on
-    the frequent tokens (at most tokens per url / support of them) and not on the number of hosts. A rule that adds tokens to a rule of
-    the same verdict with at least its confidence is pruned.
+    the frequent tokens (at most tokens per url / support of them) and not on the number of hosts. Tokens of one and the same row set
+    (equal counts and 128-bit digests of the rows) are mined as one item: a rule names the first of them, and ``alike`` holds, for each of
+    its tokens, all that any of them may stand in for. A rule that adds one token to a rule of the same verdict with at least its
+    confidence is pruned.
     """
     class_item = F.concat(F.lit("=:"), "verdict")
     baskets = cut_lineage(
@@ -73,11 +76,18 @@ def mine_rules(
         .select("row", F.explode("tokens").alias("token"))
     )
     urls = baskets.agg(F.countDistinct("row")).first()[0]
-    schema = "rule_tokens array<string>, verdict string, support double, confidence double"
+    schema = "rule_tokens array<string>, verdict string, support double, confidence double, alike array<array<string>>"
     if not urls:
         return labelled.sparkSession.createDataFrame([], schema)
-    frequent = baskets.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support * urls).select("token")
-    items = baskets.join(frequent, "token").groupBy("row").agg(F.collect_set("token").alias("items"))
+    rows = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), F.col("row"))).alias("y")
+    frequent = baskets.groupBy("token").agg(*rows).filter(F.col("n") >= min_support * urls)
+    is_class = F.startswith("token", F.lit("=:"))
+    folded = cut_lineage(
+        frequent.groupBy("n", "x", "y", F.when(is_class, F.col("token")).alias("class"))
+        .agg(F.min("token").alias("leader"), F.sort_array(F.collect_list("token")).alias("alike"))
+        .select("leader", "alike")
+    )
+    items = baskets.join(folded.select(F.col("leader").alias("token")), "token").groupBy("row").agg(F.collect_set("token").alias("items"))
     sets = cut_lineage(FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items.select("items")).freqItemsets)
     classes = F.filter("items", lambda x: F.startswith(x, F.lit("=:")))
     bodies = sets.filter(F.size(classes) == 0).select(F.sort_array("items").alias("body"), F.col("freq").alias("body_n"))
@@ -95,17 +105,28 @@ def mine_rules(
     )
     shorter = ruled.select(F.col("body").alias("less"), "verdict", F.col("confidence").alias("least"))
     useless = dropped.join(shorter, ["less", "verdict"]).filter("least >= confidence").select("body", "verdict").distinct()
-    return ruled.join(useless, ["body", "verdict"], "left_anti").select(F.col("body").alias("rule_tokens"), "verdict", "support", "confidence")
+    kept = ruled.join(useless, ["body", "verdict"], "left_anti")
+    named = kept.select("body", "verdict", F.explode("body").alias("leader")).join(folded, "leader").groupBy("body", "verdict").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("leader", "alike"))), lambda x: x["alike"]).alias("alike")
+    )
+    return kept.join(named, ["body", "verdict"]).select(F.col("body").alias("rule_tokens"), "verdict", "support", "confidence", "alike")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(key, verdict, confidence) for rows (key, tokens): the most confident rule whose tokens the url holds.
 
-    Ties go to higher support, then more tokens, then the first rule in order of its tokens and verdict.
+    Ties go to higher support, then more tokens, then the first rule in order of its tokens and verdict. Where the rules have ``alike``,
+    a token is held if any of those it names is.
     """
+    if "alike" in rules.columns:
+        known = rules.select(F.explode(F.arrays_zip("rule_tokens", "alike")).alias("z")).select(F.col("z.rule_tokens").alias("leader"), F.explode("z.alike").alias("token"))
+    else:
+        known = rules.select(F.explode("rule_tokens").alias("leader")).withColumn("token", F.col("leader"))
+    # at most the frequent tokens of the mining
+    held = urls.select("key", F.explode("tokens").alias("token")).join(F.broadcast(known.distinct()), "token")
+    urls = held.groupBy("key").agg(F.collect_set("leader").alias("tokens"))
     shown = urls.select("key", "tokens", F.explode("tokens").alias("token"))
-    used = rules.select(F.explode("rule_tokens").alias("token")).distinct()
-    counts = shown.join(F.broadcast(used), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = shown.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rare = (
         rules.withColumn("token", F.explode("rule_tokens"))
         .join(counts, "token")

@@ -104,3 +104,15 @@ def test_rule_of_five_tokens_is_kept(spark):
     frame = spark.createDataFrame([(list(t), v) for t, v in rows], "tokens array<string>, verdict string")
     rules = [(r.rule_tokens, r.verdict, r.confidence) for r in url_filter.mine_rules(frame).collect()]
     assert rules == [(list("abcde"), "block", 1.0)]
+
+
+def test_words_of_one_shared_path_are_one_item(spark):
+    """Thirty words that always stand together are mined as one item and any of them matches its rule."""
+    path = [f"w{i:02d}" for i in range(30)]
+    rows = [([*path, "x"], "block")] * 60 + [(path, "block")] * 60 + [(["y"], "allow")] * 80
+    frame = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    rules = url_filter.mine_rules(frame).cache()
+    got = {(tuple(r.rule_tokens), r.verdict): (r.confidence, [list(a) for a in r.alike]) for r in rules.collect()}
+    assert got == {(("w00",), "block"): (1.0, [path]), (("x",), "block"): (1.0, [["x"]]), (("y",), "allow"): (1.0, [["y"]])}
+    urls = spark.createDataFrame([("a", ["w17"]), ("b", ["z"]), ("c", ["y"]), ("d", [])], "key string, tokens array<string>")
+    assert {(r.key, r.mined) for r in url_filter.match_rules(urls, rules).collect()} == {("a", "block"), ("c", "allow")}
