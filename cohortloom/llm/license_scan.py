@@ -9,6 +9,7 @@ template counts when its spans cover enough of it.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from cohortloom.llm import textops as tx
 
 #: Phrase, label.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Opening sentences of public license notices: label, words.
+#: Opening sentences of public license notices, then whole public license texts: label, words.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
      "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
@@ -41,6 +42,43 @@ TEMPLATES = (
     ("public-domain", "this work is dedicated to the public domain under cc0 1 0 universal"),
     ("reserved", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means "
      "without the prior written permission of the publisher"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+     "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+     "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to "
+     "the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial "
+     "portions of the software the software is provided as is without warranty of any kind express or implied including but not limited "
+     "to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or "
+     "copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising "
+     "from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+     "conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the "
+     "following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+     "following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the "
+     "copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+     "specific prior written permission this software is provided by the copyright holders and contributors as is and any express or "
+     "implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose "
+     "are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special "
+     "exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or "
+     "profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort "
+     "including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such "
+     "damage"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
+     "that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author "
+     "disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event "
+     "shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss "
+     "of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with "
+     "the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any "
+     "damages arising from the use of this software permission is granted to anyone to use this software for any purpose including "
+     "commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this "
+     "software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product "
+     "an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly "
+     "marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any "
+     "source distribution"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+     "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in "
+     "writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+     "either express or implied see the license for the specific language governing permissions and limitations under the license"),
 )
 MIN_MATCH, MAX_GAP, MIN_COVER = 4, 6, 0.6
 
@@ -115,8 +153,8 @@ def maximal_matches(automaton: SuffixAutomaton, sequence: list[int], least: int
     return out
 
 
-def chain(matches: list[tuple[int, int]], sequence: list[int], template: list[int], max_gap: int = MAX_GAP) -> tuple[int, int, int]:
-    """(words covered, start, end) of the best chain of matches inside one template.
+def chains(matches: list[tuple[int, int]], sequence: list[int], template: list[int], max_gap: int = MAX_GAP) -> list[tuple[int, int, int]]:
+    """(words covered, start, end) of the best chains of matches inside one template that do not overlap in the document, by start.
 
     Matches are placed at every position where the template holds them; a chain rises in both the document and the template, and skips
     at most ``max_gap`` words of either between two matches.
@@ -126,7 +164,7 @@ def chain(matches: list[tuple[int, int]], sequence: list[int], template: list[in
         run = sequence[start : start + length]
         placed += [(start, length, at) for at in range(len(template) - length + 1) if template[at : at + length] == run]
     best: list[tuple[int, int]] = []
-    top = (0, 0, 0)
+    tops: dict[int, tuple[int, int, int]] = {}  # the best chain from each start
     for i, (start, length, at) in enumerate(placed):
         gain, begin = length, start
         for j in range(i - 1, -1, -1):
@@ -136,9 +174,19 @@ def chain(matches: list[tuple[int, int]], sequence: list[int], template: list[in
             if 0 <= start - (s + n) <= max_gap and 0 <= at - (a + n) <= max_gap and g + length > gain:
                 gain, begin = g + length, b
         best.append((gain, begin))
-        if gain > top[0]:
-            top = (gain, begin, start + length)
-    return top
+        if gain > tops.get(begin, (0, 0, 0))[0]:
+            tops[begin] = (gain, begin, start + length)
+    taken: list[tuple[int, int, int]] = []  # (start, end, covered), in order
+    for gain, begin, end in sorted(tops.values(), key=lambda c: (-c[0], c[1])):
+        at = bisect.bisect(taken, (begin, end, gain))
+        if (at == 0 or taken[at - 1][1] <= begin) and (at == len(taken) or end <= taken[at][0]):
+            taken.insert(at, (begin, end, gain))
+    return [(gain, begin, end) for begin, end, gain in taken]
+
+
+def chain(matches: list[tuple[int, int]], sequence: list[int], template: list[int], max_gap: int = MAX_GAP) -> tuple[int, int, int]:
+    """(words covered, start, end) of the best of the chains, the earliest of equal ones; zeros without any."""
+    return max(chains(matches, sequence, template, max_gap), key=lambda c: c[0], default=(0, 0, 0))
 
 
 def _scan(phrases, templates):
@@ -171,8 +219,7 @@ def _scan(phrases, templates):
                 else:
                     gathered.append([match])
             for stretch in gathered:
-                covered, begin, end = chain(stretch, listed, coded[number])
-                if covered:
+                for covered, begin, end in chains(stretch, listed, coded[number]):
                     spans.setdefault(number, []).append((begin, covered, end))
         return spans
 

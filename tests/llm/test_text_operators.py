@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -467,3 +468,18 @@ def test_license_spans_count_words():
     started = time.perf_counter()
     top = license_scan.chain([(20 * i, len(template)) for i in range(20_000)], (template + [99] * (20 - len(template))) * 20_000, template, 3)
     assert top[0] >= len(template) and time.perf_counter() - started < 20
+
+
+def test_license_scan_of_whole_and_long_texts(spark):
+    """Whole licence texts with changed words keep their label; thousands of notices in one text take time in proportion."""
+    bsd = max((t for label, t in license_scan.TEMPLATES if label == "bsd"), key=len).split()
+    changed = [w if i % 60 != 30 else "regents" for i, w in enumerate(bsd)]
+    notice = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated. "
+    rows = [(1, "intro " + " ".join(changed) + " outro"), (2, notice * 16_000), (3, " ".join(bsd[:40]))]
+    start = time.monotonic()
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert time.monotonic() - start < 120
+    assert got[1].labels == "bsd" and 0.9 < got[1].score < 1
+    assert max(s.covered for s in got[1].spans) > 0.9 * len(bsd)
+    assert got[2].n_words == 16_000 * len(notice.split()) and len(got[2].spans) >= 16_000
+    assert got[3].labels == "bsd" and got[3].score == 1.0  # its opening sentence stands whole
