@@ -2,7 +2,8 @@
 
 The automaton holds every run of words of every template and is built once per run from the template texts (a small
 parameter). Each document streams through it: at every word the automaton gives the longest run, ending there, that some
-template holds. Words that no template uses end every run, so only stretches of template words are walked. Long matches
+template holds. Words that no template uses end every run, so only stretches of template words are walked. A long match is
+then read against each template that shares a part of it, so a short notice inside a longer text is found too. Long matches
 are then chained: matches of one template in rising order and with small gaps make one covered template span, and a
 template counts when its spans cover enough of it.
 """
@@ -10,6 +11,7 @@ template counts when its spans cover enough of it.
 from __future__ import annotations
 
 import bisect
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,9 +197,19 @@ def _scan(phrases, templates):
     order = np.argsort(known)
     known, code = known[order], np.array(list(vocabulary.values()), dtype=np.int64)[order]
     wanted = [(np.array([tx.word_hash(w) for w in phrase.split()], dtype=np.uint64), label) for phrase, label in phrases]
-    holders = {v: {n for n, t in enumerate(coded) if v in t} for v in vocabulary.values()}
+    own, holders = [], {}  # an automaton for each template, and the templates of every run of MIN_MATCH words
+    for number, sequence in enumerate(coded):
+        own.append(SuffixAutomaton())
+        own[-1].add(sequence, number)
+        for i in range(len(sequence) - MIN_MATCH + 1):
+            holders.setdefault(tuple(sequence[i : i + MIN_MATCH]), set()).add(number)
+
+    def inside(run: tuple[int, ...]) -> list[tuple[int, int, int]]:
+        """(template, start, length) of what each template holds of a run that at least one of them holds whole."""
+        numbers = set().union(*(holders.get(run[i : i + MIN_MATCH], ()) for i in range(len(run) - MIN_MATCH + 1)))
+        return [(number, *match) for number in sorted(numbers) for match in maximal_matches(own[number], list(run))]
 
-    def matched(ids: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+    def matched(ids: np.ndarray, inside) -> dict[int, list[tuple[int, int, int]]]:
         """Spans (first word, words covered, end) by template, of one document's word codes (-1 for unknown words)."""
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (ids >= 0).astype(np.int8), [0]])))
         found: dict[int, list[tuple[int, int]]] = {}
@@ -206,9 +218,8 @@ def _scan(phrases, templates):
                 continue
             sequence = ids[low:high].tolist()
             for start, length in maximal_matches(automaton, sequence):
-                run = sequence[start : start + length]
-                for number in set.intersection(*(holders[v] for v in run)):
-                    found.setdefault(number, []).append((int(low) + start, length))
+                for number, ahead, part in inside(tuple(sequence[start : start + length])):
+                    found.setdefault(number, []).append((int(low) + start + ahead, part))
         listed = ids.tolist() if found else []
         spans: dict[int, list[tuple[int, int, int]]] = {}
         for number, matches in found.items():
@@ -224,6 +235,7 @@ def _scan(phrases, templates):
         return spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = functools.lru_cache(maxsize=4096)(inside)  # runs recur
         for batch in batches:
             for first, end, data, offsets in tx.slices(batch.column("_text")):
                 rows = end - first
@@ -255,7 +267,7 @@ def _scan(phrases, templates):
                 score, labels = np.zeros(rows), [set(x) for x in base]
                 spans: list[list[dict]] = [[] for _ in range(rows)]
                 for r in look:
-                    for number, found in matched(ids[cuts[r] : cuts[r + 1]]).items():
+                    for number, found in matched(ids[cuts[r] : cuts[r + 1]], kept).items():
                         for begin, covered, stop in found:
                             cover = covered / len(coded[number])
                             score[r] = max(score[r], cover)

@@ -479,7 +479,7 @@ def test_license_scan_of_whole_and_long_texts(spark):
     start = time.monotonic()
     got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert time.monotonic() - start < 120
-    assert got[1].labels == "bsd" and 0.9 < got[1].score < 1
-    assert max(s.covered for s in got[1].spans) > 0.9 * len(bsd)
+    assert got[1].labels == "bsd" and got[1].score == 1.0  # its opening sentence stands whole, the text only in part
+    assert 0.9 * len(bsd) < max(s.covered for s in got[1].spans) < len(bsd)
     assert got[2].n_words == 16_000 * len(notice.split()) and len(got[2].spans) >= 16_000
     assert got[3].labels == "bsd" and got[3].score == 1.0  # its opening sentence stands whole
