@@ -52,9 +52,7 @@ def _tree(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 )
 def tree_nearest(t: Tables) -> DataFrame:
     nodes, query_tips, reference = _tree(t)
-    both = query_tips.select("panel", "node").unionByName(reference.select("panel", "node"))
-    closure = tree.ancestor_closure(nodes, both)
-    return tree.nearest_tip(closure, query_tips, reference).withColumn("path_length", F.round("path_length", 6))
+    return tree.nearest_tip(tree.ladder(nodes), query_tips, reference).withColumn("path_length", F.round("path_length", 6))
 
 
 _MRCA_SQL = (
@@ -76,8 +74,7 @@ f as (select m.*, (select count(*) from q where q.panel = m.panel and (m.nn > 1
 )
 def tree_mrca(t: Tables) -> DataFrame:
     nodes, query_tips, reference = _tree(t)
-    both = query_tips.select("panel", "node").unionByName(reference.select("panel", "node"))
-    return tree.label_monophyly(tree.ancestor_closure(nodes, both), query_tips, reference, nodes)
+    return tree.label_monophyly(tree.ladder(nodes), query_tips, reference, nodes)
 
 
 @query(
@@ -88,11 +85,10 @@ def tree_mrca(t: Tables) -> DataFrame:
 )
 def tree_labels_inside(t: Tables) -> DataFrame:
     nodes, query_tips, reference = _tree(t)
-    both = query_tips.select("panel", "node").unionByName(reference.select("panel", "node"))
-    closure = tree.ancestor_closure(nodes, both)
-    shared = tree.common_ancestors(closure, query_tips, nodes).filter("n_tips > 1")
+    climbed = tree.ladder(nodes)
+    shared = tree.common_ancestors(climbed, query_tips, nodes).filter("n_tips > 1")
     labelled = reference.withColumn("label", F.concat(F.lit("k"), F.col("ordinal") % 3))
-    return tree.reference_labels_inside(closure, shared, labelled)
+    return tree.reference_labels_inside(climbed, shared, labelled)
 
 
 @query(
