@@ -9,6 +9,7 @@ from cohortloom.functions.text import first_token, mate_key
 from cohortloom.operators.joins import mate_verdict
 from cohortloom.operators.skew import carry_before
 from cohortloom.session import cut_lineage
+from cohortloom.sources.read_records import numbered_records
 from cohortloom.sources.tables import with_path
 
 
@@ -47,23 +48,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, position, header, seq, qual): 4-line records by 0-based position.
 
-    A file whose line count is not a multiple of four is an error. Compressed files are read by one
+    Large plain files are read by many tasks (``read_records``). A file whose lines do not form whole records is an error. Compressed files are read by one
     task each, so conversion is parallel over files; store the result as parquet and read that.
     """
-    lines = numbered_lines(spark, path).withColumns(
-        {"position": F.floor(F.col("line_no") / 4).cast("bigint"), "_part": (F.col("line_no") % 4).cast("int")}
-    )
-
-    def part(i: int):
-        return F.max(F.when(F.col("_part") == i, F.col("value")))
-
-    records = lines.groupBy("file_path", "position").agg(
-        part(0).alias("header"), part(1).alias("seq"), part(3).alias("qual"), F.count(F.lit(1)).alias("_n")
-    )
-    whole = F.when(F.col("_n") == 4, F.col("header")).otherwise(
-        F.raise_error(F.concat(F.lit("incomplete record in "), F.col("file_path")))
-    )
-    return records.select("file_path", "position", whole.alias("header"), "seq", "qual")
+    return numbered_records(spark, path)
 
 
 def count_records(fastq: DataFrame) -> DataFrame:
