@@ -4,8 +4,9 @@ Domains come from the labelled table: ``toxic``, ``low`` (quality 0) and ``high`
 punctuation runs, trained on a bounded sample of labelled rows, gives every document a posterior over them. A document of n tokens
 adds n * posterior to the domains' expected tokens when its rate is one. Rates are nonnegative and bring the expected
 totals as near (in least squares) to the targets as they can, found from rate one by projected gradient descent. A step needs
-the domain totals only (one sum over documents per domain); the rate of a document follows from the steps' residuals, so
-no rate is stored or shuffled and no document reaches the driver.
+the domain totals only; the rate of a document follows from the steps' residuals, so no rate is stored or shuffled and no
+document reaches the driver. Spark sums all documents into a bounded grid of posteriors, on which most steps are taken; the totals are then
+checked, and where needed mended by further steps, as sums over the documents themselves.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from cohortloom.session import cut_lineage
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.9, "low": 0.1, "toxic": 0.0}
-SAMPLE_ROWS, BUCKETS, FEATURES, EPOCHS, STEPS, TOLERANCE = 4000, 1 << 18, 600, 300, 20, 1e-4
+SAMPLE_ROWS, BUCKETS, FEATURES, EPOCHS = 4000, 1 << 18, 600, 300
+STEPS, PATIENCE, EXACT_STEPS, TOLERANCE, CELLS = 1500, 200, 20, 1e-4, 50_000
 _MARKS = tx.TOKEN_BYTE & ~tx.WORD_BYTE
 
 
@@ -137,49 +139,90 @@ def domain_posteriors(documents: DataFrame, model: dict[str, np.ndarray], keep:
     return chosen.mapInArrow(_masses(model), f"{fields}, n_tokens bigint, " + ", ".join(f"p_{d} double" for d in DOMAINS))
 
 
+def fold(rows: DataFrame, columns: list[str], weight: str, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean posteriors, weights, weighted cross products) of the cells of a grid over the posteriors, summed over all rows.
+
+    A cell is named by the largest posterior's place and the levels of the others, by their fourth roots: fine near zero,
+    where a rate falls from one to nothing within a narrow range of a posterior. With m levels that is at most k * (m + 1)**(k - 1) cells, and m is the
+    largest that keeps this within ``cells``, however many rows there are. Sums inside a cell are exact, so only
+    what lies within a cell is unknown.
+    """
+    k = len(columns)
+    levels = int((cells / k) ** (1 / max(k - 1, 1))) - 1
+    largest = F.array_position(F.array(*columns), F.greatest(*columns)) if k > 1 else F.lit(1)
+    keys = [F.when(largest == i + 1, -1).otherwise(F.floor(F.pow(F.col(c), F.lit(0.25)) * levels)).alias(f"k{i}") for i, c in enumerate(columns)]
+    sums = [F.sum(F.col(weight) * F.col(c)).alias(f"s{i}") for i, c in enumerate(columns)]
+    crossed = [F.sum(F.col(weight) * F.col(columns[i]) * F.col(columns[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
+    got = rows.filter(F.col(weight) > 0).groupBy(*keys).agg(F.sum(weight).alias("n"), *sums, *crossed).collect()
+    got.sort(key=lambda r: tuple(r[f"k{i}"] for i in range(k)))
+    n = np.array([r["n"] for r in got], dtype=np.float64)
+    means = np.array([[r[f"s{i}"] for i in range(k)] for r in got]).reshape(-1, k) / n[:, None]
+    gram = np.array([[sum(r[f"g{min(i, j)}_{max(i, j)}"] for r in got) for j in range(k)] for i in range(k)])
+    return means, n, gram
+
+
 def solve_rates(rows: DataFrame, columns: list[str], weight: str, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
     """Residual weights of the steps, for ``walk``, from rows of posteriors ``columns`` and token counts ``weight``.
 
     Steps are taken in the metric that weighs a document by its tokens, so rates follow the posteriors and not the lengths.
     Residuals are whitened by the domains' Gram matrix, which makes step length one safe and, while no rate meets zero,
-    one step exact. From the second step on, steps carry momentum (the accelerated form of projected gradient descent). Stops when no domain is off by more than ``tolerance`` of all tokens, or after ``steps``, with a warning that says how far off it is.
+    one step exact. From the second step on, steps carry momentum (the accelerated form of projected gradient descent).
+
+    The first ``steps`` (at most) run on the folded posteriors of all rows. They end when no domain is off by more than
+    half of ``tolerance`` of all tokens, or when ``PATIENCE`` steps have brought no domain nearer by a twentieth of it (targets may be out of reach of
+    nonnegative rates). The totals are then summed over the rows themselves, and while they are off by more than ``tolerance`` beyond
+    what the folded ones were, up to ``EXACT_STEPS`` more steps follow on all rows. A warning says how far off the totals stay, if they do.
     """
     k = len(columns)
-    sums = [F.sum(F.col(weight) * F.col(c)).alias(f"s{i}") for i, c in enumerate(columns)]
-    crossed = [F.sum(F.col(weight) * F.col(columns[i]) * F.col(columns[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    first = rows.agg(*sums, *crossed).first()
-    total = sum(first[f"s{i}"] or 0.0 for i in range(k))
+    p, n, gram = fold(rows, columns, weight)
+    total = float(n.sum())
     if not total:
         return []
-    gram = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
-    values, vectors = np.linalg.eigh(gram)
+    values, vectors = np.linalg.eigh(gram / total)
     inverse = vectors @ np.diag(np.where(values > values.max() * 1e-9, 1 / np.maximum(values, 1e-300), 0)) @ vectors.T
     aim = np.array(targets)
-    shares = np.array([first[f"s{i}"] for i in range(k)]) / total
-    now = ahead = shares
     history: list[list[float]] = []
     pace = 1.0
-    for _ in range(steps):
-        if np.abs(now - aim).max() <= tolerance:
-            break
+
+    def step(ahead: np.ndarray) -> None:
+        nonlocal pace
         onward = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         history.append([*(inverse @ (ahead - aim)).tolist(), (pace - 1) / onward])
         pace = onward
+
+    share = p * (n / total)[:, None]
+    rate = point = np.ones(len(n))
+    now = ahead = share.sum(0)
+    offs = [float(np.abs(now - aim).max())]
+    while len(history) < steps and offs[-1] > tolerance / 2 and (len(offs) <= PATIENCE or min(offs[:-PATIENCE]) - min(offs[-PATIENCE:]) > tolerance / 20):
+        step(ahead)
+        rate, point = _stepped(p, rate, point, history[-1])
+        now, ahead = share.T @ rate, share.T @ point
+        offs.append(float(np.abs(now - aim).max()))
+    for extra in range(EXACT_STEPS + 1):
         sums_of = rows.select(weight, *columns).mapInArrow(_totals(history, weight, columns), "slot int, value double")
         got = {r["slot"]: r["value"] for r in sums_of.groupBy("slot").agg(F.sum("value").alias("value")).collect()}
         now, ahead = (np.array([got[base + i] for i in range(k)]) / total for base in (0, k))
-    off = float(np.abs(now - aim).max())
+        off = float(np.abs(now - aim).max())
+        if off <= max(tolerance, offs[-1] + tolerance) or extra == EXACT_STEPS:
+            break
+        step(ahead)
     if off > tolerance:
         warnings.warn(f"after {len(history)} steps a domain is off its target by {off:.6f} of all tokens; more steps may bring it nearer", stacklevel=2)
     return history
 
 
+def _stepped(p: np.ndarray, rate: np.ndarray, point: np.ndarray, taken: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    *h, momentum = taken
+    onward = np.maximum(0.0, point - p @ np.array(h))
+    return onward, onward + momentum * (onward - rate)
+
+
 def walk(p: np.ndarray, history: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
     """(rates, points with momentum) of rows of posteriors after the recorded steps, from rate one."""
     rate = point = np.ones(len(p))
-    for *h, momentum in history:
-        before, rate = rate, np.maximum(0.0, point - p @ np.array(h))
-        point = rate + momentum * (rate - before)
+    for taken in history:
+        rate, point = _stepped(p, rate, point, taken)
     return rate, point
 
 

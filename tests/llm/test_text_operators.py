@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import time
+import warnings
 import zlib
 from collections import Counter, defaultdict
 
@@ -430,6 +431,34 @@ def test_projected_gradient_meets_targets(spark):
         assert np.abs((p * n[:, None]).T @ rate / n.sum() - aim).max() < near
 
 
+def test_rates_near_a_target_out_of_reach(spark):
+    """With a target out of reach, the totals come nearer than 3,000 plain steps on every row take them."""
+    rng = np.random.default_rng(11)
+    p = rng.dirichlet([2.0, 0.4, 0.4], 3000)
+    n = rng.integers(1, 400, 3000)
+    frame = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p)], "n bigint, a double, b double, c double")
+    aim = np.array([0.9, 0.1, 0.0])
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        history = mixing.solve_rates(frame, ["a", "b", "c"], "n", aim.tolist())
+    got = np.array([r.rate for r in mixing.with_rates(frame, ["a", "b", "c"], history).collect()])
+    weight = n / n.sum()
+    rate, slope = np.ones(len(n)), p @ np.linalg.inv((p * weight[:, None]).T @ p)
+    for _ in range(3000):
+        rate = np.maximum(0, rate - slope @ ((p * weight[:, None]).T @ rate - aim))
+    off, best = (np.abs((p * weight[:, None]).T @ x - aim).max() for x in (got, rate))
+    assert got.min() >= 0 and off < min(best, 1.5e-3)
+
+
+def test_the_grid_of_posteriors_is_bounded_and_keeps_all_sums(spark):
+    rng = np.random.default_rng(4)
+    p, n = rng.dirichlet([0.5] * 3, 2000), rng.integers(0, 9, 2000)
+    frame = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p)], "n bigint, a double, b double, c double")
+    means, weights, gram = mixing.fold(frame, ["a", "b", "c"], "n", cells=100)
+    assert len(weights) <= 100 and weights.sum() == n.sum()
+    assert np.allclose((means * weights[:, None]).sum(0), (p * n[:, None]).sum(0)) and np.allclose(gram, (p * n[:, None]).T @ p)
+
+
 def test_rates_that_miss_their_targets_are_reported(spark):
     rows = [(100, 0.8, 0.1, 0.1), (80, 0.3, 0.5, 0.2), (60, 0.2, 0.1, 0.7)]
     frame = spark.createDataFrame(rows, "n bigint, a double, b double, c double")
