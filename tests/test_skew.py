@@ -243,3 +243,18 @@ def test_plans_hold_no_cross_join(spark, sf_dir):
     for name, fn in QUERIES.items():
         plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_evidence_row_counts_all_rows_of_a_supplier(spark, tmp_path):
+    """A supplier of 150 good rows is counted whole."""
+    from cohortloom.plans import QUERIES
+
+    lines = spark.range(150).select(
+        F.col("id").alias("l_orderkey"), F.lit(2).alias("l_linenumber"), F.lit(1).cast("bigint").alias("l_suppkey"), F.lit(30.0).alias("l_quantity"),
+        F.lit(0.05).alias("l_discount"), F.when(F.col("id") < 90, F.lit("A")).otherwise(F.lit("R")).alias("l_returnflag"),
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select 1L s_suppkey, 5.0D s_acctbal, 3 s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sql("select 3 n_nationkey, 'X' n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    got = QUERIES["evidence_row"](spark, str(tmp_path)).collect()
+    assert [(r.A_rows, r.R_rows, r.a_leads) for r in got] == [(90, 60, True)]
