@@ -69,9 +69,9 @@ def metric_files(t: Tables) -> DataFrame:
         F.concat_ws("__", F.col("s_suppkey"), F.col("n_name")).alias("condition"), F.col("s_acctbal").cast("string").alias("value")
     )
     spark, path = _folder(rows, "metrics")
-    rows.repartition("condition").write.partitionBy("condition").option("sep", "\t").option("header", "true").csv(path)
-    read = tables.read_one_row_files(spark, f"{path}/condition=*", ["value"])
-    named = tables.path_columns(read, r"condition=(.+?)__([^/]+)/", ["sample", "route"])
+    sinks.write_metric_files(rows, path, "condition", "value")
+    read = tables.read_metric_files(spark, path, ["value"])
+    named = tables.path_columns(read, r"^(.+?)__(.+)$", ["sample", "route"], path="condition")
     return named.select("sample", "route", number("value").alias("value"))
 
 

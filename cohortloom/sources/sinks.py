@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.fixed_values import FASTA_WIDTH
 from cohortloom.session import cut_lineage
+from cohortloom.sources.read_records import _open_folder
 
 
 def write_tsv(df: DataFrame, path: str, fields: list[str] | None = None, order: list[str] | None = None) -> None:
@@ -21,6 +25,45 @@ def write_tsv(df: DataFrame, path: str, fields: list[str] | None = None, order:
     ).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
+def write_metric_files(df: DataFrame, path: str, condition: str, value: str, folders: int = 256) -> None:
+    """One headered file per condition, ``path``/<folder>/<condition, url-encoded>.tsv, written where the rows lie.
+
+    Tasks write the files themselves: a partitioned Spark write makes a folder and a task folder per condition and renames each.
+    A condition's rows meet in one task, so a condition with several rows is one file of several rows.
+    """
+    spread = F.lpad(F.hex(F.pmod(F.crc32(F.col(condition).cast("binary")), F.lit(folders))), 2, "0")
+    place = F.concat(spread, F.lit("/"), F.url_encode(condition), F.lit(".tsv"))
+    rows = df.select(place.alias("place"), F.coalesce(F.col(value).cast("string"), F.lit("")).alias("value"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _open_folder(path)
+        made: set[str] = set()
+
+        def put(file: str, lines: list[str]) -> None:
+            folder = file.split("/")[0]
+            if folder not in made:
+                system.create_dir(f"{root}/{folder}", recursive=True)
+                made.add(folder)
+            with system.open_output_stream(f"{root}/{file}") as out:
+                quoted = (x if x and not any(c in x for c in '"\t\r\n') else '"' + x.replace('"', '""') + '"' for x in lines)
+                out.write("".join(f"{x}\n" for x in (value, *quoted)).encode())
+
+        now, held, files = None, [], 0
+        for batch in batches:
+            for file, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if file != now and held:
+                    put(now, held)
+                    held, files = [], files + 1
+                now = file
+                held.append(line)
+        if held:
+            put(now, held)
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    rows.repartition("place").sortWithinPartitions("place").mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+
+
 def fasta_text(name: Column, sequence: Column, width: int = FASTA_WIDTH) -> Column:
     """One record as text: header line, then the sequence in lines of a fixed width."""
     wrapped = F.rtrim(F.regexp_replace(sequence, f"(.{{{width}}})", "$1\n"))

@@ -66,6 +66,20 @@ def read_one_row_files(spark: SparkSession, path: str, names: list[str], verify:
     return df
 
 
+def read_metric_files(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """(file_path, condition, names) of the one-row files below a folder, each named by its condition and read once.
+
+    A file with several rows is an error that the result raises. The folder is listed as one tree, not path by path.
+    """
+    reader = _plain(spark.read, True).schema(text_schema(names)).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tsv")
+    counted = with_path(reader.csv(path)).groupBy("file_path").agg(F.count(F.lit(1)).alias("_n"), *[F.first(n).alias(n) for n in names])
+    several = F.raise_error(F.concat(F.lit("one row per metric file: "), F.col("file_path"))).cast("string")
+    stem = F.regexp_extract("file_path", r"([^/]+)\.tsv$", 1)
+    # the name was encoded on writing, and the path of a file is given as a URI
+    condition = F.url_decode(F.url_decode(stem))
+    return counted.select("file_path", F.when(F.col("_n") == 1, condition).otherwise(several).alias("condition"), *names)
+
+
 def path_columns(df: DataFrame, pattern: str, names: list[str], path: str = "file_path") -> DataFrame:
     """Columns from the groups of a pattern found in the path; a path that does not match is an error."""
     p = F.col(path)

@@ -110,6 +110,19 @@ def test_manifest_of_large_and_nested_files(spark, tmp_path):
         tables.file_manifest(spark, str(tmp_path / "nothing")).collect()
 
 
+def test_metric_files_by_condition(spark, tmp_path):
+    """Names with blanks, percent and plus signs come back; one file per condition, no folder per condition; two rows are an error."""
+    rows = [(f"{i}__A {i}+%2F/é", None if i == 7 else f"{i}.5") for i in range(600)]
+    df = spark.createDataFrame(rows, "condition string, value string")
+    sinks.write_metric_files(df, str(tmp_path / "m"), "condition", "value")
+    assert len(list((tmp_path / "m").iterdir())) <= 256 and len(list((tmp_path / "m").rglob("*.tsv"))) == 600
+    got = tables.read_metric_files(spark, str(tmp_path / "m"), ["value"])
+    assert sorted(map(str, got.select("condition", "value").collect())) == sorted(map(str, df.collect()))
+    sinks.write_metric_files(df.union(df.limit(1)), str(tmp_path / "two"), "condition", "value")
+    with pytest.raises(Exception, match="one row per metric file"):
+        tables.read_metric_files(spark, str(tmp_path / "two"), ["value"]).collect()
+
+
 def test_burden_with_state_over_restarts(spark, tmp_path):
     """Three runs of the stream over one folder give the batch rows each time; a batch that runs again changes nothing."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.STATE_STORE)
