@@ -179,6 +179,44 @@ def test_idle_keys_lose_their_state():
     assert not handle.depths
 
 
+def test_a_batch_costs_a_key_few_state_writes():
+    """Of 5,000 depths in two pieces, each batch reads the state once and writes it once a piece; sums and median are exact."""
+    import numpy as np
+    import pandas as pd
+
+    class Store(dict):
+        calls = 0
+
+        def iterator(self):
+            self.calls += 1
+            return iter(list(self.items()))
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+    class Handle:
+        depths = Store()
+
+        def getMapState(self, *_):
+            return self.depths
+
+    processor = state.BurdenState(0)
+    processor.init(Handle())
+    rows = pd.DataFrame({"depth": np.arange(5_000), "positions": 2, "callable": (np.arange(5_000) >= 20).astype(int), "mixed_wide": 1, "mixed_narrow": 0})
+    for times in (1, 2):
+        (out,) = processor.handleInputRows(("s",), iter([rows[:1_000], rows[1_000:]]), None)
+        assert out.iloc[0].tolist() == ["s", 10_000 * times, 4_980 * times, 2_509, 5_000 * times, 0]
+        assert Handle.depths.calls == 3 * times
+
+
+def test_keys_that_never_expire_need_no_python_state(spark, tmp_path):
+    put(tmp_path, "ev/one.txt", EVIDENCE)
+    lines = spark.readStream.text(str(tmp_path / "ev")).withColumn("sample", F.lit("s"))
+    plans = [state.stream_burden(lines, ["sample"], idle)._jdf.queryExecution().analyzed().toString() for idle in (0, 500)]
+    assert ["TransformWithState" in p for p in plans] == [False, True]
+
+
 def test_lower_median_of_a_histogram():
     assert state.lower_median({1: 1, 2: 1, 3: 1, 10: 1}) == 2 and state.lower_median({}) == 0 and state.lower_median({5: 0, 7: 3}) == 7
 
