@@ -18,11 +18,11 @@ from cohortloom.fixed_values import (
     WIDE_SHARE,
 )
 from cohortloom.functions.evidence import base_counts, counted_symbols, second_largest
-from cohortloom.functions.text import count_of
 from cohortloom.functions.numeric import per_million, ratio, ratio_or_zero
 from cohortloom.operators.choice import first_n_per_key, row_digits
 from cohortloom.operators.intervals import merge_intervals
 from cohortloom.operators.quantiles import half_mass_length
+from cohortloom.session import cut_lineage
 
 
 def keep_proper(df: DataFrame, flag: str) -> DataFrame:
@@ -134,16 +134,20 @@ def mixture_burden(counted: DataFrame, keys: list[str], **screen: object) -> Dat
 
 
 def gc_count(sequence: Column) -> Column:
-    return count_of(F.upper(sequence), "GC")
+    """G and C of either case: bytes that are lost when a letter is cut out, which needs no walk over characters."""
+    lost = [F.octet_length(sequence) - F.octet_length(F.replace(sequence, F.lit(x), F.lit(""))) for x in "GgCc"]
+    return (lost[0] + lost[1] + lost[2] + lost[3]).cast("bigint")
 
 
 def sequence_stats(
     df: DataFrame, keys: list[str], sequence: str = "seq", min_length: int = 0
 ) -> DataFrame:
-    """Per key: total length, record count, N50, longest record and GC percent."""
-    rows = df.select(
-        *keys, F.length(sequence).cast("bigint").alias("_len"), gc_count(F.col(sequence)).alias("_gc")
-    ).filter(F.col("_len") >= min_length)
+    """Per key: total length, record count, N50, longest record and GC percent.
+
+    Sequences are read once: their lengths and counts, two numbers a record, are stored for the totals and both passes of N50.
+    """
+    measured = df.select(*keys, F.length(sequence).cast("bigint").alias("_len"), gc_count(F.col(sequence)).alias("_gc"))
+    rows = cut_lineage(measured).filter(F.col("_len") >= min_length)
     totals = rows.groupBy(*keys).agg(
         F.sum("_len").alias("total_length"),
         F.count(F.lit(1)).alias("records"),

@@ -71,8 +71,8 @@ def fasta_text(name: Column, sequence: Column, width: int = FASTA_WIDTH) -> Colu
 
 
 def write_fasta(ids: DataFrame, sequences: DataFrame, path: str, name: str = "name", sequence: str = "seq", ordinal: str = "ordinal") -> None:
-    """Sequences of chosen ids in id order; ids without a sequence are skipped."""
-    chosen = ids.select(name, F.col(ordinal).alias("_o")).join(sequences.select(name, sequence), name)
+    """Sequences of chosen ids in id order; ids without a sequence are skipped. Ids are hashed, so only the final order sorts sequences."""
+    chosen = sequences.select(name, sequence).join(ids.select(name, F.col(ordinal).alias("_o")).hint("shuffle_hash"), name)
     (
         chosen.filter(F.coalesce(F.col(sequence), F.lit("")) != "")
         .orderBy("_o")

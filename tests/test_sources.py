@@ -234,6 +234,14 @@ def test_fasta_round_trip(spark, tmp_path):
     assert (stats.total_length, stats.records, stats.n50, stats.longest) == (209, 3, 200, 200)
 
 
+def test_sequences_are_read_once_for_their_stats(spark, tmp_path):
+    path = put(tmp_path, "s.fa", ">a\nGgCcéAT\n>b\nGGNN\n>c\nTT\n")
+    stats = evidence.sequence_stats(records.read_fasta(spark, path).withColumn("sample", F.lit("s")), ["sample"], min_length=3)
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("Relation [value") <= 1
+    got = stats.first()
+    assert (got.total_length, got.records, got.n50, got.longest, got.gc_percent) == (11, 2, 7, 7, 600 / 11)
+
+
 def fastq(n, mate, offset=0):
     return "".join(f"@r{i + offset}/{mate} x\nACG{i}\n+\nIII{i}\n" for i in range(n))
 
