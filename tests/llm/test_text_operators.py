@@ -11,6 +11,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from fixtures import SCHEMA, corpus
 
@@ -166,6 +168,68 @@ def test_lm_probabilities_sum_to_one():
     assert abs(p_word.sum() + model.unknown() - 1) < 1e-9
 
 
+def _ids(held: bool) -> list[int]:
+    return [i for i in range(1000) if (zlib.crc32(str(i).encode()) % 5 == 1) == held]
+
+
+def test_lm_contexts_are_whole_words(spark):
+    """Words that begin alike are told apart as the word before and as the word before that."""
+    lines = ["the salt water", "the sand castle", "salt goes white", "sand goes brown"]
+    train = [(i, lines[k % 4]) for k, i in enumerate(_ids(False)[:200])]
+    asked = ["the salt water", "the salt castle", "salt goes white", "salt goes brown"]
+    rows = train + list(zip(_ids(True), asked))
+    got = {r.doc_id: r for r in lm_score.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), batch_text=500).collect()}
+    seen, mixed, seen_far, mixed_far = (got[i].score for i in _ids(True)[:4])
+    assert seen > mixed + 0.7 and seen_far > mixed_far + 0.7
+
+
+def test_lm_score_by_hand(spark):
+    """One training text of distinct words: each cell holds one customer at one table, so nothing is drawn."""
+    known, new = _ids(False)[0], _ids(True)[0]
+    got = {r.doc_id: r.score for r in lm_score.score_texts(spark.createDataFrame([(known, "a B c"), (new, "b x")], "doc_id bigint, text string")).collect()}
+    d = 0.95
+    word, unknown, back = (1 - d + (1 + 4 * d) / 5) / 5, (1 + 4 * d) / 25, (1 + d) / 2
+    p = (1 - d) / 2 + back * word
+    assert abs(got[known] - 4 * math.log10((1 - d) / 2 + back * p)) < 1e-5
+    assert abs(got[new] - math.log10(back * back * word * back * unknown * word)) < 1e-5
+
+
+def test_lm_cells_of_groups_and_buckets(monkeypatch):
+    """Every pair of words before and word is counted once, however texts fall into groups and buckets."""
+    rows = [t for _, t in corpus()]
+    tokens = [["<s>", "<s>", *re.findall(r"[^\x20\x09-\x0D]+", low(t)), "<e>"] for t in rows]
+    want = Counter(x for t in tokens for x in zip(t, t[1:], t[2:]))
+    monkeypatch.setattr(lm_score.TaskContext, "get", lambda: type("C", (), {"partitionId": lambda self: 3})())
+    monkeypatch.setattr(lm_score, "GROUP", 50)
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(len(rows)), pa.int64()), "text": pa.array(rows, pa.string()), "held_out": [False] * len(rows)})
+    found = pa.Table.from_batches(list(lm_score._messages(4, True)(iter([batch, batch])))).filter(pa.compute.field("kind") == 1)
+    counts = []
+    for p in range(4):
+        part = found.filter(pa.compute.field("p") == p)
+        if part.num_rows:
+            counts += lm_score.Bucket(list(part.column("data"))).n.tolist()
+    assert sorted(counts) == sorted(2 * n for n in want.values())
+
+
+@pytest.mark.parametrize(("c", "a", "d"), [(2, 0.3, 0.5), (20, 0.5, 0.4), (60, 2.0, 0.8), (1500, 100.0, 0.8)])
+def test_lm_seating_follows_its_weights(c, a, d):
+    """Mean tables against the weights S(c, t) * a**t."""
+    weight = np.full(c + 2, -np.inf)
+    weight[0] = 0.0
+    for i in range(c):
+        t = np.arange(1, i + 2)
+        after = np.full(c + 2, -np.inf)
+        with np.errstate(divide="ignore"):
+            after[1 : i + 2] = np.logaddexp(weight[: i + 1], np.log(np.maximum(i - d * t, 0.0)) + weight[1 : i + 2])
+        weight = after
+    t = np.arange(1, c + 1)
+    weight = weight[1 : c + 1] + t * np.log(a)
+    weight = np.exp(weight - weight.max())
+    many = 10_000 if c < 100 else 400
+    got = lm_score.seat(np.full(many, c), np.full(many, a), d, np.random.default_rng(0))
+    assert abs(got.mean() / (weight @ t / weight.sum()) - 1) < 0.06
+
+
 # quality
 
 
