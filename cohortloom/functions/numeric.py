@@ -35,6 +35,15 @@ def per_million(numerator: Column | str, denominator: Column | str) -> Column:
     )
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """Double rounded as the SQL statements do it: the scaled value goes to a whole number, halves away from zero.
+
+    ``F.round`` goes by the decimal digits: 41/640 prints as 0.0640625 and is taken up, but scales to 64062.49999999999.
+    """
+    scale = F.lit(10.0**digits)
+    return F.round(col(c) * scale) / scale
+
+
 def holds(condition: Column) -> Column:
     """Null never passes a test (an empty subgroup has no prevalence)."""
     return F.coalesce(condition, F.lit(False))

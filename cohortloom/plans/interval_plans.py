@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.numeric import rounded
 from cohortloom.operators import intervals, quantiles
 from cohortloom.plans.registry import Tables, query
 
@@ -41,7 +42,7 @@ def interval_union(t: Tables) -> DataFrame:
 )
 def interval_cover(t: Tables) -> DataFrame:
     return intervals.covered_fraction(_shipments(t), ["l_suppkey"], "start", "end").withColumn(
-        "unique_fraction", F.round("unique_fraction", 6)
+        "unique_fraction", rounded("unique_fraction", 6)
     )
 
 
